@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import decontamination, html_extraction, language_id, packing, quality_rules, token_counts
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
     "op4_token_counts": token_counts.query,
+    "op6_html_extraction": html_extraction.query,
+    "op8_decontamination": decontamination.query,
     "op9_packing": packing.query,
+    "op10_language_id": language_id.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op8_decontamination": decontamination.ORACLE,
+}
