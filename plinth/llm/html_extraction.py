@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,26 +38,56 @@ NAMES = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-SPACES = re.compile(r"\s+")
 
 
-class Tree(HTMLParser):
+#: A comment, declaration or tag; a `<` that starts none of these is text. Attributes may hold `>` in quotes.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+ATTRIBUTES = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: What these hold is not markup up to their end tag.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+
+
+class Tree:
     """Nodes in page order as parallel lists; text pieces with the node and the block they lie in."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.tag, self.up, self.off = ["#root"], [-1], [False]
         self.open = [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
 
-    def dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def feed(self, html: str) -> None:
+        at, data, start, end = 0, self.handle_data, self.handle_starttag, self.handle_endtag
+        while m := MARKUP.search(html, at):
+            if m.start() > at:
+                data(html[at : m.start()])
+            at = m.end()
+            name = m[2] or m[5]
+            if not name:
+                continue
+            name, attributes = name.lower(), m[3] or m[6] or ""
+            if m[1] or m[4]:
+                end(name)
+                continue
+            start(name, attributes)
+            if name in RAW:
+                close = re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I).search(html, at)
+                data(html[at : close.start() if close else len(html)])
+                at = close.end() if close else len(html)
+                end(name)
+            elif attributes.endswith("/") and name not in VOID and name not in BLOCKS:
+                end(name)
+        if at < len(html):
+            data(html[at:])
+
+    def dropped(self, tag: str, attributes: str) -> bool:
         if tag in DROPPED or tag == "header" and not any(self.tag[i] in ("article", "main") for i in self.open):
             return True
-        if tag in ("html", "body", "article", "main"):
+        if not attributes or tag in ("html", "body", "article", "main"):
             return False
-        for name, value in attrs:
-            if name in ("class", "id") and value and NAMES.search(value) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        for m in ATTRIBUTES.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id") and NAMES.search(value) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
         return False
 
@@ -71,7 +101,7 @@ class Tree(HTMLParser):
             if tag in SCOPES:
                 return
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def handle_starttag(self, tag: str, attributes: str) -> None:
         if tag in ENDS_P:
             self.cut(("p",))
         if tag in ENDS_OWN:
@@ -81,18 +111,13 @@ class Tree(HTMLParser):
         top = self.open[-1]
         self.tag.append(tag)
         self.up.append(top)
-        self.off.append(self.off[top] or self.dropped(tag, attrs))
+        self.off.append(self.off[top] or self.dropped(tag, attributes))
         if tag in VOID:
             if tag == "br":
                 self.pieces.append((top, self.block, " "))
         else:
             self.open.append(len(self.tag) - 1)
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in BLOCKS and len(self.open) > 1:
-            self.open.pop()
-
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block += 1
@@ -106,7 +131,7 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if not self.off[top]:
-            self.pieces.append((top, self.block, data))
+            self.pieces.append((top, self.block, unescape(data) if "&" in data else data))
 
 
 def densities(tree: Tree) -> tuple[list[int], list[int], list[float], list[float]]:
@@ -147,7 +172,6 @@ def main_text(html: str | None) -> str:
         return ""
     tree = Tree()
     tree.feed(html)
-    tree.close()
     n = len(tree.tag)
     chars, link_chars, density, total = densities(tree)
     if not chars[0]:
@@ -176,7 +200,7 @@ def main_text(html: str | None) -> str:
     for node, block, text in tree.pieces:
         if taken[node]:
             blocks.setdefault(block, []).append(text)
-    return "\n".join(x for x in (SPACES.sub(" ", "".join(b)).strip() for b in blocks.values()) if x)
+    return "\n".join(x for x in (" ".join("".join(b).split()) for b in blocks.values()) if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:
