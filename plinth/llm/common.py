@@ -42,6 +42,16 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("k_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k_text")]
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """row: all of docs' columns in one struct, so that their names can't clash with ours; with doc_id, text and the keys."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *row_key(F.col("doc_id"), F.col("text")))
+
+
+def unboxed(df: DataFrame, columns: list[str], text: Column | None = None) -> list[Column]:
+    """The columns that boxed() put away, with another text where one is given."""
+    return [text.alias(c) if text is not None and c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def shards(df: DataFrame) -> int:
     """How many ways keyed work is dealt out: the session's shuffle width, which the cluster's owner sizes to the data."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

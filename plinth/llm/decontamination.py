@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, table
+from .common import boxed, materialise, table, unboxed
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,12 +53,13 @@ def nothing(n_words: Column) -> dict[str, Column]:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, most_windows: int = 50_000) -> DataFrame:
-    """All columns of docs, and hit: a struct of n_words, n_hit, n_items, items_sha256, contaminated. most_windows bounds the shipped set."""
+    """For each row of docs: row (its columns), doc_id, and hit: a struct of n_words, n_hit, n_items, items_sha256, contaminated.
+    most_windows bounds the shipped set."""
     found = benchmark_windows(items, size)
     count = found.agg(F.sum(F.size("windows")), F.min("length")).first()
     if not count[0]:
         norm = normalised(F.col("text"))
-        return docs.withColumn("hit", F.struct(*[v.alias(k) for k, v in nothing(F.size(words_of(norm)).cast("long")).items()]))
+        return boxed(docs).select("row", "doc_id", F.struct(*[v.alias(k) for k, v in nothing(F.size(words_of(norm)).cast("long")).items()]).alias("hit"))
     if count[0] > most_windows:
         return joined(docs, found, size)
     rows = found.select("item_id", "length", "words", "windows").collect()
@@ -85,8 +86,7 @@ def in_scan(docs: DataFrame, rows: list, shortest: int) -> DataFrame:
         at = F.transform(windows_of(F.col("t_words"), n), lambda w, i: F.struct(i.alias("at"), w.alias("w"), F.lit(n).alias("n")))
         return F.filter(at, lambda x: x.w.isin(windows))
 
-    keep = docs.columns
-    base = docs.withColumn("t_norm", normalised(F.col("text")))
+    base = boxed(docs).withColumn("t_norm", normalised(F.col("text")))
     n_words = F.when(F.col("t_norm") == "", 0).otherwise(F.length("t_norm") - F.length(F.replace("t_norm", F.lit(" "), F.lit(""))) + 1).cast("long")
     base = base.withColumns({"t_n": n_words, "t_words": F.when(suspect, words)})
     base = base.withColumn("t_hits", F.when(F.col("t_words").isNull(), empty).otherwise(F.concat(*[hits(n) for n in lengths])))
@@ -97,32 +97,33 @@ def in_scan(docs: DataFrame, rows: list, shortest: int) -> DataFrame:
         F.col("t_n").alias("n_words"), F.when(F.size("t_hits") > 0, covered).otherwise(0).cast("long").alias("n_hit"), F.size("t_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("t_items"), ","), 256).alias("items_sha256"), (F.size("t_hits") > 0).alias("contaminated"),
     )
-    return base.select(*[F.col(f"`{c}`") for c in keep], hit.alias("hit"))
+    return base.select("row", "doc_id", hit.alias("hit"))
 
 
 def joined(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     """For a benchmark too large to ship: document windows meet the benchmark's in an equi-join on the window."""
     table_of = materialise(found.select("item_id", "length", F.explode("windows").alias("w")).distinct())
     lengths = [r.length for r in table_of.select("length").distinct().collect()]
-    base = docs.withColumn("t_words", words_of(normalised(F.col("text"))))
-    keyed = base.select(*row_key(F.col("doc_id"), F.col("text")), "t_words").dropDuplicates(["k_id", "k_text"])
+    base = boxed(docs).withColumn("t_words", words_of(normalised(F.col("text"))))
+    keyed = base.select("k_id", "k_text", "t_words").dropDuplicates(["k_id", "k_text"])
     at = F.concat(*[F.transform(windows_of(F.col("t_words"), n), lambda w, i, n=n: F.struct(i.alias("at"), w.alias("w"), F.lit(n).alias("length"))) for n in lengths])
     spots = keyed.select("k_id", "k_text", F.explode(at).alias("x")).select("k_id", "k_text", "x.*").join(table_of, ["length", "w"])
     per = spots.groupBy("k_id", "k_text").agg(
         F.collect_set("item_id").alias("t_items"), F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))))).cast("long").alias("t_hit")
     )
-    out = base.withColumns({c: k for c, k in zip(("k_id", "k_text"), row_key(F.col("doc_id"), F.col("text")))}).join(materialise(per), ["k_id", "k_text"], "left")
+    out = base.join(materialise(per), ["k_id", "k_text"], "left")
     items = F.coalesce("t_items", F.array().cast("array<string>"))
     hit = F.struct(
         F.size("t_words").cast("long").alias("n_words"), F.coalesce("t_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), F.col("t_hit").isNotNull().alias("contaminated"),
     )
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], hit.alias("hit"))
+    return out.select("row", "doc_id", hit.alias("hit"))
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The documents in which no benchmark window occurs, with the columns they came with."""
-    return decontaminate(docs, items, size).filter(~F.col("hit.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = decontaminate(docs, items, size).filter(~F.col("hit.contaminated"))
+    return out.select(*unboxed(out, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

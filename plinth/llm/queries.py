@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, language_id, packing, quality_rules, token_counts
+from . import decontamination, html_extraction, language_id, line_dedup, packing, quality_classifier, quality_rules, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_line_dedup": line_dedup.query,
+    "op3_quality_classifier": quality_classifier.query,
     "op4_token_counts": token_counts.query,
     "op6_html_extraction": html_extraction.query,
     "op8_decontamination": decontamination.query,
@@ -15,5 +17,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op2_line_dedup": line_dedup.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
 }
