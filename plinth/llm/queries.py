@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, language_id, line_dedup, packing, quality_classifier, quality_rules, token_counts
+from . import decontamination, html_extraction, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality_classifier.query,
     "op4_token_counts": token_counts.query,
     "op6_html_extraction": html_extraction.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_decontamination": decontamination.query,
     "op9_packing": packing.query,
     "op10_language_id": language_id.query,
