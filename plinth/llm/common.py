@@ -70,7 +70,7 @@ def sliced(columns: list[list], text_at: int, limit: int = SLICE_CHARS) -> Itera
         yield [c[start:] for c in columns]
 
 
-def map_slices(df: DataFrame, schema: str, fn_factory: Callable[[], Callable[[list[list]], dict[str, Iterable]]], text_at: int) -> DataFrame:
+def map_slices(df: DataFrame, schema: str, fn_factory: Callable[[], Callable[[list[list]], dict[str, Iterable]]], text_at: int, limit: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow over bounded slices of rows. fn_factory runs once in each task and returns fn(columns) -> columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -80,7 +80,7 @@ def map_slices(df: DataFrame, schema: str, fn_factory: Callable[[], Callable[[li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = fn_factory()
         for batch in batches:
-            for part in sliced([c.to_pylist() for c in batch.columns], text_at):
+            for part in sliced([c.to_pylist() for c in batch.columns], text_at, limit):
                 out = fn(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from . import decontamination, html_extraction, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_line_dedup": line_dedup.query,
     "op3_quality_classifier": quality_classifier.query,
     "op4_token_counts": token_counts.query,
+    "op5_near_dedup": near_dedup.query,
     "op6_html_extraction": html_extraction.query,
     "op7_suffix_dedup": suffix_dedup.query,
     "op8_decontamination": decontamination.query,
