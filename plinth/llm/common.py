@@ -100,17 +100,32 @@ def is_plain(text: str) -> bool:
 
 
 class PieceCache(dict):
-    """Pre-token -> encoding, on top of a fixed base; forgets what it learnt beyond `most` entries."""
+    """Pre-token -> encoding, on top of a fixed base. Beyond `most` entries it forgets those seen in one slice only."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list], base: dict | None = None, most: int = 300_000):
+    def __init__(self, encode_all: Callable[[list[str]], list], base: dict | None = None, most: int = 400_000):
         super().__init__(base or {})
-        self.base, self.encode_all, self.most = base or {}, encode_all, most
+        self.base, self.encode_all, self.most, self.again = base or {}, encode_all, most, set()
 
     def learn(self, words: Iterable[str]) -> None:
-        missing = [w for w in set(words) if w not in self]
-        if len(self) + len(missing) > self.most and len(self) > len(self.base):
+        distinct = set(words)
+        missing = [w for w in distinct if w not in self]
+        if len(self) + len(missing) > self.most:
+            kept = {w: self[w] for w in self.again} if 2 * len(self.again) < self.most else {}
             self.clear()
+            self.again = set()
             self.update(self.base)
-            missing = [w for w in set(words) if w not in self]
+            self.update(kept)
+            missing = [w for w in distinct if w not in self]
+        else:
+            self.again.update(distinct.difference(missing))
         if missing:
             self.update(zip(missing, self.encode_all(missing)))
+
+
+def byte_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
+    """A byte-level vocabulary as bytes. Such vocabularies write a printable byte as its own character and the
+    others, in order, as the characters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {bytes(of[c] for c in token): i for token, i in vocab.items() if all(c in of for c in token)}
