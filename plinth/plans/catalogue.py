@@ -1,4 +1,4 @@
 """All registered queries of the statistics engine, by key, with the SQL each is compared with."""
 
-from . import linking  # noqa: F401
+from . import linking, ranking, versions  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401
