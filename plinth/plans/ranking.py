@@ -27,8 +27,8 @@ def median_gap(t: Tables):
 
 
 TIERS = """ax AS (SELECT c_nationkey AS n_nationkey, count(*)::BIGINT AS customers FROM customer GROUP BY 1),
-od AS (SELECT *, row_number() OVER (ORDER BY customers) - 1 AS at, count(*) OVER () AS n FROM ax),
-cu AS (SELECT min(customers) FILTER (WHERE at = floor(n * 1 / 4)) AS c1, min(customers) FILTER (WHERE at = floor(n * 2 / 4)) AS c2, min(customers) FILTER (WHERE at = floor(n * 3 / 4)) AS c3 FROM od),
+od AS (SELECT *, row_number() OVER (ORDER BY customers) - 1 AS pos, count(*) OVER () AS n FROM ax),
+cu AS (SELECT min(customers) FILTER (WHERE pos = floor(n * 1 / 4)) AS c1, min(customers) FILTER (WHERE pos = floor(n * 2 / 4)) AS c2, min(customers) FILTER (WHERE pos = floor(n * 3 / 4)) AS c3 FROM od),
 tiers AS (SELECT n_nationkey, customers, CASE WHEN customers <= c1 THEN 1 WHEN customers <= c2 THEN 2 WHEN customers <= c3 THEN 3 ELSE 4 END::BIGINT AS tier FROM ax, cu)"""
 
 
@@ -237,8 +237,8 @@ def overlay_clip(t: Tables):
 
 @query(
     "q_nearest_rank",
-    """WITH c AS (SELECT c_nationkey AS n_nationkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey), p AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY cents) - 1 AS at, count(*) OVER (PARTITION BY n_nationkey) AS n FROM c)
-    SELECT n_nationkey, min(cents) FILTER (WHERE at = floor(n / 2)) AS upper_median, min(cents) FILTER (WHERE at = ceil((n - 1) * 9 / 10)) AS p90 FROM p GROUP BY 1""",
+    """WITH c AS (SELECT c_nationkey AS n_nationkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey), p AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY cents) - 1 AS pos, count(*) OVER (PARTITION BY n_nationkey) AS n FROM c)
+    SELECT n_nationkey, min(cents) FILTER (WHERE pos = floor(n / 2)) AS upper_median, min(cents) FILTER (WHERE pos = ceil((n - 1) * 9 / 10)) AS p90 FROM p GROUP BY 1""",
 )
 def nearest_rank(t: Tables):
     c = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
