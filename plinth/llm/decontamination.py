@@ -106,7 +106,11 @@ def joined(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     lengths = [r.length for r in table_of.select("length").distinct().collect()]
     base = boxed(docs).withColumn("t_words", words_of(normalised(F.col("text"))))
     keyed = base.select("k_id", "k_text", "t_words").dropDuplicates(["k_id", "k_text"])
-    at = F.concat(*[F.transform(windows_of(F.col("t_words"), n), lambda w, i, n=n: F.struct(i.alias("at"), w.alias("w"), F.lit(n).alias("length"))) for n in lengths])
+
+    def windows(n: int) -> Column:
+        return F.transform(windows_of(F.col("t_words"), n), lambda w, i: F.struct(i.alias("at"), w.alias("w"), F.lit(n).alias("length")))
+
+    at = F.concat(*map(windows, lengths)) if lengths else F.array()
     spots = keyed.select("k_id", "k_text", F.explode(at).alias("x")).select("k_id", "k_text", "x.*").join(table_of, ["length", "w"])
     per = spots.groupBy("k_id", "k_text").agg(
         F.collect_set("item_id").alias("t_items"), F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))))).cast("long").alias("t_hit")
