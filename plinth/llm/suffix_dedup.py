@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialise, shards, table
 
 #: Bytes of text in a batch; length of the k-grams that anchor a window.
-BATCH_BYTES, GRAM = 3_000_000, 32
+BATCH_BYTES, GRAM = 1_500_000, 32
 U = np.uint64
 #: Odd multipliers of the mixing steps.
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -84,12 +84,13 @@ class Batch:
             self.anchor = self.print = np.zeros(0, U)
             self.tied = np.zeros(0, bool)
             return
-        levels, step = {1: h}, 1
-        while 2 * step <= length:
-            levels[2 * step] = doubled(levels[step], step)
+        self.levels, step = {}, 1
+        while step <= length:
+            if step == GRAM or length & step:
+                self.levels[step] = h
+            h = doubled(h, step) if 2 * step <= length else None
             step *= 2
-        self.levels = levels = {k: v for k, v in levels.items() if k == GRAM or length & k}
-        grams = levels[GRAM][: n - GRAM + 1]
+        grams = self.levels[GRAM][: n - GRAM + 1]
         width = length - GRAM + 1
         low = least(grams, width)
         windows = n - length + 1
@@ -103,6 +104,9 @@ class Batch:
         # An anchor found twice in a segment: its windows may repeat within it.
         top = least(np.concatenate([np.zeros(width - 1, U), low, np.zeros(width - 1, U)]), width, np.maximum)
         spots = np.flatnonzero(grams[: len(top)] == top)
+        del top
+        if not length & GRAM:
+            del self.levels[GRAM]
         value = grams[spots]
         new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
         times = np.diff(np.append(np.flatnonzero(new), len(value)))
