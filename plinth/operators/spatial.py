@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import geo
 
@@ -41,7 +42,7 @@ def lanes(df: DataFrame, keys: list[str], start: str, end: str, order: list[str]
     return df.groupBy(*keys).applyInPandas(place, schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def convex_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area shared by two convex rings (counter-clockwise), by clipping one with the other's edges."""
 

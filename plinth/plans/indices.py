@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import allocate, composite, gates, rank, stats
 from .base import Tables, query, with_views
-from .ranking import TIERS, UP, UP_SQL, tiers
+from .ranking import TIERS, UP_SQL, tiers, up
 
 SCALED = f"""q AS (SELECT metric, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM latest_obs GROUP BY 1),
 scaled AS (SELECT metric, n_nationkey, value, CASE WHEN {UP_SQL} THEN (least(greatest(value, lo), hi) - lo) * 100 / nullif(hi - lo, 0) ELSE 100 - (least(greatest(value, lo), hi) - lo) * 100 / nullif(hi - lo, 0) END AS scaled
@@ -15,7 +15,7 @@ scaled AS (SELECT metric, n_nationkey, value, CASE WHEN {UP_SQL} THEN (least(gre
 
 
 def scaled(t: Tables):
-    return stats.winsorised(t.latest_obs().filter("metric <> 'QTY'").select("metric", "n_nationkey", "value"), ["metric"], "value", UP)
+    return stats.winsorised(t.latest_obs().filter("metric <> 'QTY'").select("metric", "n_nationkey", "value"), ["metric"], "value", up())
 
 
 @query("q_winsor", with_views(f"WITH {SCALED} SELECT metric, n_nationkey, value, CAST(round(scaled * 10000) AS BIGINT) AS scaled_e4 FROM scaled"))
@@ -25,7 +25,7 @@ def winsor(t: Tables):
 
 @query("q_inclusion", with_views(f"SELECT metric FROM latest_obs WHERE {UP_SQL} IS NOT NULL AND NOT (metric = 'ORDERS' AND n_nationkey = 4) GROUP BY metric HAVING count(DISTINCT n_nationkey) = 25"))
 def inclusion(t: Tables):
-    return composite.included(t.latest_obs().filter("NOT (metric = 'ORDERS' AND n_nationkey = 4)"), "metric", "n_nationkey", 25, UP.isNotNull())
+    return composite.included(t.latest_obs().filter("NOT (metric = 'ORDERS' AND n_nationkey = 4)"), "metric", "n_nationkey", 25, up().isNotNull())
 
 
 #: Scenarios of weights: all equal; by domain (money: REV, DISC; activity: ORDERS); one domain alone.
@@ -122,7 +122,7 @@ gaps AS (SELECT metric, n_nationkey, tier, value, coalesce(peer, national) AS be
 
 
 def gap_rows(t: Tables):
-    return composite.gaps(t.latest_obs().join(F.broadcast(tiers(t)), "n_nationkey").select("metric", "n_nationkey", "tier", "value"), "metric", "tier", "value", UP)
+    return composite.gaps(t.latest_obs().join(F.broadcast(tiers(t)), "n_nationkey").select("metric", "n_nationkey", "tier", "value"), "metric", "tier", "value", up())
 
 
 @query(

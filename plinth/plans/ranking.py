@@ -9,7 +9,10 @@ from ..operators import hierarchy, rank, stats, temporal
 from .base import Tables, query, with_views
 
 #: Whether more of a metric is better; DISC: less is; QTY has no direction.
-UP = F.when(F.col("metric").isin("REV", "ORDERS"), True).when(F.col("metric") == "DISC", False)
+def up():
+    return F.when(F.col("metric").isin("REV", "ORDERS"), True).when(F.col("metric") == "DISC", False)
+
+
 UP_SQL = "CASE WHEN metric IN ('REV', 'ORDERS') THEN true WHEN metric = 'DISC' THEN false END"
 
 
@@ -57,7 +60,7 @@ def peer_rank(t: Tables):
 
 @query("q_dir_rank", with_views(f"SELECT metric, n_nationkey, value, rank() OVER (PARTITION BY metric ORDER BY CASE WHEN {UP_SQL} THEN value ELSE -value END DESC)::BIGINT AS merit_rank FROM latest_obs WHERE metric <> 'QTY'"))
 def dir_rank(t: Tables):
-    return rank.directed(t.latest_obs().filter("metric <> 'QTY'"), ["metric"], "value", UP).select("metric", "n_nationkey", "value", "merit_rank")
+    return rank.directed(t.latest_obs().filter("metric <> 'QTY'"), ["metric"], "value", up()).select("metric", "n_nationkey", "value", "merit_rank")
 
 
 @query(
@@ -103,7 +106,7 @@ def topk_group(t: Tables):
       WHEN last = first THEN 'stable' WHEN (last > first) = hib THEN 'improving' ELSE 'worsening' END AS direction FROM e"""),
 )
 def trend(t: Tables):
-    return rank.trend(t.obs().filter("yr < 2001 AND (n_nationkey <> 4 OR yr = 1999)"), ["n_nationkey", "metric"], "yr", "value", UP)
+    return rank.trend(t.obs().filter("yr < 2001 AND (n_nationkey <> 4 OR yr = 1999)"), ["n_nationkey", "metric"], "yr", "value", up())
 
 
 @query("q_klag", with_views("SELECT n_nationkey, metric, yr, value, value - lag(value, 1) OVER w AS change_1, value - lag(value, 3) OVER w AS change_3, value - lag(value, 5) OVER w AS change_5 FROM obs WINDOW w AS (PARTITION BY n_nationkey, metric ORDER BY yr)"))

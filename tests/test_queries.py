@@ -27,3 +27,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; import plinth.functions.vectorised, plinth.operators.spatial, plinth.sources.readers, plinth.streaming.events; print(len(e.queries()))"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/", 2)[0]).stdout.split()[-1]) > 150
