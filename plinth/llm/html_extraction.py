@@ -34,7 +34,7 @@ SCOPES = frozenset("table ul ol dl div article section main aside nav body td th
 #: Never main text.
 DROPPED = frozenset("head script style noscript template nav aside footer form button select textarea input iframe object svg canvas dialog menu label audio video".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side|menus?|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|replies|disqus|respond|related|recommend(?:ed|ations)?|share|sharing|social|widgets?|toolbar|pagination|pager|tags|masthead|skip|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side|menus?|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|replies|disqus|respond|related|recommend(?:ed|ations)?|share|sharing|social|widgets?|toolbar|pagination|pager|tags|masthead|skip|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())

@@ -80,6 +80,12 @@ def test_html():
     assert html_extraction.main_text(plain).count("word") == 90 and "x" not in html_extraction.main_text(plain)
 
 
+def test_names_of_roles():
+    for name, gone in (("sidebar", True), ("left-sidebar", True), ("with-sidebar", False), ("has_comments", False), ("user-comments", True), ("header-ad", True), ("adventure", False), ("cookie-notice", True), ("content no-ads", False)):
+        text = html_extraction.main_text(f"<body><div class='{name}'><p>some text that could be the main one</p></div></body>")
+        assert (text == "") is gone, name
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<a href='", "<!-- ", "<script>", "</p></div>", "<div>" * 3000 + "deep", "text only", "<p>a" * 500])
 def test_broken_html(html):
     assert isinstance(html_extraction.main_text(html), str)
