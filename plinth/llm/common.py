@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is configured."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors share. Only where none is set and all runs in
+    one process is it a local one; a cluster without it is refused, as executors don't see each other's local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/plinth-shared"
-        spark.conf.set("plinth.shared.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/plinth-shared"
 
 
 def materialise(df: DataFrame) -> DataFrame:
