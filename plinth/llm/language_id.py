@@ -31,6 +31,8 @@ UNKNOWN = 1e-7
 #: Up to so many languages, their sampling rates are broadcast.
 MANY_LANGS = 10_000
 TINY, HUGE = 1e-200, 1e200
+#: Longer words go one by one, with scaling against underflow.
+LONG = 30
 
 
 @lru_cache(maxsize=2)
@@ -87,8 +89,10 @@ class Scorer:
     def __init__(self, model: dict[str, np.ndarray], path: str, most: int = 300_000):
         self.pieces, self.longest = vocabulary(path)
         self.langs = sorted(model)
-        self.p = np.stack([model[x] for x in self.langs], axis=1).tolist() if model else []
-        self.most = most
+        #: One row a piece, then the unknown character, then what is no piece.
+        self.table = np.concatenate([np.stack([model[x] for x in self.langs], axis=1), np.zeros((1, len(self.langs)))]) if model else np.zeros((2, 0))
+        self.p = self.table[:-1].tolist()
+        self.most, self.again = most, set()
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.langs)))
 
@@ -109,20 +113,44 @@ class Scorer:
                 b[x] += a[x] * q[x]
         return [math.log(v) - shift if v > 0 else -1e4 - shift for v in ahead[size]]
 
+    def batch(self, words: list[str]) -> np.ndarray:
+        """The same for many words: those of one length go through the forward algorithm together, place by place."""
+        out = np.zeros((len(words), len(self.langs)))
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_size.setdefault(len(w) + 1, []).append(i)
+        for size, members in by_size.items():
+            if size > LONG:
+                out[members] = [self.word(words[i]) for i in members]
+                continue
+            spans = [(i, j) for j in range(1, size + 1) for i in range(max(0, j - self.longest), j)]
+            marked = ["▁" + words[i] for i in members]
+            get, none, lone = self.pieces.get, len(self.table) - 1, len(self.table) - 2
+            ids = np.array([[get(m[i:j], lone if j - i == 1 else none) for i, j in spans] for m in marked], np.int32)
+            ahead = [np.ones((len(members), len(self.langs)))] + [np.zeros((len(members), len(self.langs))) for _ in range(size)]
+            for at, (i, j) in enumerate(spans):
+                ahead[j] += ahead[i] * self.table[ids[:, at]]
+            out[members] = np.log(np.maximum(ahead[size], 1e-300))
+        return out
+
     def learn(self, words: list[str]) -> None:
-        missing = [w for w in set(words) if w not in self.index]
+        distinct = set(words)
+        missing = [w for w in distinct if w not in self.index]
         if len(self.index) + len(missing) > self.most:
-            self.index, self.rows = {}, self.rows[:0]
-            missing = list(set(words))
+            kept = list(self.again) if 2 * len(self.again) < self.most else []
+            self.rows = self.rows[[self.index[w] for w in kept]]
+            self.index, self.again = {w: i for i, w in enumerate(kept)}, set()
+            missing = [w for w in distinct if w not in self.index]
+        else:
+            self.again.update(distinct.difference(missing))
         if missing:
             first = len(self.index)
             self.index.update(zip(missing, range(first, first + len(missing))))
-            new = np.array([self.word(w) for w in missing])
             if len(self.rows) < first + len(missing):
                 grown = np.zeros((max(2 * len(self.rows), first + len(missing), 1024), len(self.langs)))
                 grown[:first] = self.rows[:first]
                 self.rows = grown
-            self.rows[first : first + len(missing)] = new
+            self.rows[first : first + len(missing)] = self.batch(missing)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [WORDS.findall(t.lower()) if t else [] for t in texts]

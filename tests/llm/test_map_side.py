@@ -111,6 +111,12 @@ def test_forward_sums_all_segmentations():
     for w in ("the", "straße", "x", "naïve", "漢a"):
         assert np.isclose(scorer.word(w)[0], np.log(brute("▁" + w)))
     assert np.isfinite(scorer.word("ab" * 2000)).all()
+    many = ["the", "x", "漢a", "straße", "ab" * 40, "the" * 9]
+    assert np.allclose(scorer.batch(many), [scorer.word(w) for w in many])
+    scorer.most = 4
+    for words in (["the", "x"], ["the", "straße"], ["naïve", "a", "b"], ["the", "x"]):
+        scorer.learn(words)
+        assert np.allclose(scorer.rows[[scorer.index[w] for w in words]], [scorer.word(w) for w in words])
 
 
 def test_language_of_held_out_documents(spark, sf_dir):
