@@ -50,7 +50,8 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 1500, entrie
         words = [w for w, _ in seen.most_common(entries)]
         yield pa.RecordBatch.from_pydict({"found": [json.dumps(dict(zip(words, lengths_by(tok)(words))))]})
 
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id")).limit(sample_docs).select("text").coalesce(1)
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample_docs)
+    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").coalesce(1)
     merged: dict[str, int] = {}
     for row in sample.mapInArrow(count, "found string").collect():
         merged.update(json.loads(row.found))
