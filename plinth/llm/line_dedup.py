@@ -52,18 +52,20 @@ def covered_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """For each row of docs: row (its columns), doc_id, kept (the text that stays), n_lines, n_removed."""
-    joined = boxed(docs).join(covered_lines(docs, width), ["k_id", "k_text"], "left")
-    lines = lines_of(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    """For each row of docs: row (its columns), doc_id, kept (the text that stays), n_lines, n_removed, n_filled (lines that stay and aren't blank)."""
+    # The lines are a column of their own: an expression inside a lambda would be evaluated for each line.
+    joined = boxed(docs).join(covered_lines(docs, width), ["k_id", "k_text"], "left").withColumn("ls", lines_of(F.col("text")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("ls", i)), "\n"))
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    return joined.select("row", "doc_id", kept.alias("kept"), F.size(lines).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    filled = F.array_compact(F.transform("ls", lambda x, i: F.when(F.trim(x) != "", i)))
+    n_filled = F.size(F.array_except(filled, F.coalesce("gone", F.array().cast("array<int>"))))
+    return joined.select("row", "doc_id", kept.alias("kept"), F.size("ls").cast("long").alias("n_lines"), removed.alias("n_removed"), n_filled.cast("long").alias("n_filled"))
 
 
 def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the text that stays, without the documents of which no text stays."""
-    out = dedup(docs, width).filter((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    out = dedup(docs, width).filter((F.col("n_removed") == 0) | (F.col("n_filled") > 0))
     return out.select(*unboxed(out, docs.columns, F.col("kept")))
 
 
