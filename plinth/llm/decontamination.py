@@ -126,7 +126,9 @@ def joined(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The documents in which no benchmark window occurs, with the columns they came with."""
-    out = decontaminate(docs, items, size).filter(~F.col("hit.contaminated"))
+    # The flags are written before they are filtered: a filter is pushed below the expressions it reads, with copies of them
+    # inside each other, and would cut a document's words anew for each window.
+    out = materialise(decontaminate(docs, items, size).select("row", F.col("hit.contaminated").alias("contaminated"))).filter(~F.col("contaminated"))
     return out.select(*unboxed(out, docs.columns))
 
 
