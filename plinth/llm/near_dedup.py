@@ -1,9 +1,10 @@
 """Near-duplicate groups by ProbMinHash, banding and verification.
 
-Five-word shingles are weighted by how often they occur in the text. Each shingle is a Poisson process whose rate is its
-weight; its arrivals fall on random registers, and a register keeps the shingle that arrives there first. Generation stops for
-a shingle as soon as its next arrival is later than all registers hold. Registers of two texts agree with the
-probability Jaccard similarity of their weighted shingles.
+Each weighted five-word shingle is a Poisson process whose rate is its weight; its arrivals fall on random registers, and a
+register keeps the shingle that arrives there first. Generation stops for a shingle as soon as its next arrival is later than
+all registers hold. Registers of two texts agree with the probability Jaccard similarity of their weighted shingles. Links
+are decided by the Jaccard similarity of shingle sets, so each distinct shingle has weight 1 here: then the two are the
+same number, and a line that one copy repeats doesn't hide it from the search.
 
 Exact copies (equal words) are one class from the start, by a combining aggregation. Bands of registers put class representatives
 into buckets. A bucket's members are compared with one leader, never with each other: those that look unlike it
@@ -113,7 +114,7 @@ def sketches(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
             ids, keys, texts = columns
             words, shingles = shingler(texts)
             pick = [i for i, w in enumerate(words) if w]
-            sig, _ = signatures([shingles[i] for i in pick], registers)
+            sig, _ = signatures([np.unique(shingles[i]) for i in pick], registers)
             whole = [xxh3_128_intdigest(" ".join(words[i]).encode("utf-8", "surrogatepass")) for i in pick]
             signed = np.array([[x >> 64, x & (2**64 - 1)] for x in whole], U).reshape(-1, 2).view(np.int64)
             return {"k_id": [ids[i] for i in pick], "k_text": [keys[i] for i in pick], "c1": signed[:, 0], "c2": signed[:, 1], "sig": list(sig)}

@@ -126,6 +126,18 @@ def test_signature_estimates_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.04 and (sig[0] == sig[2]).all()
 
 
+def test_repeated_lines_do_not_hide_a_copy(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(6):
+        base, line = sentence(rng, 304), sentence(rng, 12)
+        rows += [(2 * g, base), (2 * g + 1, base + ("\n" + line) * 30)]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert len(a & b) > 0.9 * len(a | b)
+    got = {r.k_id: r.group.id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_dedup_of_hard_texts(hard, empty):
     left = near_dedup.clean(hard)
     assert left.columns == hard.columns
