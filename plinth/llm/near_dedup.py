@@ -7,11 +7,11 @@ are decided by the Jaccard similarity of shingle sets, so each distinct shingle
 same number, and a line that one copy repeats doesn't hide it from the search.
 
 Exact copies (equal words) are one class from the start, by a combining aggregation. Bands of registers put class representatives
-into buckets. A bucket's members are compared with one leader, never with each other: those that look unlike it
-are dealt into finer buckets, keyed by ever more registers, with leaders of their own, until no bucket has two members; so a bucket of any size
-costs one comparison a member and level, and no task holds it. Candidate pairs are verified by the exact Jaccard similarity of their
-shingle sets. Groups are the connected components of the verified links, by alternating large and small stars on tables in
-the shared folder.
+into buckets. Each member of a bucket is first compared with one leader, another one in each band, and what the exact Jaccard their shingle sets confirms is linked. Then, after each member's likest others, all pairs of a bucket that are not connected yet are compared, in blocks of
+bounded size that are dealt to the tasks: members of the bucket's largest group meet only those outside it, so a bucket of any
+size whose members are alike costs one comparison a member. Pairs that look alike are verified too. So every two documents that
+share a bucket are connected or have been compared. Groups are the connected components of the verified links, by alternating
+large and small stars on tables in the shared folder.
 
 Defined results: texts without words (null, empty, symbols only) are groups of their own. Texts of fewer than five words are one
 shingle. The id of a class or group is the least doc_id in it (null ids first). Equal rows (same id and text) are one document and
@@ -25,17 +25,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, map_slices, materialise, row_key, table, unboxed
+from .common import boxed, map_slices, materialise, row_key, shards, table, unboxed
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE = 5
 #: 20 bands of 5 registers find a pair at 0.8 with probability 0.9996.
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
-#: Registers in the key of a bucket, level by level.
-LEVELS = (5, 7, 11, 19, 35, 67, 100)
-#: Share of agreeing registers (standard error 0.04) from which a pair is verified, and below which a member seeks another leader.
-CANDIDATE, CONTENT = 0.64, 0.88
+#: Share of agreeing registers (standard error 0.04) from which a pair is verified.
+CANDIDATE = 0.64
+#: Members of a bucket that a block holds on each of its two sides.
+BLOCK = 1024
+#: Likest others of each member that are verified before all that are left, as most groups are connected by them.
+BEST = 4
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -129,32 +131,108 @@ def node(prefix: str = "k") -> Column:
     return F.struct(F.col(f"{prefix}_id").alias("id"), F.col(f"{prefix}_text").alias("text"))
 
 
-def band_key(level: int) -> Column:
-    """Hash of `level` registers from the band's first on, round the end."""
-    twice = F.concat("sig", "sig")
-    return F.xxhash64("band", F.slice(twice, F.col("band") * ROWS + 1, level))
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs a, b (structs) of representatives that may be similar: each bucket's members with its leader, level by level."""
-    sig = reps.select(node().alias("n"), "sig")
+def buckets(reps: DataFrame) -> DataFrame:
+    """band, key, n of each representative and band."""
     rows = reps.select(F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig", node().alias("n"))
-    found = None
-    for level in LEVELS:
-        rows = materialise(rows.select("band", band_key(level).alias("key"), "n"))
-        rank = F.struct(F.xxhash64("n.id", "n.text").alias("h"), F.col("n").alias("n"))
-        leads = materialise(rows.groupBy("band", "key").agg(F.min(rank).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.col("lead.n").alias("lead")))
-        members = materialise(rows.join(leads, ["band", "key"]).filter("n <> lead").select("band", "n", "lead"))
-        pairs = members.select("n", "lead").distinct()
-        alike = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda z: z)) / F.lit(float(REGISTERS))
-        judged = materialise(pairs.join(sig.select("n", F.col("sig").alias("s1")), "n").join(sig.select(F.col("n").alias("lead"), F.col("sig").alias("s2")), "lead").select("n", "lead", alike.alias("alike")))
-        passed = judged.filter(F.col("alike") >= CANDIDATE).select(F.col("n").alias("a"), F.col("lead").alias("b"))
-        found = passed if found is None else found.unionByName(passed)
-        left = materialise(members.join(judged.filter(F.col("alike") < CONTENT), ["n", "lead"]).select("band", "n"))
-        if left.isEmpty():
-            break
-        rows = left.join(sig, "n")
-    return materialise(found.distinct())
+    key = F.xxhash64("band", F.slice("sig", F.col("band") * ROWS + 1, ROWS))
+    return rows.select("band", key.alias("key"), "n")
+
+
+def led(rows: DataFrame, sig: DataFrame) -> DataFrame:
+    """a, b: the members of buckets that look like their bucket's leader, with it (a > b)."""
+    rank = F.struct(F.xxhash64("band", "n.id", "n.text").alias("h"), F.col("n").alias("n"))
+    leads = rows.groupBy("band", "key").agg(F.min(rank).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.col("lead.n").alias("lead"))
+    pairs = rows.join(materialise(leads), ["band", "key"]).filter("n <> lead").select(F.greatest("n", "lead").alias("a"), F.least("n", "lead").alias("b")).distinct()
+    alike = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda z: z)) / F.lit(float(REGISTERS))
+    both = materialise(pairs).join(sig.select(F.col("n").alias("a"), F.col("sig").alias("s1")), "a").join(sig.select(F.col("n").alias("b"), F.col("sig").alias("s2")), "b")
+    return both.filter(alike >= CANDIDATE).select("a", "b")
+
+
+def blocks(rows: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """band, key, i, j, c, n, root: the members of buckets of three and more that are not all connected, in each block (i, j) that they
+    belong to as part c. Pairs are those of two parts, or those within one where i = j. Buckets of two have met as member and leader."""
+    rows = rows.join(roots, "n", "left").select("band", "key", "n", F.coalesce("root", "n").alias("root"))
+    per = rows.groupBy("band", "key", "root").agg(F.count("*").alias("of"))
+    size = per.groupBy("band", "key").agg(F.sum("of").alias("size"), F.max(F.struct("of", "root")).alias("main"))
+    open_ = materialise(size.filter("size > 2 and main.of < size").select("band", "key", "size", F.col("main.root").alias("main"), F.col("main.of").alias("mains")))
+    one = F.col("size") <= block
+    rest = F.when(one, 1).otherwise(F.ceil((F.col("size") - F.col("mains")) / block)).cast("int")
+    parts = F.when(one, 1).otherwise(rest + F.ceil(F.col("mains") / block)).cast("int")
+    dealt = rows.join(open_, ["band", "key"]).withColumns({"rest": rest, "parts": parts, "is_main": (F.col("root") == F.col("main")) & ~one, "h": F.xxhash64("n.text", "n.id")})
+    c = F.when(F.col("is_main"), F.col("rest") + F.pmod("h", F.col("parts") - F.col("rest"))).otherwise(F.pmod("h", F.col("rest"))).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rest")).otherwise(F.col("parts")) - 1)).alias("x")
+    return dealt.withColumn("c", c).select("band", "key", "n", "root", "c", meets).select("band", "key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "n", "root")
+
+
+def alike_in_blocks(rows: DataFrame, sig: DataFrame, best: int | None) -> DataFrame:
+    """a, b: pairs of a block's rows with different roots that look alike (a > b), or only the `best` likest of each row's where that is given.
+    Rows come sorted by block, and a task holds one block."""
+
+    def compare(block: tuple, rows: list[np.ndarray], out: list) -> None:
+        ids, sigs = rows
+        same = block[2] == block[3]
+        label = np.unique(ids[:, 3:5], axis=0, return_inverse=True)[1].ravel()
+        if label.max() == 0:
+            return
+        left = np.arange(len(ids)) if same else np.flatnonzero(ids[:, 2] == block[2])
+        right = left if same else np.flatnonzero(ids[:, 2] != block[2])
+        for at, k in enumerate(left):
+            other = right[at + 1 :] if same else right
+            other = other[label[other] != label[k]]
+            if len(other):
+                equal = np.count_nonzero(sigs[other] == sigs[k], axis=1)
+                if best is not None and len(other) > best:
+                    pick = np.argpartition(-equal, best)[:best]
+                    other, equal = other[pick], equal[pick]
+                other = other[equal >= CANDIDATE * REGISTERS]
+                out += [(tuple(ids[k, :2].tolist()), tuple(ids[o, :2].tolist())) for o in other]
+
+    def run(batches):
+        import pyarrow as pa
+
+        block, held = None, []
+
+        def pairs():
+            out: list = []
+            if held:
+                compare(block, [np.concatenate([h[i] for h in held]) for i in (0, 1)], out)
+            for i in range(0, len(out), 10_000):
+                some = [(max(p), min(p)) for p in out[i : i + 10_000]]
+                yield pa.RecordBatch.from_pydict({"a_id": [a[0] for a, _ in some], "a_text": [a[1] for a, _ in some], "b_id": [b[0] for _, b in some], "b_text": [b[1] for _, b in some]})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            ids = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in (5, 6, 4, 7, 8)])
+            sigs = batch.column(9).flatten().to_numpy().reshape(len(ids), -1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(ids)]):
+                now = tuple(keys[start].tolist())
+                if now != block:
+                    yield from pairs()
+                    block, held = now, []
+                held.append((ids[start:end], sigs[start:end].copy()))
+        yield from pairs()
+
+    flat = rows.join(sig, "n").select("band", "key", "i", "j", "c", F.col("n.id").alias("id"), F.col("n.text").alias("text"), F.col("root.id").alias("root_id"), F.col("root.text").alias("root_text"), "sig")
+    placed = flat.repartition(shards(rows), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    found = placed.mapInArrow(run, "a_id long, a_text long, b_id long, b_text long")
+    return found.select(node("a").alias("a"), node("b").alias("b")).distinct()
+
+
+def linked(reps: DataFrame, docs: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b: verified links that connect all representatives that share a bucket and are similar, directly or by others."""
+    sig = reps.select(node().alias("n"), "sig")
+    rows = materialise(buckets(reps))
+    tried = materialise(led(rows, sig))
+    sure = materialise(verified(tried, docs, similarity))
+    for best in (BEST, None):
+        left = materialise(blocks(rows, materialise(components(sure)), block))
+        more = materialise(alike_in_blocks(left, sig, best).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tried, sure = tried.unionByName(more), materialise(sure.unionByName(verified(more, docs, similarity)))
+    return sure
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -197,7 +275,7 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """k_id, k_text, class and group (ids, and the text keys of their first documents) of each document with words."""
     found = materialise(sketches(docs))
     reps = materialise(found.groupBy("c1", "c2").agg(F.min(F.struct("k_id", "k_text", "sig")).alias("r")).select("c1", "c2", "r.k_id", "r.k_text", "r.sig"))
-    links = materialise(verified(candidates(reps), docs, similarity))
+    links = materialise(linked(reps, docs, similarity))
     roots = materialise(components(links))
     named = materialise(reps.select("c1", "c2", node().alias("n")).join(roots, "n", "left").select("c1", "c2", "n", F.coalesce("root", "n").alias("root")))
     return found.select("k_id", "k_text", "c1", "c2").join(named, ["c1", "c2"]).select("k_id", "k_text", F.col("n").alias("class"), F.col("root").alias("group"))

@@ -138,6 +138,52 @@ def test_repeated_lines_do_not_hide_a_copy(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def variants_of_one_base(n, seed=21):
+    """A base, and n variants of it: each is similar to the base at 0.8 and more, and hardly any two are to each other."""
+    rng = random.Random(seed)
+    base = sentence(rng, 400).split()
+    rows = [(n, " ".join(base))]
+    for i in range(n):
+        copy = list(base)
+        for part in range(0, 399, 57):
+            copy[part + rng.randrange(5, 52)] = f"own{i}x{part}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_variants_of_one_base_are_one_group(spark):
+    rows = variants_of_one_base(1000)
+    sets = [shingles(t) for _, t in rows]
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    assert all(jaccard(sets[0], s) >= 0.8 for s in sets[1:]) and np.mean([jaccard(sets[i], sets[i + 1]) < 0.8 for i in range(1, 1000)]) > 0.7
+    got = Counter(r.group.id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got[0] >= 998  # 20 bands of 5 registers miss a pair at 0.84 now and then
+
+
+def test_blocks_hold_every_pair_not_connected_yet(spark):
+    row = lambda x: (x, 0)
+    rows = [(0, 7, row(i)) for i in range(60)] + [(0, 8, row(i)) for i in range(3)] + [(0, 9, row(i)) for i in (50, 51)]
+    roots = [(row(i), row(0)) for i in range(45)] + [(row(i), row(50)) for i in range(50, 54)]
+    key = "struct<id: long, text: long>"
+    found = near_dedup.blocks(spark.createDataFrame(rows, f"band int, key long, n {key}"), spark.createDataFrame(roots, f"n {key}, root {key}"), 8).collect()
+    held = defaultdict(list)
+    for r in found:
+        held[r.band, r.key, r.i, r.j].append(r)
+    met = {frozenset((x.n.id, y.n.id)) for (_, _, i, j), m in held.items() for x in m for y in m if x.root != y.root and (x.c, y.c) == (i, j)}
+    root = {n[0]: r[0] for n, r in roots}
+    assert met == {frozenset((i, j)) for i in range(60) for j in range(i) if root.get(i, i) != root.get(j, j)}
+    assert {k[1] for k in held} == {7}
+    assert max(map(len, held.values())) < 40
+
+
+def test_a_kept_document_that_is_repeated_is_kept_once(spark):
+    text = sentence(random.Random(8), 50)
+    rows = [(1, text, "a")] * 5 + [(1, text, "b"), (2, text, "a"), (3, None, "a"), (3, None, "a"), (3, "", "a"), (None, "!", None), (None, "!", None), (4, "other words", "a")]
+    left = near_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert left.columns == ["doc_id", "text", "lang"]
+    assert Counter(map(tuple, left.collect())) == Counter([(1, text, "a"), (3, None, "a"), (3, "", "a"), (None, "!", None), (4, "other words", "a")])
+
+
 def test_near_dedup_of_hard_texts(hard, empty):
     left = near_dedup.clean(hard)
     assert left.columns == hard.columns
