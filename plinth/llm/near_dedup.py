@@ -291,7 +291,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One document of each group, the one with the least id, with its columns."""
-    gone = materialise(groups(docs, similarity).filter(F.col("group") != node()).select("k_id", "k_text").distinct())
-    out = boxed(docs).join(gone, ["k_id", "k_text"], "left_anti")
+    """One document of each group, the one with the least id, with its columns. Rows repeated with the same id and text are one document:
+    the least row stays (by all columns; the first one met where a column's type has no order). Only rows of repeated keys are shuffled for that."""
+    gone = groups(docs, similarity).filter(F.col("group") != node()).select("k_id", "k_text").distinct()
+    own = [*row_key(F.col("doc_id"), F.col("text")), F.col("doc_id").isNull().alias("no_id"), F.col("text").isNull().alias("no_text")]
+    again = docs.select(*own).groupBy("k_id", "k_text", "no_id", "no_text").agg(F.count("*").alias("n")).filter("n > 1").select("k_id", "k_text").distinct()
+    both = gone.withColumn("drop", F.lit(True)).unionByName(again.withColumn("drop", F.lit(False)))
+    marks = materialise(both.groupBy("k_id", "k_text").agg(F.max("drop").alias("drop")))
+    left = boxed(docs).join(marks, ["k_id", "k_text"], "left")
+    repeated = left.filter("drop = false").groupBy("k_id", "k_text", F.col("doc_id").isNull(), F.col("text").isNull())
+    least = F.first("row") if "map<" in docs.schema.simpleString() or "variant" in docs.schema.simpleString() else F.min("row")
+    out = left.filter("drop is null").select("row").unionByName(repeated.agg(least.alias("row")).select("row"))
     return out.select(*unboxed(out, docs.columns))
