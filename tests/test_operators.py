@@ -239,3 +239,17 @@ def test_fingerprint_ignores_order(spark):
     df = frame(spark, [(i, None if i % 3 else "x") for i in range(20)], "a int, b string")
     assert export.fingerprint(df, ["a", "b"]).collect() == export.fingerprint(df.orderBy(F.desc("a")).repartition(3), ["a", "b"]).collect()
     assert export.fingerprint(df, ["a", "b"]).collect() != export.fingerprint(df.fillna({"b": ""}), ["a", "b"]).collect()
+
+
+def test_lanes_cover_all_orders(spark):
+    from plinth.plans import catalogue
+
+    sf_dir = "/root/testdata/sf0.01"  # the smaller table has no customer from 200 on
+    got = catalogue.QUERIES["q_lanes"](spark, sf_dir).collect()
+    assert sorted(r.o_orderkey for r in got) == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect())
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.o_custkey, r.start, r.o_orderkey)):
+        mine = ends.setdefault(r.o_custkey, [])
+        at = next((i for i, e in enumerate(mine) if e < r.start), len(mine))
+        mine[at : at + 1] = [r.end]
+        assert r.lane == at
