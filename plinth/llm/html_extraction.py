@@ -1,15 +1,21 @@
 """Main text of web pages by composite text density.
 
-Every node of the page's tree has its characters and tags, and those inside links. A node's composite text density is its
-characters per tag, weighed down as links make up more of it and the page as a whole holds few. A node's sum is that of its
-children's densities; the subtree with the largest sum is the main text, and the least density on its path up to the body is
-the threshold that parts inside it must reach unless they are mostly free of links. Elements that can't be main text by their
-kind or role (scripts, styles, forms, menus, footers, adverts, reader comments, ...) are left out of the tree from the start.
-If the largest sum lies within an article or main element, that element is taken.
+Every node of the page's tree has its characters and tags, and those that are noise: inside links, or in elements that by kind, role
+or class serve navigation, adverts, notices, forms or reader comments. A node's composite text density is its characters per tag, weighed down
+as noise makes up more of it and the page as a whole holds little. A node's sum is that of its children's densities; the
+subtree with the largest sum is the main text. The least density on its path up to the body is the threshold: a block inside the subtree of which
+more than half is noise must reach it to stay. Beside the path, what belongs to the same text is taken by the same rule: all of an
+enclosing article or main element; headings before the path, paragraphs, lists, quotations and tables; and parts whose own density reaches
+the threshold and whose largest sum is a quarter of the main one.
+
+A hint never removes anything by itself, it only makes noise of characters; it is void for headings, for ids (but for a div's whole id such
+as `comments`), and for an element that holds nine tenths of the page's text outside links and other hints, such as a form
+around the whole page. Words that also name parts of articles (legal, tags, related, notice, ...) count outside article and
+main elements only. Only what is never shown as text goes first: scripts, styles, templates, controls, hidden elements.
 
 Defined results: null or empty html gives an empty text. Character references are decoded; white space in a block becomes one
-space; blocks are joined by one line feed in page order; nothing is cut off. Each row gives one row; broken markup is read
-as far as it goes. Only page_id, url and html are read.
+space; blocks are joined by one line feed in page order; nothing is cut off. Of equal sums the first node in page order wins.
+Each row gives one row; broken markup is read as far as it goes. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -31,13 +37,26 @@ ENDS_P = BLOCKS - frozenset("body caption html legend option tbody td tfoot th t
 ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: An open element of these kinds hides what is outside it from the two rules above.
 SCOPES = frozenset("table ul ol dl div article section main aside nav body td th".split())
-#: Never main text.
-DROPPED = frozenset("head script style noscript template nav aside footer form button select textarea input iframe object svg canvas dialog menu label audio video".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|side|menus?|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|replies|disqus|respond|related|recommend(?:ed|ations)?|share|sharing|social|widgets?|toolbar|pagination|pager|tags|masthead|skip|copyright|legal)(?:$|[\s_-])",
+#: Never shown as text of the page.
+DROPPED = frozenset("head script style noscript template button select textarea input option datalist iframe object svg canvas audio video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Kinds that stand for prose beside the main subtree.
+PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
+#: Kinds and roles that are noise (a header only outside article and main).
+NOISE_KINDS = frozenset("nav aside footer form dialog menu label".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+#: Parts of class names that are noise anywhere, and whole class names that are noise outside article and main.
+NOISE_PARTS = re.compile(
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:ads?|adverts?|advertisements?|sponsored|promos?|banners?|sidebars?|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|popups?|newsletter|subscribe|signup|comments?|replies|disqus|respond|share|sharing|social|toolbar|pagination|pager|masthead)(?:$|[\s_](?!open|closed)|-(?!open|closed|status|count))",
+    re.I,
+)
+NOISE_NAMES = re.compile(
+    r"(?:^|\s)(?:side|menu|nav|foot|footer|header|notices?|alerts?|modal|overlay|login|related|recommend(?:ed|ations)?|widgets?|tags|skip|copyright|legal|sponsors?|promotions?)(?:[_-](?:box|bar|block|section|wrapper|container|list|links|area|posts|articles|inner|content|menu|nav))?(?:$|\s)",
     re.I,
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+NOISE_IDS = re.compile(r"(?:comments|respond|disqus_thread|sidebar|footer|header|masthead|nav|navigation|menu|cookie-?banner)$", re.I)
+#: Share of the text outside links and other hints from which an element's own hint is void; share of the largest sum for parts beside it.
+WHOLE, PART = 0.9, 0.25
 
 
 #: A comment, declaration or tag; a `<` that starts none of these is text. Attributes may hold `>` in quotes.
@@ -51,7 +70,7 @@ class Tree:
     """Nodes in page order as parallel lists; text pieces with the node and the block they lie in."""
 
     def __init__(self) -> None:
-        self.tag, self.up, self.off = ["#root"], [-1], [False]
+        self.tag, self.up, self.off, self.hint = ["#root"], [-1], [False], [False]
         self.open = [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
@@ -80,16 +99,25 @@ class Tree:
         if at < len(html):
             data(html[at:])
 
-    def dropped(self, tag: str, attributes: str) -> bool:
-        if tag in DROPPED or tag == "header" and not any(self.tag[i] in ("article", "main") for i in self.open):
-            return True
-        if not attributes or tag in ("html", "body", "article", "main"):
-            return False
-        for m in ATTRIBUTES.finditer(attributes):
+    def kind_of(self, tag: str, attributes: str) -> tuple[bool, bool]:
+        """Whether an element is dropped, and whether it is hinted to be noise."""
+        if tag in DROPPED:
+            return True, False
+        if tag in ("html", "body", "article", "main"):
+            return False, False
+        within = any(self.tag[i] in ("article", "main") for i in self.open)
+        hint = tag in NOISE_KINDS or tag == "header" and not within
+        for m in ATTRIBUTES.finditer(attributes) if attributes else ():
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id") and NAMES.search(value) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                return True, False
+            if name == "role":
+                hint = hint or value in NOISE_ROLES
+            elif name == "class":
+                hint = hint or bool(NOISE_PARTS.search(value)) or not within and bool(NOISE_NAMES.search(value))
+            elif name == "id" and tag == "div":
+                hint = hint or bool(NOISE_IDS.match(value))
+        return False, hint and tag not in HEADINGS
 
     def cut(self, kinds: tuple[str, ...]) -> None:
         """End the innermost open element of one of these kinds, if no scope hides it."""
@@ -111,7 +139,9 @@ class Tree:
         top = self.open[-1]
         self.tag.append(tag)
         self.up.append(top)
-        self.off.append(self.off[top] or self.dropped(tag, attributes))
+        off, hint = self.kind_of(tag, attributes)
+        self.off.append(off or self.off[top])
+        self.hint.append(hint)
         if tag in VOID:
             if tag == "br":
                 self.pieces.append((top, self.block, " "))
@@ -134,37 +164,61 @@ class Tree:
             self.pieces.append((top, self.block, unescape(data) if "&" in data else data))
 
 
+def summed(tree: Tree, own: list[int]) -> list[int]:
+    """For each node, the sum over its subtree, without what is off."""
+    out = list(own)
+    for i in range(len(out) - 1, 0, -1):
+        if not tree.off[i]:
+            out[tree.up[i]] += out[i]
+    return out
+
+
+def noise(tree: Tree, chars: list[int], linked: list[bool], free: list[int]) -> list[bool]:
+    """The nodes that are in links or under a hint that holds. free: characters outside links, by subtree."""
+    hint, n = list(tree.hint), len(tree.tag)
+    while True:
+        under, tops = [False] * n, []
+        for i in range(1, n):
+            under[i] = under[tree.up[i]] or hint[i]
+            if hint[i] and not under[tree.up[i]] and not tree.off[i]:
+                tops.append(i)
+        rest = free[0] - sum(free[i] for i in tops)
+        void = [i for i in tops if free[i] and free[i] >= WHOLE * (rest + free[i])]
+        if not void:
+            return [a or b for a, b in zip(linked, under)]
+        most = max(void, key=lambda i: free[i])
+        hint[most] = False
+
+
 def densities(tree: Tree) -> tuple[list[int], list[int], list[float], list[float]]:
-    """For each node: characters, link characters, composite density, sum of its children's densities."""
+    """For each node: characters, characters that are noise, composite density, sum of its children's densities."""
     n = len(tree.tag)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
     for i in range(1, n):
         linked[i] = linked[tree.up[i]] or tree.tag[i] == "a"
+    own, own_free = [0] * n, [0] * n
     for node, _, text in tree.pieces:
         size = len(text) - text.count(" ")
-        chars[node] += size
-        if linked[node]:
-            link_chars[node] += size
-    for i in range(n - 1, 0, -1):
-        if not tree.off[i]:
-            up = tree.up[i]
-            chars[up] += chars[i]
-            link_chars[up] += link_chars[i]
-            tags[up] += tags[i] + 1
-            link_tags[up] += link_tags[i] + (tree.tag[i] == "a")
-    page_chars, page_links = max(chars[0], 1), link_chars[0]
+        own[node] += size
+        if not linked[node]:
+            own_free[node] += size
+    chars = summed(tree, own)
+    void = noise(tree, chars, linked, summed(tree, own_free))
+    noisy = summed(tree, [c if v else 0 for c, v in zip(own, void)])
+    tags = summed(tree, [int(i > 0) for i in range(n)])
+    noise_tags = summed(tree, [int(i > 0 and v and (tree.tag[i] == "a" or not linked[i])) for i, v in enumerate(void)])
+    page_chars, page_noise = max(chars[0], 1), noisy[0]
     density, total = [0.0] * n, [0.0] * n
     for i in range(n):
         if tree.off[i] or not chars[i]:
             continue
-        c, t, lc, lt = chars[i], max(tags[i], 1), link_chars[i], link_tags[i]
-        free = max(c - lc, 1)
-        base = math.log(c / free * lc + page_links / page_chars * c + math.e)
+        inner = 1 if i else 0  # a node is not a tag of its own
+        c, t, lc, lt = chars[i], max(tags[i] - inner, 1), noisy[i], noise_tags[i] - (inner and void[i] and (tree.tag[i] == "a" or not linked[i]))
+        base = math.log(c / max(c - lc, 1) * lc + page_noise / page_chars * c + math.e)
         density[i] = c / t * math.log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0000001)) / base
     for i in range(1, n):
         total[tree.up[i]] += density[i]
-    return chars, link_chars, density, total
+    return chars, noisy, density, total
 
 
 def main_text(html: str | None) -> str:
@@ -173,29 +227,50 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     n = len(tree.tag)
-    chars, link_chars, density, total = densities(tree)
+    chars, noisy, density, total = densities(tree)
     if not chars[0]:
         return ""
-    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
-    inside = [False] * n
+    body = next((i for i in range(n) if tree.tag[i] == "body" and chars[i]), 0)
+    inside, largest = [False] * n, list(total)
     inside[body] = True
     for i in range(body + 1, n):
-        inside[i] = inside[tree.up[i]]
-    inside = inside if chars[body] else [True] * n
-    best = max((i for i in range(n) if inside[i] and not tree.off[i]), key=lambda i: (total[i], -i))
+        inside[i] = inside[tree.up[i]] and not tree.off[i]
+    for i in range(n - 1, 0, -1):
+        if not tree.off[i]:
+            largest[tree.up[i]] = max(largest[tree.up[i]], largest[i])
+    best = max((i for i in range(n) if inside[i]), key=lambda i: (total[i], -i))
     if total[best] <= 0:
-        best = body if chars[body] else 0
-    path, at = [], best
-    while at >= 0:
+        best = body
+    path, at = [best], best
+    while at != body:
+        at = tree.up[at]
         path.append(at)
-        at = tree.up[at] if at != body else -1
-    threshold = min(density[i] for i in path)
-    best = next((i for i in reversed(path) if tree.tag[i] in ("article", "main")), best)
+    threshold, on_path = min(density[i] for i in path), dict(zip(path[1:], path))
+    whole = {i for at, i in enumerate(path) if any(tree.tag[x] in ("article", "main") for x in path[at:])}
+
+    def stays(i: int) -> bool:
+        return tree.tag[i] not in BLOCKS and not tree.hint[i] or density[i] >= threshold or 2 * noisy[i] <= chars[i]
+
+    def belongs(i: int, up: int) -> bool:
+        """A part beside the path."""
+        if up in whole or tree.tag[i] in PROSE:
+            return stays(i)
+        if tree.tag[i] in HEADINGS:
+            return i < on_path[up] and stays(i)
+        return density[i] >= threshold and largest[i] >= PART * total[best] and 2 * noisy[i] <= chars[i]
+
     taken = [False] * n
     taken[best] = True
-    for i in range(best + 1, n):
-        if taken[tree.up[i]] and not tree.off[i]:
-            taken[i] = tree.tag[i] not in BLOCKS or density[i] >= threshold or 2 * link_chars[i] <= chars[i]
+    for i in range(body + 1, n):
+        up = tree.up[i]
+        if i == best or tree.off[i]:
+            continue
+        if up in on_path:
+            taken[i] = on_path[up] != i and belongs(i, up)
+        else:
+            taken[i] = taken[up] and stays(i)
+    for i in whole:
+        taken[i] = True  # text right in an article or main element
     blocks: dict[int, list[str]] = {}
     for node, block, text in tree.pieces:
         if taken[node]:
