@@ -1,7 +1,8 @@
 """Token counts by a two-tier, map-side lookup.
 
 Tier one is a compact table of the lengths of frequent pre-tokens, broadcast once. Tier two is a bounded cache in each
-Python worker, filled by encoding the misses of a slice of documents in one call. Pre-tokens are never shuffled.
+Python worker, filled by encoding the misses of a slice of documents in one call. The documents' pre-tokens are never shuffled;
+the table is made of a bounded sample, counted where it is read (each task holds the counts of its share), and only those counts are summed.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens). Every row gives one row, repeated ids included; only
 the id and text columns are read, so further columns of any name do no harm. An empty table gives an empty result.
@@ -11,7 +12,6 @@ encoded whole by the library, so special strings count as the library's defaults
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 
@@ -35,27 +35,27 @@ def lengths_by(tok):
 
 
 def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = 1500, entries: int = 50_000) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a bounded sample (the sample_docs rows with the least hashed id).
-    The table only saves work: counts don't depend on what is in it. At most `entries` entries come to the driver."""
+    """Lengths of the most frequent pre-tokens of about sample_docs texts (those with the least hashes; a task counts a repeated
+    one once). The table only saves work: counts don't depend on what is in it. At most `entries` pre-tokens come to the driver."""
 
     def count(batches):
         import pyarrow as pa
 
-        tok, seen = tokenizer(path), Counter()
+        counted, seen = Counter(), set()
         for batch in batches:
-            for (texts,) in sliced([batch.column(0).to_pylist()], 0):
-                for t in texts:
-                    if t and is_plain(t):
-                        seen.update(PRETOKENS.findall(t.lower()))
-        words = [w for w, _ in seen.most_common(entries)]
-        yield pa.RecordBatch.from_pydict({"found": [json.dumps(dict(zip(words, lengths_by(tok)(words))))]})
-
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample_docs)
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").coalesce(1)
-    merged: dict[str, int] = {}
-    for row in sample.mapInArrow(count, "found string").collect():
-        merged.update(json.loads(row.found))
-    return merged
+            for hashes, texts in sliced([c.to_pylist() for c in batch.columns], 1):
+                for h, t in zip(hashes, texts):
+                    if h not in seen and is_plain(t):
+                        counted.update(PRETOKENS.findall(t.lower()))
+                    seen.add(h)
+        top = counted.most_common(entries)
+        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+
+    share = sample_docs / max(docs.count(), 1)
+    sample = docs.select(F.xxhash64("text").alias("h"), "text").filter(F.col("text").isNotNull() & (F.col("h") / F.lit(2.0**64) + 0.5 < share))
+    best = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
+    words = [r.word for r in best.collect()]
+    return dict(zip(words, lengths_by(tokenizer(path))(words))) if words else {}
 
 
 def token_counts(docs: DataFrame, path: str, max_tokens: int = 2048, sample_docs: int = 1500, entries: int = 50_000, cache_entries: int = 300_000) -> DataFrame:
