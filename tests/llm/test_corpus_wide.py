@@ -192,14 +192,32 @@ def test_near_dedup_of_hard_texts(hard, empty):
     assert near_dedup.clean(empty).count() == 0
 
 
-def test_decontamination_paths_agree(spark, hard, empty):
+def brute_hits(text, items, size=10):
+    """n_words, n_hit, n_items, items_sha256 of a text, word by word."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words, hit, ids = cut(text), set(), set()
+    for item, t in items:
+        own = cut(t)
+        n = min(len(own), size)
+        if n:
+            windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
+            for i in range(len(words) - n + 1):
+                if tuple(words[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    ids.add(item)
+    return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(str(i) for i in ids if i is not None)).encode()).hexdigest(), bool(hit)
+
+
+def test_decontamination_against_brute_force_on_all_paths(spark, hard, empty):
     rng = random.Random(4)
-    items = [(1, sentence(rng, 25)), (2, "two words"), (3, None), (4, "!!!"), (5, hard_rows()[6][1]), (5, hard_rows()[6][1]), (None, sentence(rng, 11))]
-    bench = spark.createDataFrame(items, "item_id long, text string").filter("item_id is not null")
-    a = decontamination.decontaminate(hard, bench)
-    b = decontamination.decontaminate(hard, bench, most_windows=0)
-    rows = lambda df: sorted(map(str, df.select("doc_id", "hit").collect()))
-    assert rows(a) == rows(b) and a.filter("hit.contaminated").count() >= 4
+    texts = [t for _, t, *_ in hard_rows()]
+    items = [(1, sentence(rng, 25)), (2, "two words"), (3, None), (4, "!!!"), (5, texts[6]), (5, texts[6]), (None, sentence(rng, 11)), (6, "One"), (7, "no id here"), (None, texts[15][:400]), (None, "é"), (8, "the same ten words " * 300), (9, texts[18])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(str(tuple(brute_hits(t, items))) for t in texts)
+    for most in ({}, {"most_windows": 0}, {"most_windows": 0, "most_hashes": 0}):
+        got = decontamination.decontaminate(hard, bench, **most).select("hit.*").collect()
+        assert sorted(str(tuple(r)) for r in got) == want, most
+    assert sum("True" in x for x in want) >= 6
     none = decontamination.decontaminate(hard, bench.limit(0))
     assert none.filter("hit.contaminated").count() == 0 and none.count() == len(hard_rows())
     left = decontamination.clean(hard, bench)
