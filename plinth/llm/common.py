@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/plinth-shared"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Folders of the scopes that are open, innermost last.
+SCOPES: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours in shared storage, by the file system that it lies in."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside goes to one folder, which is removed at the end: for work whose result has been written elsewhere by then."""
+    SCOPES.append(f"{shared_dir(spark)}/plinth/{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove(spark, SCOPES.pop())
+
+
+def materialise(df: DataFrame, outside: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage for good:
-    the files outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plinth/{uuid.uuid4().hex}"
+    the files outlive any executor. outside: not in the innermost scope's folder, but in the one around it."""
+    spark, around = df.sparkSession, SCOPES[:-1] if outside else SCOPES
+    path = f"{around[-1] if around else f'{shared_dir(spark)}/plinth'}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what materialise() wrote, once nothing will read it again."""
+    if df is not None:
+        remove(df.sparkSession, df.written_to)
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:

@@ -1,27 +1,33 @@
 """Repeated 200-byte strings, by a logarithmic family of sparse suffix arrays.
 
-Documents are taken in batches (chunks of a few MB). A batch gets a suffix array over its anchors: of each window of `length`
-bytes, the k-gram with the least hash is its anchor, so equal windows have equal anchors wherever they lie, and a run of
-windows with one anchor is one segment, about one in 85 bytes. The array's suffixes are ordered by fingerprints of
-fixed-depth prefixes, as only equality at depth `length` matters. Each shard holds a range of the fingerprints and a family
-of sorted levels: the run of a new batch is merge-scanned with the levels, long matches are marked on both sides, and levels
-of like size merge, so each entry is rewritten a logarithmic number of times. This is done twice:
+Documents are taken in chunks of a few MB, and chunks in batches. Of each window of `length` bytes, the k-gram with the least hash is its
+anchor, so equal windows have equal anchors wherever they lie, and a run of windows with one anchor is one segment, about
+one in 90 bytes. A chunk's run is the sorted array of its anchors' suffixes. The order is that of 64-bit fingerprints of a prefix of fixed depth,
+with a second fingerprint of the whole surrounding, as only equality at depth `length` matters and not which of two unequal suffixes is less.
 
-1. for segments: a segment whose whole string is found again is covered as a whole; one whose anchor is found with
-   another surrounding is opened up;
-2. for the windows of opened segments (one for each distinct segment of a batch), which settles every window exactly.
+Each shard holds a range of the fingerprints and a family of sorted levels. Each run of a new batch is merge-scanned with all levels there
+are; matches are marked on both sides; then levels of like size merge, so that each entry is rewritten a logarithmic number of
+times. After each batch the family is a table in the shared folder, and the next batch meets it there. This is done three times, on ever fewer strings:
 
-Equal strings within a batch are one entry, so a passage in a third of all documents is one entry a batch. Texts move as
-compressed batch blobs; all else that is shuffled is fingerprints, and bits in answer.
+1. segments: one whose anchor is found once is done; one whose whole string is all there is at its anchor, several times, is
+   covered; one whose anchor has several surroundings is opened up;
+2. strips of at most 16 windows of opened segments, keyed by the bytes that all windows of the strip share: done, covered or opened likewise;
+3. windows of opened strips, and of segments that hold their anchor twice, which settles every window exactly.
+
+Equal strings of a chunk are one entry, so a passage in a third of all documents is one entry a chunk. Texts move as
+compressed blobs of chunks; all else that is shuffled is fingerprints, and a byte for each in answer. A match takes two equal 64-bit fingerprints
+of different strings (the key and its surrounding, or both halves of 128 bits), so that false ones are not to be expected at any size: among 10^13
+strings, 10^26 / 2 pairs against 2^128.
 
 Defined results: a null or empty text has 0 bytes and nothing removed. Strings are judged on the input; matches never cross
 documents; overlapping ones in a document count. Equal rows are separate documents (each is found in the other). Only doc_id and text are
-read. Fingerprints have 64 bits. A batch holds one document at least: memory is about 100 times the longest document or batch.
+read. A document longer than a chunk is cut into pieces that overlap by length - 1 bytes on both sides; a window counts for the piece
+it starts in. So memory doesn't grow with a document's length, but for its own bytes where its pieces are put together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shards, table
+from .common import discard, materialise, shards, table
 
-#: Bytes of text in a batch; length of the k-grams that anchor a window.
-BATCH_BYTES, GRAM = 1_500_000, 32
+#: Bytes of text in a chunk, and documents it has at most; length of the k-grams that anchor a window; windows in a strip; batches that the documents are dealt to.
+CHUNK_BYTES, CHUNK_DOCS, GRAM, STRIP, BATCHES = 1_500_000, 50_000, 32, 16, 2
 U = np.uint64
 #: Odd multipliers of the mixing steps.
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-ANCHORS, SEGMENTS, WINDOWS = 0, 1, 2
+#: What is known of a key: nothing that counts, one string, one string several times, several strings, an anchor that a segment holds twice.
+NONE, ONCE, AGAIN, SEVERAL, TIED = range(5)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,293 +72,403 @@ def least(h: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     return of(back[: n - width + 1], ahead[width - 1 : n])
 
 
-class Batch:
-    """The segments of a batch of byte strings, and the fingerprints of its windows."""
-
-    def __init__(self, texts: list[bytes], salt: int, length: int):
-        self.length = length
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        self.sizes = sizes
-        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-        n = len(data)
-        ends = self.starts + sizes
-        h = mixed(np.arange(1, 257, dtype=U) * M1)[data]
-        h[ends] = mixed(np.full(len(texts), salt + 1, U) * M3 + np.arange(len(texts), dtype=U) * M1)  # nothing is equal across an end
-        self.data = data
-        if n < length + 1:
-            self.first = self.last = np.zeros(0, np.int64)
-            self.anchor = self.print = np.zeros(0, U)
-            self.tied = np.zeros(0, bool)
+class Segments:
+    """The segments of a chunk, in order: first and last window, place of the anchor, its fingerprint, that of the whole string
+    from the first window to the last, whether the anchor occurs twice in it, and whether its windows count here."""
+
+    def __init__(self, data: bytes, starts: np.ndarray, sizes: np.ndarray, skip: np.ndarray, length: int):
+        text = np.frombuffer(data, np.uint8)
+        n, windows, width = len(text), len(text) - length + 1, length - GRAM + 1
+        empty = np.zeros(0, np.int64)
+        self.first = self.last = self.place = empty
+        self.key = self.print = empty.astype(U)
+        self.tied = self.counts = empty.astype(bool)
+        if windows < 1:
             return
-        self.levels, step = {}, 1
-        while step <= length:
-            if step == GRAM or length & step:
-                self.levels[step] = h
-            h = doubled(h, step) if 2 * step <= length else None
+        whole_step = 1 << (length.bit_length() - 1)
+        h, step, grams = mixed(np.arange(1, 257, dtype=U) * M1)[text], 1, None
+        while step < whole_step:
+            h = doubled(h, step)
             step *= 2
-        grams = self.levels[GRAM][: n - GRAM + 1]
-        width = length - GRAM + 1
-        low = least(grams, width)
-        windows = n - length + 1
-        low = low[:windows]
-        closed = np.zeros(n + 1, np.int32)
-        closed[ends + 1] = 1
-        closed = np.cumsum(closed[: n + 1])
-        whole = closed[length : length + windows] == closed[:windows]  # no end of a text among a window's bytes
-        turn = np.flatnonzero((low[1:] != low[:-1]) | (whole[1:] != whole[:-1])) + 1
-        first, last = np.concatenate([[0], turn]), np.concatenate([turn - 1, [windows - 1]])
-        # An anchor found twice in a segment: its windows may repeat within it.
+            grams = h[: n - GRAM + 1] if step == GRAM else grams
+        string = lambda at: mixed(h[at] * M1 + h[at + (length - whole_step)])  # noqa: E731  a window, by two overlapping blocks
+        low = least(grams, width)[:windows]
+        inside = np.zeros(n + 1, np.int32)  # texts are parted by one byte that belongs to none
+        inside[starts + sizes + 1] = 1
+        inside = np.cumsum(inside)
+        whole = inside[length : length + windows] == inside[:windows]
+        before = np.zeros(n + 1, np.int8)
+        np.add.at(before, starts, 1)
+        np.add.at(before, starts + skip, -1)
+        counts = np.cumsum(before)[:windows] == 0
+        change = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+        first = np.unique(np.concatenate([change, np.flatnonzero((whole[1:] != whole[:-1]) | (counts[1:] != counts[:-1])) + 1]))
+        last = np.concatenate([first[1:] - 1, [windows - 1]])
+        # Places that are the least of some window; those of one value in a row belong to one run of equal minima.
         top = least(np.concatenate([np.zeros(width - 1, U), low, np.zeros(width - 1, U)]), width, np.maximum)
         spots = np.flatnonzero(grams[: len(top)] == top)
-        del top
-        if not length & GRAM:
-            del self.levels[GRAM]
         value = grams[spots]
-        new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
-        times = np.diff(np.append(np.flatnonzero(new), len(value)))
-        change = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-        many = times > 1 if len(times) == len(change) else np.ones(len(change), bool)
-        tied = many[np.searchsorted(change, first, side="right") - 1]
+        group = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        run = np.searchsorted(change, first, side="right") - 1
+        if len(group) == len(change):
+            place, tied = spots[group][run], (np.diff(np.append(group, len(spots))) > 1)[run]
+        else:
+            place, tied = first, np.ones(len(first), bool)
         keep = whole[first]
-        self.first, self.last, self.tied = first[keep], last[keep], tied[keep]
-        self.anchor = mixed(low[self.first])
-        span = (self.last - self.first).astype(U)
-        self.print = mixed(self.window(self.first) * M1 + mixed(self.window(self.last) + span * M3))
-
-    def window(self, at: np.ndarray) -> np.ndarray:
-        """Fingerprints of the windows that start at these places."""
-        out, offset, size = None, 0, 1
-        bits = []
-        while size <= self.length:
-            if self.length & size:
-                bits.append(size)
-            size *= 2
-        for size in reversed(bits):
-            part = self.levels[size][at + offset]
-            out = part if out is None else mixed(out * M1 + part)
-            offset += size
-        return mixed(out)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, the print of one of their segments, and whether they have several (or one with a tie)."""
-        order = np.lexsort((self.print, self.anchor))
-        a, p, t = self.anchor[order], self.print[order], self.tied[order]
-        at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-        if not len(a):
-            return a, p, t
-        return a[at], p[at], (np.minimum.reduceat(p, at) != np.maximum.reduceat(p, at)) | np.logical_or.reduceat(t, at)
-
-    def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct prints of segments without ties, and whether they occur twice."""
-        u, n = np.unique(self.print[~self.tied], return_counts=True)
-        return u, n > 1
-
-    def opened(self, several: np.ndarray) -> np.ndarray:
-        """Starts of the windows to be looked up, given the bits in answer to anchors()."""
-        keys = self.anchors()[0]
-        if not len(keys):
-            return np.zeros(0, np.int64)
-        pick = np.flatnonzero(several[np.searchsorted(keys, self.anchor)])
-        plain = pick[~self.tied[pick]]
-        plain = plain[np.unique(self.print[plain], return_index=True)[1]]
-        pick = np.concatenate([plain, pick[self.tied[pick]]])
-        count = self.last[pick] - self.first[pick] + 1
-        return np.repeat(self.first[pick] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
-
-    def covered(self, again: np.ndarray, opened: np.ndarray, twice: np.ndarray) -> np.ndarray:
-        """Which bytes a repeated window covers: bits in answer to prints(); opened windows and whether each is repeated."""
-        edge = np.zeros(len(self.data) + 1, np.int32)
-        keys = np.unique(self.print[~self.tied])
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, self.print), len(keys) - 1)
-            full = np.flatnonzero(again[at] & ~self.tied)
-            np.add.at(edge, self.first[full], 1)
-            np.add.at(edge, self.last[full] + self.length, -1)
-        hit = opened[twice]
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + self.length, -1)
-        return np.cumsum(edge[:-1]) > 0
+        self.first, self.last, self.place, self.tied, self.counts = first[keep], last[keep], place[keep], tied[keep], counts[first[keep]]
+        self.key = mixed(low[self.first])
+        self.print = mixed(string(self.first) * M1 + mixed(string(self.last) + (self.last - self.first).astype(U) * M3))
+
+
+def hashes(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """128 bits for each of these strings, as two columns."""
+    from xxhash import xxh3_128_digest
+
+    view = memoryview(data)
+    return np.frombuffer(b"".join([xxh3_128_digest(view[a:b], seed) for a, b in zip(start.tolist(), end.tolist())]), "<u8").reshape(-1, 2).astype(U)
+
+
+def entries(key: np.ndarray, prints: np.ndarray, counts: np.ndarray, tied: np.ndarray | None = None) -> tuple[tuple, np.ndarray]:
+    """A sorted run (keys, prints, what is known), and the place of each string's key in it."""
+    order = np.lexsort((prints, key))
+    k, p = key[order], prints[order]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    place = np.zeros(len(k), np.int64)
+    place[order] = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1 if len(k) else 0
+    n = np.minimum(np.bincount(place, counts, len(at)), AGAIN).astype(np.uint8)
+    if len(at):
+        n[p[at] != p[np.append(at[1:], len(k)) - 1]] = SEVERAL
+        if tied is not None:
+            n[place[tied]] = TIED
+    return (k[at], p[at], n), place
 
 
 class Levels:
-    """A logarithmic family of sorted runs of (key, print, mark). A key's mark tells that it is known with two prints or more
-    than one occurrence."""
-
-    def __init__(self, by_print: bool):
-        self.by_print, self.runs = by_print, []
-
-    def matched(self, a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Merge-scan: places of b's keys in a, which are matches, and which of these count as long."""
-        at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
-        same = a[0][at] == b[0]
-        long = same & (a[2][at] | b[2] | (a[1][at] != b[1])) if self.by_print else same
-        return at, same, long
-
-    def merge(self, a: tuple, b: tuple) -> tuple:
-        at, same, long = self.matched(a, b)
-        marks = a[2].copy()
-        marks[at[long]] = True
-        fresh = ~same
+    """A logarithmic family of sorted runs: keys, prints, and what is known of each key."""
+
+    def __init__(self, runs: list[tuple] | None = None):
+        self.runs = sorted(runs or [], key=lambda r: -len(r[0]))
+
+    @staticmethod
+    def scan(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge-scan of two runs: places in a and in b of the keys they share, and what both together know of them."""
+        at = np.minimum(np.searchsorted(a[0], b[0]), max(len(a[0]) - 1, 0))
+        mine = np.flatnonzero(a[0][at] == b[0]) if len(a[0]) else np.zeros(0, np.int64)
+        at = at[mine]
+        x, y = a[2][at], b[2][mine]
+        known = np.minimum(x + y, AGAIN)
+        known = np.where((a[1][at] != b[1][mine]) | (np.maximum(x, y) >= SEVERAL), np.maximum(np.maximum(x, y), SEVERAL), known)
+        return at, mine, known.astype(np.uint8)
+
+    @staticmethod
+    def merge(a: tuple, b: tuple) -> tuple:
+        at, mine, known = Levels.scan(a, b)
+        n = a[2].copy()
+        n[at] = known
+        fresh = np.ones(len(b[0]), bool)
+        fresh[mine] = False
         keys = np.concatenate([a[0], b[0][fresh]])
         order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1][fresh]])[order], np.concatenate([marks, b[2][fresh]])[order]
+        return keys[order], np.concatenate([a[1], b[1][fresh]])[order], np.concatenate([n, b[2][fresh]])[order]
 
     def add(self, run: tuple) -> None:
-        if len(run[0]):
-            self.runs.append(run)
-            while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
-                b, a = self.runs.pop(), self.runs.pop()
-                self.runs.append(self.merge(a, b))
-
-    def close(self) -> tuple:
-        while len(self.runs) > 1:
+        if not len(run[0]):
+            return
+        new = run[2].copy()
+        for i, level in enumerate(self.runs):
+            at, mine, known = self.scan(level, run)
+            if (more := known >= AGAIN).any():
+                n = level[2].copy()
+                n[at[more]] = known[more]
+                new[mine[more]] = np.maximum(new[mine[more]], known[more])
+                self.runs[i] = (*level[:2], n)
+        self.runs.append((*run[:2], new))
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
             b, a = self.runs.pop(), self.runs.pop()
             self.runs.append(self.merge(a, b))
-        return self.runs[0] if self.runs else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, bool))
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """The most that any level knows of each key."""
+        out = np.zeros(len(keys), np.uint8)
+        for k, _, n in self.runs:
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            out = np.maximum(out, np.where(k[at] == keys, n[at], NONE))
+        return out
+
+
+CHUNKS = pa.schema([
+    ("chunk", pa.int64()), ("part", pa.int32()), ("cut", pa.bool_()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("skip", pa.int64()), ("own", pa.int64()), ("at", pa.int64()), ("whole", pa.int64()),
+    ("blob", pa.binary()), ("plan", pa.binary()), ("keys", pa.binary()), ("prints", pa.binary()), ("n", pa.binary()),
+])
+CHUNKS_DDL = "chunk long, part int, cut boolean, ids array<long>, sizes array<long>, skip long, own long, at long, whole long, blob binary, plan binary, keys binary, prints binary, n binary"
+
+
+def packed_run(run: tuple) -> dict[str, bytes]:
+    return {"keys": run[0].tobytes(), "prints": run[1].tobytes(), "n": run[2].tobytes()}
+
+
+def unpacked_run(keys: bytes, prints: bytes, n: bytes) -> tuple:
+    return np.frombuffer(keys, U), np.frombuffer(prints, U), np.frombuffer(n, np.uint8)
+
+
+def planned(*columns: np.ndarray) -> bytes:
+    return np.concatenate([np.asarray(c, np.int32) for c in columns]).tobytes() if len(columns[0]) else b""
+
+
+def read_plan(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data or b"", np.int32).reshape(width, -1).astype(np.int64)
+
+
+def as_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def packed(docs: DataFrame, batch_bytes: int) -> DataFrame:
-    """The documents as batches: ids, sizes and compressed bytes."""
+def chunked(docs: DataFrame, length: int, chunk_bytes: int, parts: int) -> DataFrame:
+    """The documents as chunks, each with its segments and its run of them. A piece of a cut document is a chunk of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
-        press = zstandard.ZstdCompressor(level=1)
+        task, number, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
 
-        def row():
-            blob = press.compress(b"".join(t or b"" for t in texts))
-            return pa.RecordBatch.from_pydict({"batch": [number], "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([[len(t or b"") for t in texts]], pa.list_(pa.int64())), "blob": [blob]})
+        def row(ids: list, texts: list[bytes], skip: int = 0, own: int = 0, at: int = 0, whole: int = -1):
+            nonlocal number
+            sizes = np.array([len(t) for t in texts], np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+            data = b"\0".join([*texts, b""])
+            s = Segments(data, starts, sizes, np.full(len(texts), skip), length)
+            found, place = entries(s.key, s.print, s.counts, s.tied)
+            chunk, number = (task << 24) + number, number + 1
+            return as_batch([{"chunk": chunk, "part": chunk % parts, "cut": whole >= 0, "ids": ids, "sizes": sizes.tolist(), "skip": skip, "own": own, "at": at, "whole": whole, "blob": press.compress(data), "plan": planned(s.first, s.last, s.place, place), **packed_run(found)}], CHUNKS)
 
+        ids, texts, size, cut = [], [], 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or b""
+                if len(text) > 2 * chunk_bytes:
+                    whole, cut = (task << 32) + cut, cut + 1
+                    for at in range(0, len(text), chunk_bytes):
+                        start, end = max(0, at - length + 1), min(len(text), at + chunk_bytes + length - 1)
+                        yield row([doc_id], [text[start:end]], at - start, min(chunk_bytes, len(text) - at), at, whole)
+                    continue
                 ids.append(doc_id)
                 texts.append(text)
-                size += len(text or b"")
-                if size >= batch_bytes:
-                    yield row()
-                    number, ids, texts, size = number + 1, [], [], 0
+                size += len(text)
+                if size >= chunk_bytes or len(ids) >= CHUNK_DOCS:
+                    yield row(ids, texts)
+                    ids, texts, size = [], [], 0
         if ids:
-            yield row()
+            yield row(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, "batch long, ids array<long>, sizes array<long>, blob binary")
+    return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8")).mapInArrow(run, CHUNKS_DDL)
 
 
-def unpacked(row: dict) -> list[bytes]:
-    import zstandard
+RUNS = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("prints", pa.binary()), ("n", pa.binary())])
+RUNS_DDL = "shard int, part int, chunk long, keys binary, prints binary, n binary"
 
-    data, at, out = zstandard.ZstdDecompressor().decompress(row["blob"], max_output_size=sum(row["sizes"]) + 1) if sum(row["sizes"]) else b"", 0, []
-    for n in row["sizes"]:
-        out.append(data[at : at + n])
-        at += n
-    return out
 
+def dealt(chunks: DataFrame, width: int) -> DataFrame:
+    """The runs of chunks, cut by the ranges of the key that the shards hold."""
 
-RUNS = "shard int, kind int, batch long, keys binary, prints binary, marks binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(i << 64) // width for i in range(1, width)], U)
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, prints, n = unpacked_run(row["keys"], row["prints"], row["n"])
+                bounds = [0, *np.searchsorted(keys, edges), len(keys)]
+                out = [{"shard": s, "part": row["part"], "chunk": row["chunk"], **packed_run((keys[a:b], prints[a:b], n[a:b]))} for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+                for i in range(0, len(out), 256):
+                    yield as_batch(out[i : i + 256], RUNS)
 
+    return chunks.select("chunk", "part", "keys", "prints", "n").mapInArrow(run, RUNS_DDL)
 
-def dealt(number: int, kind: int, keys: np.ndarray, prints: np.ndarray | None, marks: np.ndarray, width: int) -> Iterator[tuple]:
-    """A sorted run, cut by ranges of the key that the shards hold."""
-    bounds = [0, *np.searchsorted(keys, np.array([(i << 64) // width for i in range(1, width)], U)), len(keys)]
-    for s, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if a < b:
-            yield s, kind, number, keys[a:b].tobytes(), b"" if prints is None else prints[a:b].tobytes(), np.packbits(marks[a:b]).tobytes()
 
+def runs_of(pdf: pd.DataFrame) -> Iterator[tuple]:
+    for _, keys, prints, n in sorted(zip(pdf["chunk"], pdf["keys"], pdf["prints"], pdf["n"]), key=lambda x: x[0]):
+        yield unpacked_run(keys, prints, n)
 
-def as_batches(rows: Iterator[tuple], schema: pa.Schema, at_once: int = 64) -> Iterator[pa.RecordBatch]:
-    rows = list(rows)
-    for i in range(0, len(rows), at_once):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + at_once]), schema)], schema=schema)
 
+def added(runs: DataFrame, family: DataFrame | None) -> DataFrame:
+    """The family after a batch: one row a level and shard. Its table is what the next batch is scanned against."""
 
-RUNS_ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("prints", pa.binary()), ("marks", pa.binary())])
+    def add(levels: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        found = Levels(list(runs_of(levels)))
+        for r in runs_of(new):
+            found.add(r)
+        shard = (new if len(new) else levels)["shard"].iloc[0]
+        return pd.DataFrame([{"shard": shard, "chunk": i, **packed_run(r)} for i, r in enumerate(found.runs)], columns=["shard", "chunk", "keys", "prints", "n"])
 
+    schema = "shard int, chunk long, keys binary, prints binary, n binary"
+    if family is None:
+        return runs.groupBy("shard").applyInPandas(lambda pdf: add(pdf.iloc[:0], pdf), schema)
+    return family.groupBy("shard").cogroup(runs.groupBy("shard")).applyInPandas(add, schema)
 
-def answers(runs: DataFrame) -> DataFrame:
-    """One row for each run: shard, kind, batch, and a bit for each of its keys."""
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind, own in pdf.sort_values("batch").groupby("kind"):
-            family, taken = Levels(by_print=kind == ANCHORS), []
-            for batch, k, p, m in zip(own["batch"], own["keys"], own["prints"], own["marks"]):
-                keys = np.frombuffer(k, U)
-                run = keys, np.frombuffer(p, U) if len(p) else np.zeros(len(keys), U), np.unpackbits(np.frombuffer(m, np.uint8), count=len(keys)).astype(bool)
-                taken.append((batch, keys))
-                family.add(run)
-            index = family.close()
-            for batch, keys in taken:
-                out.append((own["shard"].iloc[0], kind, batch, np.packbits(index[2][np.searchsorted(index[0], keys)]).tobytes(), len(keys)))
-        return pd.DataFrame(out, columns=["shard", "kind", "batch", "bits", "n"])
+def answers(runs: DataFrame, family: DataFrame | None, last: int) -> DataFrame:
+    """The last batch is scanned against the family and joins it in memory; then each run's keys are looked up, and
+    what is known of them comes back, a row for each chunk and shard."""
 
-    return runs.groupBy("shard").applyInPandas(settle, "shard int, kind int, batch long, bits binary, n int")
+    def settle(levels: pd.DataFrame, all_runs: pd.DataFrame) -> pd.DataFrame:
+        found = Levels(list(runs_of(levels)))
+        for r in runs_of(all_runs[all_runs["part"] == last]):
+            found.add(r)
+        out = [(shard, chunk, found.known(np.frombuffer(k, U)).tobytes()) for shard, chunk, k in zip(all_runs["shard"], all_runs["chunk"], all_runs["keys"])]
+        return pd.DataFrame(out, columns=["shard", "chunk", "n"])
 
+    schema = "shard int, chunk long, n binary"
+    if family is None:
+        return runs.groupBy("shard").applyInPandas(lambda pdf: settle(pdf.iloc[:0], pdf), schema)
+    return family.groupBy("shard").cogroup(runs.groupBy("shard")).applyInPandas(settle, schema)
 
-def by_batch(found: DataFrame) -> DataFrame:
-    return found.groupBy("batch").agg(F.collect_list(F.struct("kind", "shard", "bits", "n")).alias("told"))
 
+def settled(chunks: DataFrame, width: int, parts: int) -> DataFrame:
+    """chunk, told: what the family knows of each chunk's keys after all batches, by shard."""
+    runs, family = dealt(chunks, width), None
+    for part in range(parts - 1):
+        grown = materialise(added(runs.filter(F.col("part") == part), family))
+        discard(family)
+        family = grown
+    found = answers(runs, family, parts - 1)
+    told = materialise(found.groupBy("chunk").agg(F.collect_list(F.struct("shard", "n")).alias("told")))
+    discard(family)
+    return told
 
-def bits_of(told: list[dict] | None, kind: int) -> np.ndarray:
-    parts = sorted((x for x in told or [] if x["kind"] == kind), key=lambda x: x["shard"])
-    return np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]).astype(bool) for x in parts] or [np.zeros(0, bool)])
 
+def known_of(told: list[dict] | None) -> np.ndarray:
+    return np.frombuffer(b"".join(x["n"] for x in sorted(told or [], key=lambda x: x["shard"])), np.uint8)
 
-def repeats(docs: DataFrame, length: int = 200, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """doc_id, n_bytes, spans (start and end of the maximal removed runs) and kept (the other bytes) for each row of docs."""
-    width = shards(docs)
-    batches = materialise(packed(docs, batch_bytes))
 
-    def segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in batch.to_pylist():
-                b = Batch(unpacked(row), row["batch"], length)
-                keys, prints, several = b.anchors()
-                yield from as_batches(dealt(row["batch"], ANCHORS, keys, prints, several, width), RUNS_ARROW)
-                keys, twice = b.prints()
-                yield from as_batches(dealt(row["batch"], SEGMENTS, keys, None, twice, width), RUNS_ARROW)
+def text_of(row: dict) -> bytes:
+    import zstandard
 
-    first = materialise(answers(batches.mapInArrow(segments, RUNS)))
+    return zstandard.ZstdDecompressor().decompress(row["blob"], max_output_size=sum(row["sizes"]) + len(row["sizes"]))
 
-    def windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for row in batch.to_pylist():
-                b = Batch(unpacked(row), row["batch"], length)
-                u, n = np.unique(b.window(b.opened(bits_of(row["told"], ANCHORS))), return_counts=True) if len(b.first) else (np.zeros(0, U), np.zeros(0))
-                yield from as_batches(dealt(row["batch"], WINDOWS, u, None, n > 1, width), RUNS_ARROW)
 
-    told = by_batch(first)
-    second = materialise(answers(batches.join(told, "batch").mapInArrow(windows, RUNS)))
+def opened(segments: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strips of the segments whose anchors have several surroundings: first and last window, and where the bytes they share begin."""
+    first, last, place, key = segments
+    pick = np.flatnonzero(known[key] == SEVERAL)
+    first, last, place = first[pick], last[pick], place[pick]
+    low, count = (place - last) // STRIP, (place - first) // STRIP - (place - last) // STRIP + 1
+    of = np.repeat(np.arange(len(pick)), count)
+    strip = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    shared = place[of] - STRIP * strip
+    return np.maximum(first[of], shared - STRIP + 1), np.minimum(last[of], shared), shared
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-        for batch in rows:
-            for row in batch.to_pylist():
-                texts = unpacked(row)
-                b = Batch(texts, row["batch"], length)
-                told = [*(row["told"] or []), *(row["more"] or [])]
-                if len(b.first):
-                    opened = b.opened(bits_of(told, ANCHORS))
-                    prints = b.window(opened)
-                    unique = np.unique(prints)
-                    twice = bits_of(told, WINDOWS)[np.searchsorted(unique, prints)] if len(unique) else np.zeros(0, bool)
-                    gone = b.covered(bits_of(told, SEGMENTS), opened, twice)
-                else:
-                    gone = np.zeros(len(b.data), bool)
-                edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                at = np.searchsorted(edges[:, 0], b.starts)
-                out = []
-                for i, (doc_id, text) in enumerate(zip(row["ids"], texts)):
-                    mine = edges[at[i] : at[i + 1] if i + 1 < len(at) else len(edges)] - b.starts[i]
-                    kept = text
-                    if len(mine):
-                        kept = np.frombuffer(text, np.uint8)[~gone[b.starts[i] : b.starts[i] + len(text)]].tobytes()
-                    out.append((doc_id, len(text), [{"start": s, "end": e} for s, e in mine.tolist()], kept))
-                yield from as_batches(iter(out), schema, 1000)
-
-    joined = batches.join(told, "batch", "left").join(by_batch(second).withColumnRenamed("told", "more"), "batch", "left")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+
+STEPS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("plan", pa.binary()), ("keys", pa.binary()), ("prints", pa.binary()), ("n", pa.binary())])
+STEPS_DDL = "chunk long, part int, plan binary, keys binary, prints binary, n binary"
+
+
+def mapped(df: DataFrame, fn: Callable[[dict], list[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = fn(batch.slice(i, 1).to_pylist()[0])
+                for j in range(0, len(out), 1000):
+                    yield as_batch(out[j : j + 1000], schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+def strips(row: dict, length: int) -> list[dict]:
+    first, last, shared = opened(read_plan(row["plan"], 4), known_of(row["told"]))
+    if not len(first):
+        return []
+    data = text_of(row)
+    found, place = entries(hashes(data, shared, shared + length - STRIP + 1)[:, 0], hashes(data, first, last + length, 1)[:, 0], first >= row["skip"])
+    return [{"chunk": row["chunk"], "part": row["part"], "plan": planned(first, last, place), **packed_run(found)}]
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    count = last - first + 1
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def windows(row: dict, length: int) -> list[dict]:
+    first, last, _, key = read_plan(row["plan"], 4)
+    tied = known_of(row["told"])[key] == TIED
+    at = [spread(first[tied], last[tied])]
+    first, last, key = read_plan(row["plan2"], 3)
+    if len(first):
+        open_ = known_of(row["told2"])[key] >= SEVERAL
+        at.append(spread(first[open_], last[open_]))
+    at = np.unique(np.concatenate(at))
+    if not len(at):
+        return []
+    h = hashes(text_of(row), at, at + length)
+    found, place = entries(h[:, 0], h[:, 1], at >= row["skip"])
+    return [{"chunk": row["chunk"], "part": row["part"], "plan": planned(at, place), **packed_run(found)}]
+
+
+def cover(row: dict, length: int) -> np.ndarray:
+    """Which bytes of a chunk a repeated window covers."""
+    edge = np.zeros(sum(row["sizes"]) + len(row["sizes"]) + 1, np.int32)
+
+    def mark(first: np.ndarray, last: np.ndarray) -> None:
+        np.add.at(edge, first, 1)
+        np.add.at(edge, last + length, -1)
+
+    for plan, told, width in (("plan", "told", 4), ("plan2", "told2", 3)):
+        p = read_plan(row[plan], width)
+        if p.shape[1]:
+            again = known_of(row[told])[p[-1]] == AGAIN
+            mark(p[0][again], p[1][again])
+    at, key = read_plan(row["plan3"], 2)
+    if len(at):
+        again = at[known_of(row["told3"])[key] == AGAIN]
+        mark(again, again)
+    return np.cumsum(edge[:-1]) > 0
+
+
+OUT = pa.schema([("whole", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+RESULT = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+
+
+def cut(row: dict, length: int) -> list[dict]:
+    data, gone = text_of(row), cover(row, length)
+    text, out, start = np.frombuffer(data, np.uint8), [], 0
+    for doc_id, size in zip(row["ids"], row["sizes"]):
+        a, b = (start + row["skip"], start + row["skip"] + row["own"]) if row["cut"] else (start, start + size)
+        mine = gone[a:b]
+        if mine.any():
+            spans = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2) + row["at"]
+            out.append({"whole": row["whole"], "at": row["at"], "doc_id": doc_id, "n_bytes": b - a, "spans": [{"start": s, "end": e} for s, e in spans.tolist()], "kept": text[a:b][~mine].tobytes()})
+        else:
+            out.append({"whole": row["whole"], "at": row["at"], "doc_id": doc_id, "n_bytes": b - a, "spans": [], "kept": data[a:b]})
+        start += size + 1
+    return out
+
+
+def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of one cut document."""
+    pdf = pdf.sort_values("at")
+    spans: list[dict] = []
+    for s in (s for x in pdf["spans"] for s in x):
+        if spans and spans[-1]["end"] == s["start"]:
+            spans[-1]["end"] = s["end"]
+        else:
+            spans.append({"start": s["start"], "end": s["end"]})
+    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1].astype("Int64").values, "n_bytes": [pdf["n_bytes"].sum()], "spans": [spans], "kept": [b"".join(pdf["kept"])]})
+
+
+def repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = CHUNK_BYTES, parts: int = BATCHES) -> DataFrame:
+    """doc_id, n_bytes, spans (start and end of the maximal removed runs) and kept (the other bytes) for each row of docs."""
+    width = shards(docs)
+    chunks = materialise(chunked(docs, length, chunk_bytes, parts))
+    told = settled(chunks, width, parts)
+    texts = chunks.select("chunk", "part", "skip", "sizes", "blob", "plan").join(told, "chunk")
+    second = materialise(mapped(texts, lambda row: strips(row, length), STEPS, STEPS_DDL))
+    told2 = settled(second, width, parts)
+    more = second.select("chunk", F.col("plan").alias("plan2")).join(told2.withColumnRenamed("told", "told2"), "chunk")
+    third = materialise(mapped(texts.join(more, "chunk", "left"), lambda row: windows(row, length), STEPS, STEPS_DDL))
+    told3 = settled(third, width, parts)
+    last = third.select("chunk", F.col("plan").alias("plan3")).join(told3.withColumnRenamed("told", "told3"), "chunk")
+    whole = chunks.drop("keys", "prints", "n").join(told, "chunk", "left").join(more, "chunk", "left").join(last, "chunk", "left")
+    ddl = f"whole long, at long, {RESULT}"
+    out = lambda of_cut: mapped(whole.filter(F.col("cut") == of_cut), lambda row: cut(row, length), OUT, ddl)
+    return out(False).select("doc_id", "n_bytes", "spans", "kept").unionByName(out(True).groupBy("whole").applyInPandas(put_together, RESULT))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,23 +60,52 @@ def test_repeated_strings_against_brute_force(spark, hard, empty):
                     gone[s : s + length] = True
             want.append((i, len(t), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.repeats(df, length, batch_bytes=3000).collect()]
-        assert sorted(got) == sorted(want)
+        for chunk_bytes, parts in ((3000, 3), (300, 1), (10**6, 2)):  # 300: most documents are cut into pieces
+            found = suffix_dedup.repeats(df, length, chunk_bytes, parts).collect()
+            got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in found]
+            assert sorted(got) == sorted(want), (length, chunk_bytes)
     assert suffix_dedup.repeats(empty).count() == 0
     assert suffix_dedup.repeats(hard).count() == len(hard_rows())
 
 
 def test_levels_merge_geometrically():
     rng = np.random.default_rng(0)
-    family, known = suffix_dedup.Levels(by_print=False), Counter()
-    for _ in range(40):
-        keys = np.unique(rng.integers(0, 3000, 50).astype(np.uint64))
-        known.update(keys.tolist())
-        family.add((keys, np.zeros(len(keys), np.uint64), np.zeros(len(keys), bool)))
+    family, times, prints = suffix_dedup.Levels(), Counter(), defaultdict(set)
+    for turn in range(40):
+        key = rng.integers(0, 900, 50).astype(np.uint64)
+        text = key * np.uint64(7) + (rng.random(50) < 0.02).astype(np.uint64)
+        counts = rng.random(50) < 0.8
+        run, place = suffix_dedup.entries(key, text, counts)
+        assert (run[0][place] == key).all()
+        family.add(run)
+        times.update(key[counts].tolist())
+        for k, t in zip(key.tolist(), text.tolist()):
+            prints[k].add(t)
+        if turn % 7 == 0:  # a family that was written and read again goes on as it was
+            family = suffix_dedup.Levels([suffix_dedup.unpacked_run(**suffix_dedup.packed_run(r)) for r in family.runs])
         sizes = [len(r[0]) for r in family.runs]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    keys, _, marks = family.close()
-    assert dict(zip(keys.tolist(), marks.tolist())) == {k: n > 1 for k, n in known.items()}
+        keys = np.array(sorted(prints), np.uint64)  # at any time, with no closing merge
+        want = [suffix_dedup.SEVERAL if len(prints[k]) > 1 else min(times[k], 2) for k in keys.tolist()]
+        assert family.known(keys).tolist() == want
+    assert len(family.runs) > 1
+
+
+def test_a_new_batch_meets_the_written_family(spark):
+    """The second batch's runs are scanned against the table that the first one left."""
+    rng = random.Random(3)
+    shared, width = sentence(rng, 80), 4
+    docs = spark.createDataFrame([(i, sentence(rng, 30) + (shared if i % 9 == 0 else "")) for i in range(40)], "doc_id long, text string").coalesce(1)
+    runs = suffix_dedup.dealt(suffix_dedup.materialise(suffix_dedup.chunked(docs, 200, 2000, 2)), width)
+    family = suffix_dedup.materialise(suffix_dedup.added(runs.filter("part = 0"), None))
+    grown = suffix_dedup.materialise(suffix_dedup.added(runs.filter("part = 1"), family))
+    of = lambda rows: {s: suffix_dedup.Levels(list(suffix_dedup.runs_of(p))) for s, p in rows.toPandas().groupby("shard")}
+    one, two, want = of(family), of(grown), of(suffix_dedup.added(runs, None))
+    assert sum(len(r[0]) for x in one.values() for r in x.runs) < sum(len(r[0]) for x in two.values() for r in x.runs)
+    for shard, found in two.items():
+        keys = np.unique(np.concatenate([r[0] for r in want[shard].runs]))
+        assert (found.known(keys) == want[shard].known(keys)).all() and (found.known(keys) > 0).all()
+    suffix_dedup.discard(family)
 
 
 def shingles(text):
