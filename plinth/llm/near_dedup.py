@@ -7,15 +7,16 @@ are decided by the Jaccard similarity of shingle sets, so each distinct shingle
 same number, and a line that one copy repeats doesn't hide it from the search.
 
 Exact copies (equal words) are one class from the start, by a combining aggregation. Bands of registers put class representatives
-into buckets. Each member of a bucket is first compared with one leader, another one in each band, and what the exact Jaccard their shingle sets confirms is linked. Then, after each member's likest others, all pairs of a bucket that are not connected yet are compared, in blocks of
-bounded size that are dealt to the tasks: members of the bucket's largest group meet only those outside it, so a bucket of any
-size whose members are alike costs one comparison a member. Pairs that look alike are verified too. So every two documents that
-share a bucket are connected or have been compared. Groups are the connected components of the verified links, by alternating
-large and small stars on tables in the shared folder.
+into buckets. Each member of a bucket is first compared with one leader, another one in each band, and what the exact Jaccard of their
+shingle sets confirms is linked. Then all pairs of a bucket that are not connected yet are compared exactly, in blocks of bounded
+size that are dealt to the tasks with the shingle sets: members of the bucket's largest group meet only those outside it, so a bucket of any
+size whose members are alike costs one comparison a member, and a block gives back only links that connect, one a member at most. So
+every two documents that share a bucket are connected or have been compared. Groups are the connected components of the verified
+links, by alternating large and small stars on tables in the shared folder.
 
 Defined results: texts without words (null, empty, symbols only) are groups of their own. Texts of fewer than five words are one
-shingle. The id of a class or group is the least doc_id in it (null ids first). Equal rows (same id and text) are one document and
-all get the same row. Only doc_id and text are read; `clean` passes further columns through. Whole texts count.
+shingle. The id of a class or group is the least doc_id in it (null ids first; a null id is given as null, and so would be -2^63). Equal rows
+(same id and text) are one document and all get the same row. Only doc_id and text are read; `clean` passes further columns through. Whole texts count.
 """
 
 from __future__ import annotations
@@ -34,10 +35,8 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 #: Share of agreeing registers (standard error 0.04) from which a pair is verified.
 CANDIDATE = 0.64
-#: Members of a bucket that a block holds on each of its two sides.
-BLOCK = 1024
-#: Likest others of each member that are verified before all that are left, as most groups are connected by them.
-BEST = 4
+#: Shingles of a bucket's members that a block holds on each of its two sides (one member at least).
+BLOCK = 500_000
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -105,7 +104,7 @@ def signatures(shingles: list[np.ndarray], registers: int) -> tuple[np.ndarray,
 
 
 def sketches(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
-    """k_id, k_text, c1, c2 (hash of the words in order) and sig of each document with words."""
+    """k_id, k_text, c1, c2 (hash of the words in order), size (distinct shingles) and sig of each document with words."""
 
     def factory():
         from xxhash import xxh3_128_intdigest
@@ -116,15 +115,15 @@ def sketches(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
             ids, keys, texts = columns
             words, shingles = shingler(texts)
             pick = [i for i, w in enumerate(words) if w]
-            sig, _ = signatures([np.unique(shingles[i]) for i in pick], registers)
+            sig, distinct = signatures([np.unique(shingles[i]) for i in pick], registers)
             whole = [xxh3_128_intdigest(" ".join(words[i]).encode("utf-8", "surrogatepass")) for i in pick]
             signed = np.array([[x >> 64, x & (2**64 - 1)] for x in whole], U).reshape(-1, 2).view(np.int64)
-            return {"k_id": [ids[i] for i in pick], "k_text": [keys[i] for i in pick], "c1": signed[:, 0], "c2": signed[:, 1], "sig": list(sig)}
+            return {"k_id": [ids[i] for i in pick], "k_text": [keys[i] for i in pick], "c1": signed[:, 0], "c2": signed[:, 1], "size": distinct, "sig": list(sig)}
 
         return run
 
     rows = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").filter("text is not null")
-    return map_slices(rows, "k_id long, k_text long, c1 long, c2 long, sig array<int>", factory, 2, 1 << 22)
+    return map_slices(rows, "k_id long, k_text long, c1 long, c2 long, size long, sig array<int>", factory, 2, 1 << 22)
 
 
 def node(prefix: str = "k") -> Column:
@@ -132,10 +131,10 @@ def node(prefix: str = "k") -> Column:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """band, key, n of each representative and band."""
-    rows = reps.select(F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig", node().alias("n"))
+    """band, key, n, of (distinct shingles) of each representative and band."""
+    rows = reps.select(F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig", node().alias("n"), F.col("size").alias("of"))
     key = F.xxhash64("band", F.slice("sig", F.col("band") * ROWS + 1, ROWS))
-    return rows.select("band", key.alias("key"), "n")
+    return rows.select("band", key.alias("key"), "n", "of")
 
 
 def led(rows: DataFrame, sig: DataFrame) -> DataFrame:
@@ -151,10 +150,10 @@ def led(rows: DataFrame, sig: DataFrame) -> DataFrame:
 def blocks(rows: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """band, key, i, j, c, n, root: the members of buckets of three and more that are not all connected, in each block (i, j) that they
     belong to as part c. Pairs are those of two parts, or those within one where i = j. Buckets of two have met as member and leader."""
-    rows = rows.join(roots, "n", "left").select("band", "key", "n", F.coalesce("root", "n").alias("root"))
-    per = rows.groupBy("band", "key", "root").agg(F.count("*").alias("of"))
-    size = per.groupBy("band", "key").agg(F.sum("of").alias("size"), F.max(F.struct("of", "root")).alias("main"))
-    open_ = materialise(size.filter("size > 2 and main.of < size").select("band", "key", "size", F.col("main.root").alias("main"), F.col("main.of").alias("mains")))
+    rows = rows.join(roots, "n", "left").select("band", "key", "n", "of", F.coalesce("root", "n").alias("root"))
+    per = rows.groupBy("band", "key", "root").agg(F.sum("of").alias("of"), F.count("*").alias("members"))
+    size = per.groupBy("band", "key").agg(F.sum("of").alias("size"), F.sum("members").alias("members"), F.count("*").alias("roots"), F.max(F.struct("of", "root")).alias("main"))
+    open_ = materialise(size.filter("members > 2 and roots > 1").select("band", "key", "size", F.col("main.root").alias("main"), F.col("main.of").alias("mains")))
     one = F.col("size") <= block
     rest = F.when(one, 1).otherwise(F.ceil((F.col("size") - F.col("mains")) / block)).cast("int")
     parts = F.when(one, 1).otherwise(rest + F.ceil(F.col("mains") / block)).cast("int")
@@ -164,58 +163,64 @@ def blocks(rows: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     return dealt.withColumn("c", c).select("band", "key", "n", "root", "c", meets).select("band", "key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "n", "root")
 
 
-def alike_in_blocks(rows: DataFrame, sig: DataFrame, best: int | None) -> DataFrame:
-    """a, b: pairs of a block's rows with different roots that look alike (a > b), or only the `best` likest of each row's where that is given.
-    Rows come sorted by block, and a task holds one block."""
-
-    def compare(block: tuple, rows: list[np.ndarray], out: list) -> None:
-        ids, sigs = rows
-        same = block[2] == block[3]
-        label = np.unique(ids[:, 3:5], axis=0, return_inverse=True)[1].ravel()
-        if label.max() == 0:
-            return
-        left = np.arange(len(ids)) if same else np.flatnonzero(ids[:, 2] == block[2])
-        right = left if same else np.flatnonzero(ids[:, 2] != block[2])
-        for at, k in enumerate(left):
-            other = right[at + 1 :] if same else right
-            other = other[label[other] != label[k]]
-            if len(other):
-                equal = np.count_nonzero(sigs[other] == sigs[k], axis=1)
-                if best is not None and len(other) > best:
-                    pick = np.argpartition(-equal, best)[:best]
-                    other, equal = other[pick], equal[pick]
-                other = other[equal >= CANDIDATE * REGISTERS]
-                out += [(tuple(ids[k, :2].tolist()), tuple(ids[o, :2].tolist())) for o in other]
+def connecting(ids: np.ndarray, sets: list[np.ndarray], same: bool, part: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows of a block that are similar, as many as it takes to connect all that are. ids: part, and root (two columns), of each row."""
+    label = np.unique(ids[:, 1:], axis=0, return_inverse=True)[1].ravel()
+    left = np.arange(len(ids)) if same else np.flatnonzero(ids[:, 0] == part)
+    right = left if same else np.flatnonzero(ids[:, 0] != part)
+    if not len(left) or not len(right) or label.max() == 0:
+        return []
+    size = np.array([len(x) for x in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    ends = np.cumsum(size)
+    own = [number[e - n : e] for e, n in zip(ends, size)]
+    others, starts = np.concatenate([own[o] for o in right]), np.cumsum(size[right]) - size[right]
+    here, out = np.zeros(number.max() + 1, bool), []
+    for k in left:
+        if (label[right] == label[k]).all():
+            continue
+        here[own[k]] = True
+        both = np.add.reduceat(here[others], starts, dtype=np.int64)
+        here[own[k]] = False
+        for o in right[(both >= (size[right] + size[k] - both) * similarity) & (label[right] != label[k])]:
+            if label[o] != label[k]:
+                out.append((k, o))
+                label[label == label[o]] = label[k]
+    return out
+
+
+def alike_in_blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all similar rows of a block (a > b). Rows come sorted by block, and a task holds one block."""
 
     def run(batches):
         import pyarrow as pa
 
-        block, held = None, []
+        block, ids, sets = None, [], []
 
-        def pairs():
-            out: list = []
-            if held:
-                compare(block, [np.concatenate([h[i] for h in held]) for i in (0, 1)], out)
-            for i in range(0, len(out), 10_000):
-                some = [(max(p), min(p)) for p in out[i : i + 10_000]]
-                yield pa.RecordBatch.from_pydict({"a_id": [a[0] for a, _ in some], "a_text": [a[1] for a, _ in some], "b_id": [b[0] for _, b in some], "b_text": [b[1] for _, b in some]})
+        def links():
+            if ids:
+                rows = np.concatenate(ids)
+                found = connecting(rows[:, 2:], sets, block[2] == block[3], block[2], similarity)
+                pairs = [sorted((tuple(rows[a, :2].tolist()), tuple(rows[b, :2].tolist()))) for a, b in found]
+                yield pa.RecordBatch.from_pydict({k: pa.array([p[i][j] for p in pairs], pa.int64()) for k, i, j in (("a_id", 1, 0), ("a_text", 1, 1), ("b_id", 0, 0), ("b_text", 0, 1))})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
-            ids = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in (5, 6, 4, 7, 8)])
-            sigs = batch.column(9).flatten().to_numpy().reshape(len(ids), -1)
+            own = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in (5, 6, 4, 7, 8)])
+            flat, at = batch.column(9).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(9).value_lengths().to_numpy())])
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(ids)]):
+            for start, end in zip([0, *cuts], [*cuts, len(own)]):
                 now = tuple(keys[start].tolist())
                 if now != block:
-                    yield from pairs()
-                    block, held = now, []
-                held.append((ids[start:end], sigs[start:end].copy()))
-        yield from pairs()
+                    yield from links()
+                    block, ids, sets = now, [], []
+                ids.append(own[start:end])
+                sets += [flat[at[r] : at[r + 1]].copy() for r in range(start, end)]
+        yield from links()
 
-    flat = rows.join(sig, "n").select("band", "key", "i", "j", "c", F.col("n.id").alias("id"), F.col("n.text").alias("text"), F.col("root.id").alias("root_id"), F.col("root.text").alias("root_text"), "sig")
+    flat = rows.join(sets, "n").select("band", "key", "i", "j", "c", F.col("n.id").alias("id"), F.col("n.text").alias("text"), F.col("root.id").alias("root_id"), F.col("root.text").alias("root_text"), "set")
     placed = flat.repartition(shards(rows), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
     found = placed.mapInArrow(run, "a_id long, a_text long, b_id long, b_text long")
     return found.select(node("a").alias("a"), node("b").alias("b")).distinct()
@@ -225,19 +230,15 @@ def linked(reps: DataFrame, docs: DataFrame, similarity: float, block: int = BLO
     """a, b: verified links that connect all representatives that share a bucket and are similar, directly or by others."""
     sig = reps.select(node().alias("n"), "sig")
     rows = materialise(buckets(reps))
-    tried = materialise(led(rows, sig))
-    sure = materialise(verified(tried, docs, similarity))
-    for best in (BEST, None):
-        left = materialise(blocks(rows, materialise(components(sure)), block))
-        more = materialise(alike_in_blocks(left, sig, best).join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            tried, sure = tried.unionByName(more), materialise(sure.unionByName(verified(more, docs, similarity)))
-    return sure
+    sure = materialise(verified(materialise(led(rows, sig)), docs, similarity))
+    left = materialise(blocks(rows, materialise(components(sure)), block))
+    more = alike_in_blocks(left, sets_of(left.select("n").distinct(), docs), similarity)
+    return sure.unionByName(materialise(more))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least this Jaccard similarity."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().select(F.col("n.id").alias("k_id"), F.col("n.text").alias("k_text")))
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """n, set: the distinct shingles of these documents."""
+    wanted = materialise(nodes.select(F.col("n.id").alias("k_id"), F.col("n.text").alias("k_text")))
     texts = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(wanted, ["k_id", "k_text"], "left_semi").dropDuplicates(["k_id", "k_text"])
 
     def factory():
@@ -248,7 +249,12 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
         return run
 
-    sets = materialise(map_slices(texts, "k_id long, k_text long, set array<long>", factory, 2)).select(node().alias("n"), "set")
+    return materialise(map_slices(texts, "k_id long, k_text long, set array<long>", factory, 2)).select(node().alias("n"), "set")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have at least this Jaccard similarity."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), docs)
     joined = pairs.join(sets.select(F.col("n").alias("a"), F.col("set").alias("s1")), "a").join(sets.select(F.col("n").alias("b"), F.col("set").alias("s2")), "b")
     both = F.size(F.array_intersect("s1", "s2"))
     return joined.select("a", "b", both.alias("both"), (F.size("s1") + F.size("s2") - both).alias("either")).filter(F.col("both") >= F.col("either") * similarity).select("a", "b")
@@ -274,7 +280,7 @@ def components(links: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """k_id, k_text, class and group (ids, and the text keys of their first documents) of each document with words."""
     found = materialise(sketches(docs))
-    reps = materialise(found.groupBy("c1", "c2").agg(F.min(F.struct("k_id", "k_text", "sig")).alias("r")).select("c1", "c2", "r.k_id", "r.k_text", "r.sig"))
+    reps = materialise(found.groupBy("c1", "c2").agg(F.min(F.struct("k_id", "k_text", "size", "sig")).alias("r")).select("c1", "c2", "r.k_id", "r.k_text", "r.size", "r.sig"))
     links = materialise(linked(reps, docs, similarity))
     roots = materialise(components(links))
     named = materialise(reps.select("c1", "c2", node().alias("n")).join(roots, "n", "left").select("c1", "c2", "n", F.coalesce("root", "n").alias("root")))
@@ -286,8 +292,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(docs).dropDuplicates(["k_id", "k_text"])
     rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")))
     out = rows.join(found, ["k_id", "k_text"], "left")
-    group = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("group.id"))
-    return out.select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class.id")).alias("class_id"), group.alias("group_id"), (F.col("group").isNull() | (F.col("group") == node())).alias("first"))
+    shown = lambda c: F.when(F.col(c).isNull(), F.col("doc_id")).otherwise(F.nullif(F.col(f"{c}.id"), F.lit(-(1 << 63))))
+    return out.select("doc_id", shown("class").alias("class_id"), shown("group").alias("group_id"), (F.col("group").isNull() | (F.col("group") == node())).alias("first"))
 
 
 def clean(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -194,7 +194,8 @@ def test_blocks_hold_every_pair_not_connected_yet(spark):
     rows = [(0, 7, row(i)) for i in range(60)] + [(0, 8, row(i)) for i in range(3)] + [(0, 9, row(i)) for i in (50, 51)]
     roots = [(row(i), row(0)) for i in range(45)] + [(row(i), row(50)) for i in range(50, 54)]
     key = "struct<id: long, text: long>"
-    found = near_dedup.blocks(spark.createDataFrame(rows, f"band int, key long, n {key}"), spark.createDataFrame(roots, f"n {key}, root {key}"), 8).collect()
+    sized = [(*r, 100) for r in rows]
+    found = near_dedup.blocks(spark.createDataFrame(sized, f"band int, key long, n {key}, of long"), spark.createDataFrame(roots, f"n {key}, root {key}"), 800).collect()
     held = defaultdict(list)
     for r in found:
         held[r.band, r.key, r.i, r.j].append(r)
@@ -205,6 +206,43 @@ def test_blocks_hold_every_pair_not_connected_yet(spark):
     assert max(map(len, held.values())) < 40
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_connect_all_that_is_similar(same):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, (4, 40))
+    sets = [np.unique(np.where(rng.random(40) < 0.12, rng.integers(0, 2**62, 40), base[i % 4])) for i in range(30)]
+    ids = np.array([(i % 2 * (not same), i // 2 if i < 8 else i, 0) for i in range(30)])
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    meet = [(i, j) for i in range(30) for j in range(i) if same or ids[i, 0] != ids[j, 0]]
+
+    def labels(links):
+        out = {i: int(ids[i, 1]) + 100 for i in range(30)}
+        for i, j in links:
+            a, b = out[i], out[j]
+            out = {k: min(a, b) if v in (a, b) else v for k, v in out.items()}
+        return out
+
+    found = near_dedup.connecting(ids, sets, same, 0, 0.8)
+    assert all(jaccard(sets[i], sets[j]) >= 0.8 for i, j in found) and len(found) < 30
+    assert labels(found) == labels([(i, j) for i, j in meet if jaccard(sets[i], sets[j]) >= 0.8])
+
+
+def test_links_of_the_test_table(spark):
+    """Of all links at the threshold in sf0.01, by an inverted index of all shingles, none is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect() if r.text}
+    texts = {r.doc_id: " ".join(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in docs.collect()}
+    at, pairs = defaultdict(list), set()
+    for i, s in sorted(sets.items()):
+        for x in s:
+            pairs |= {(j, i) for j in at[x]}
+            at[x].append(i)
+    links = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = {r.k_id: r.group.id for r in near_dedup.groups(docs).collect()}
+    assert len(links) > 50 and all(group[i] == group[j] for i, j in links)
+    assert sum(texts[i] != texts[j] for i, j in links) > 10
+
+
 def test_a_kept_document_that_is_repeated_is_kept_once(spark):
     text = sentence(random.Random(8), 50)
     rows = [(1, text, "a")] * 5 + [(1, text, "b"), (2, text, "a"), (3, None, "a"), (3, None, "a"), (3, "", "a"), (None, "!", None), (None, "!", None), (4, "other words", "a")]
