@@ -203,6 +203,9 @@ CHUNKS = pa.schema([
 CHUNKS_DDL = "chunk long, part int, cut boolean, ids array<long>, sizes array<long>, skip long, own long, at long, whole long, blob binary, plan binary, keys binary, prints binary, n binary"
 
 
+EMPTY = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.uint8)
+
+
 def packed_run(run: tuple) -> dict[str, bytes]:
     return {"keys": run[0].tobytes(), "prints": run[1].tobytes(), "n": run[2].tobytes()}
 
@@ -357,8 +360,8 @@ def opened(segments: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.maximum(first[of], shared - STRIP + 1), np.minimum(last[of], shared), shared
 
 
-STEPS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("plan", pa.binary()), ("keys", pa.binary()), ("prints", pa.binary()), ("n", pa.binary())])
-STEPS_DDL = "chunk long, part int, plan binary, keys binary, prints binary, n binary"
+STEPS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("plan", pa.binary()), ("marks", pa.binary()), ("tied", pa.binary()), ("keys", pa.binary()), ("prints", pa.binary()), ("n", pa.binary())])
+STEPS_DDL = "chunk long, part int, plan binary, marks binary, tied binary, keys binary, prints binary, n binary"
 
 
 def mapped(df: DataFrame, fn: Callable[[dict], list[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
@@ -372,13 +375,32 @@ def mapped(df: DataFrame, fn: Callable[[dict], list[dict]], schema: pa.Schema, d
     return df.mapInArrow(run, ddl)
 
 
+def edges_of(gone: np.ndarray) -> np.ndarray:
+    """Starts and ends of the runs of covered bytes, as two rows."""
+    return np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).T
+
+
+def covered(row: dict, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of a chunk the windows from first to last cover, with what the steps before have marked."""
+    edge = np.zeros(sum(row["sizes"]) + len(row["sizes"]) + 1, np.int32)
+    start, end = read_plan(row.get("marks"), 2)
+    np.add.at(edge, np.concatenate([first, start]), 1)
+    np.add.at(edge, np.concatenate([last + length, end]), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def strips(row: dict, length: int) -> list[dict]:
-    first, last, shared = opened(read_plan(row["plan"], 4), known_of(row["told"]))
-    if not len(first):
-        return []
-    data = text_of(row)
-    found, place = entries(hashes(data, shared, shared + length - STRIP + 1)[:, 0], hashes(data, first, last + length, 1)[:, 0], first >= row["skip"])
-    return [{"chunk": row["chunk"], "part": row["part"], "plan": planned(first, last, place), **packed_run(found)}]
+    """The second step of a chunk: what its segments cover, those whose windows are looked up one by one, and the run of the strips of the others."""
+    plan, known = read_plan(row["plan"], 4), known_of(row["told"])
+    state = known[plan[3]]
+    marks = edges_of(covered(row, plan[0][state == AGAIN], plan[1][state == AGAIN], length))
+    first, last, shared = opened(plan, known)
+    found, place = EMPTY, first
+    if len(first):
+        data = text_of(row)
+        found, place = entries(hashes(data, shared, shared + length - STRIP + 1)[:, 0], hashes(data, first, last + length, 1)[:, 0], first >= row["skip"])
+    tied = planned(plan[0][state == TIED], plan[1][state == TIED])
+    return [{"chunk": row["chunk"], "part": row["part"], "plan": planned(first, last, place), "marks": planned(*marks), "tied": tied, **packed_run(found)}]
 
 
 def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -387,39 +409,23 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def windows(row: dict, length: int) -> list[dict]:
-    first, last, _, key = read_plan(row["plan"], 4)
-    tied = known_of(row["told"])[key] == TIED
-    at = [spread(first[tied], last[tied])]
-    first, last, key = read_plan(row["plan2"], 3)
-    if len(first):
-        open_ = known_of(row["told2"])[key] >= SEVERAL
-        at.append(spread(first[open_], last[open_]))
-    at = np.unique(np.concatenate(at))
-    if not len(at):
-        return []
-    h = hashes(text_of(row), at, at + length)
-    found, place = entries(h[:, 0], h[:, 1], at >= row["skip"])
-    return [{"chunk": row["chunk"], "part": row["part"], "plan": planned(at, place), **packed_run(found)}]
+    """The third step: what the strips cover too, and the run of the windows of those that are open still."""
+    first, last, key = read_plan(row["plan"], 3)
+    state = known_of(row["told"])[key] if len(key) else key
+    marks = edges_of(covered(row, first[state == AGAIN], last[state == AGAIN], length))
+    at = np.unique(np.concatenate([spread(*read_plan(row["tied"], 2)), spread(first[state >= SEVERAL], last[state >= SEVERAL])]))
+    found, place = EMPTY, at
+    if len(at):
+        h = hashes(text_of(row), at, at + length)
+        found, place = entries(h[:, 0], h[:, 1], at >= row["skip"])
+    return [{"chunk": row["chunk"], "part": row["part"], "plan": planned(at, place), "marks": planned(*marks), "tied": b"", **packed_run(found)}]
 
 
 def cover(row: dict, length: int) -> np.ndarray:
     """Which bytes of a chunk a repeated window covers."""
-    edge = np.zeros(sum(row["sizes"]) + len(row["sizes"]) + 1, np.int32)
-
-    def mark(first: np.ndarray, last: np.ndarray) -> None:
-        np.add.at(edge, first, 1)
-        np.add.at(edge, last + length, -1)
-
-    for plan, told, width in (("plan", "told", 4), ("plan2", "told2", 3)):
-        p = read_plan(row[plan], width)
-        if p.shape[1]:
-            again = known_of(row[told])[p[-1]] == AGAIN
-            mark(p[0][again], p[1][again])
-    at, key = read_plan(row["plan3"], 2)
-    if len(at):
-        again = at[known_of(row["told3"])[key] == AGAIN]
-        mark(again, again)
-    return np.cumsum(edge[:-1]) > 0
+    at, key = read_plan(row["plan"], 2)
+    again = at[known_of(row["told"])[key] == AGAIN] if len(at) else at
+    return covered(row, again, again, length)
 
 
 OUT = pa.schema([("whole", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
@@ -457,15 +463,15 @@ def repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = CHUNK_BYTES,
     """doc_id, n_bytes, spans (start and end of the maximal removed runs) and kept (the other bytes) for each row of docs."""
     width = shards(docs)
     chunks = materialise(chunked(docs, length, chunk_bytes, parts))
-    told = settled(chunks, width, parts)
-    texts = chunks.select("chunk", "part", "skip", "sizes", "blob", "plan").join(told, "chunk")
-    second = materialise(mapped(texts, lambda row: strips(row, length), STEPS, STEPS_DDL))
-    told2 = settled(second, width, parts)
-    more = second.select("chunk", F.col("plan").alias("plan2")).join(told2.withColumnRenamed("told", "told2"), "chunk")
-    third = materialise(mapped(texts.join(more, "chunk", "left"), lambda row: windows(row, length), STEPS, STEPS_DDL))
-    told3 = settled(third, width, parts)
-    last = third.select("chunk", F.col("plan").alias("plan3")).join(told3.withColumnRenamed("told", "told3"), "chunk")
-    whole = chunks.drop("keys", "prints", "n").join(told, "chunk", "left").join(more, "chunk", "left").join(last, "chunk", "left")
+    texts = chunks.select("chunk", "part", "skip", "sizes", "blob")
+    first = chunks.select("chunk", "plan").join(settled(chunks, width, parts), "chunk")
+    second = materialise(mapped(texts.join(first, "chunk"), lambda row: strips(row, length), STEPS, STEPS_DDL))
+    told = settled(second, width, parts)
+    step = second.select("chunk", "plan", "marks", "tied").join(told, "chunk", "left")
+    third = materialise(mapped(texts.join(step, "chunk"), lambda row: windows(row, length), STEPS, STEPS_DDL))
+    discard(second)
+    last = third.select("chunk", F.col("plan"), "marks").join(settled(third, width, parts), "chunk", "left")
+    whole = chunks.drop("part", "plan", "keys", "prints", "n").join(last, "chunk", "left")
     ddl = f"whole long, at long, {RESULT}"
     out = lambda of_cut: mapped(whole.filter(F.col("cut") == of_cut), lambda row: cut(row, length), OUT, ddl)
     return out(False).select("doc_id", "n_bytes", "spans", "kept").unionByName(out(True).groupBy("whole").applyInPandas(put_together, RESULT))
