@@ -43,7 +43,7 @@ def gaps(df: DataFrame, metric: str, tier: str, value: str, up: Column) -> DataF
     """Distance to the benchmark: the peers' median where a tier has two members or more, else the national one; and whether it is favourable."""
     nat = df.groupBy(metric).agg(F.median(value).alias("national"))
     peer = df.groupBy(metric, tier).agg(F.when(F.count("*") >= 2, F.median(value)).alias("peer"))
-    j = df.join(F.broadcast(nat), metric).join(F.broadcast(peer), [metric, tier])
+    j = df.join(nat, metric).join(peer, [metric, tier])
     j = j.withColumn("benchmark", F.coalesce("peer", "national"))
     gap = F.col(value) - F.col("benchmark")
     return j.withColumns({"gap": gap, "favourable": F.when(gap == 0, F.lit(None).cast("boolean")).when(up, gap > 0).otherwise(gap < 0)})

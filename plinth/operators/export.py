@@ -28,9 +28,19 @@ def bundles(obs: DataFrame, key: str, series: str, fields: list[str]) -> DataFra
     return per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(series, "observations"))).alias("series"))
 
 
-def write_bundles(df: DataFrame, path: str, key: str) -> None:
-    """One folder of JSON a key; a key's rows are brought together first, so each folder has one file unless it is large."""
-    df.repartition(F.col(key)).write.mode("overwrite").partitionBy(key).json(path)
+def write_bundles(df: DataFrame, path: str, *keys: str) -> None:
+    """One folder of JSON a key (nested ones for several, such as level and code); a key's rows are brought together first, so each
+    folder has one file unless it is large."""
+    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).json(path)
+
+
+def write_with_manifest(df: DataFrame, path: str, *keys: str) -> DataFrame:
+    """Bundles, and beside them their manifest: each file with its rows' keys, size and SHA-256, in order of the files' names."""
+    write_bundles(df, f"{path}/bundles", *keys)
+    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(f"{path}/bundles")
+    found = manifest(files).select(*[F.regexp_extract("path", f"/{k}=([^/]+)/", 1).alias(k) for k in keys], "file", "bytes", "sha256")
+    found.orderBy(*keys, "file").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/manifest")
+    return found
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -43,6 +53,19 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_pretty(df: DataFrame, path: str) -> None:
+    """Rows of indented JSON, one document a row, parted by line feeds."""
+    text = F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    df.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def verified(files: DataFrame, stated: DataFrame) -> DataFrame:
+    """file and finding: files (file, bytes, sha256) against what a manifest states of them."""
+    j = files.select("file", F.col("bytes").alias("b"), F.col("sha256").alias("s")).join(stated.select("file", F.col("bytes").alias("sb"), F.col("sha256").alias("ss")), "file", "full_outer")
+    finding = F.when(F.col("s").isNull(), "missing").when(F.col("ss").isNull(), "not in the manifest").when(F.col("b") != F.col("sb"), "bytes differ").when(F.col("s") != F.col("ss"), "checksum differs").otherwise("ok")
+    return j.select("file", finding.alias("finding"))
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """Files of a binaryFile scan with size and SHA-256, in order of their names."""
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return df.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

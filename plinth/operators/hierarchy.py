@@ -21,7 +21,7 @@ def share_of_parent(df: DataFrame, parent: list[str], child: str, value: str, si
     """Rank among siblings and share of their sum, null unless all siblings have a value (and it can be added up)."""
     total = siblings.groupBy(*parent).agg(F.count_distinct(child).alias("n_siblings"))
     w = Window.partitionBy(*parent)
-    j = df.join(F.broadcast(total), parent).withColumns({"n_with": F.count(value).over(w), "sum_all": F.sum(value).over(w), "sibling_rank": F.rank().over(w.orderBy(F.col(value).desc_nulls_last())).cast("long")})
+    j = df.join(total, parent).withColumns({"n_with": F.count(value).over(w), "sum_all": F.sum(value).over(w), "sibling_rank": F.rank().over(w.orderBy(F.col(value).desc_nulls_last())).cast("long")})
     share = F.when((F.col("n_with") == F.col("n_siblings")) & F.lit(additive), F.try_divide(F.col(value) * 100, F.col("sum_all")))
     return j.select(*df.columns, "sibling_rank", share.alias("share"))
 

@@ -49,12 +49,58 @@ def similarity_cost(a: Column, b: Column) -> Column:
 
 
 def fuzzy_match(source: DataFrame, target: DataFrame, block: str, name: str, target_name: str, target_id: str, most: float, margin: float) -> DataFrame:
-    """Best target in the same block for each source row: cost at most `most` and the runner-up worse by `margin`."""
-    pairs = source.join(target.select(block, F.col(target_name).alias("t_name"), F.col(target_id).alias("t_id")), block)
+    """Each source row with the best target of its block, if its cost is at most `most` and the runner-up is worse by `margin`, else with nulls.
+    Equal names of a block are compared once; no source row or column is lost."""
+    pairs = source.select(block, name).distinct().join(target.select(block, F.col(target_name).alias("t_name"), F.col(target_id).alias("t_id")), block)
+    costs = pairs.withColumn("cost", similarity_cost(F.col(name), F.col("t_name")))
     w = Window.partitionBy(block, name).orderBy("cost", "t_id")
-    ranked = pairs.withColumn("cost", similarity_cost(F.col(name), F.col("t_name"))).withColumns({"k": F.row_number().over(w), "next": F.lead("cost").over(w)})
+    ranked = costs.withColumns({"k": F.row_number().over(w), "next": F.lead("cost").over(w)})
     ok = (F.col("cost") <= most) & (F.col("next").isNull() | (F.col("next") - F.col("cost") >= margin))
-    return ranked.filter("k = 1").select(block, name, F.when(ok, F.col("t_id")).alias("t_id"), F.when(ok, F.col("t_name")).alias("t_name"))
+    return source.join(ranked.filter(ok & (F.col("k") == 1)).select(block, name, "t_id", "t_name"), [block, name], "left")
+
+
+def equal_pass(method: str, columns: list[str]):
+    """Match on equal columns that are unique on both sides."""
+
+    def run(s: DataFrame, t: DataFrame, key: str) -> DataFrame:
+        one = lambda df: df.withColumn("c", F.count("*").over(Window.partitionBy(*columns))).filter("c = 1").drop("c")
+        return one(s).select(*columns, key).join(one(t).select(*columns, f"t_{key}"), columns).select(key, f"t_{key}", F.lit(method).alias("method"))
+
+    return run
+
+
+def fuzzy_pass(method: str, block: str, name: str, most: float, margin: float):
+    """Match each row with the best target of its block by name; of several rows that have one target as their best, the nearest takes it."""
+
+    def run(s: DataFrame, t: DataFrame, key: str) -> DataFrame:
+        found = fuzzy_match(s.select(block, name, key), t, block, name, name, f"t_{key}", most, margin).filter("t_id IS NOT NULL")
+        w = Window.partitionBy("t_id").orderBy(similarity_cost(F.col(name), F.col("t_name")), key)
+        return found.withColumn("j", F.row_number().over(w)).filter("j = 1").select(key, F.col("t_id").alias(f"t_{key}"), F.lit(method).alias("method"))
+
+    return run
+
+
+def group_pass(method: str, single: str, group: list[str]):
+    """Pair what is left of a group by order of the keys, only where as many are left on both sides; a group of one pair is `single`."""
+
+    def run(s: DataFrame, t: DataFrame, key: str) -> DataFrame:
+        w = Window.partitionBy(*group)
+        placed = lambda df, k: df.select(*group, k, F.row_number().over(w.orderBy(k)).alias("k"), F.count("*").over(w).alias("c"))
+        j = placed(s, key).join(placed(t, f"t_{key}"), [*group, "k", "c"])
+        return j.select(key, f"t_{key}", F.when(F.col("c") == 1, single).otherwise(method).alias("method"))
+
+    return run
+
+
+def resolve_by(source: DataFrame, target: DataFrame, key: str, passes: list) -> DataFrame:
+    """Entity resolution by pass functions (source, target, key) -> matches: each sees what those before left on both sides; the rest is unmatched."""
+    found, s, t = [], source, target
+    for match in passes:
+        m = match(s, t, key)
+        found.append(m)
+        s, t = s.join(m.select(key), key, "left_anti"), t.join(m.select(f"t_{key}"), f"t_{key}", "left_anti")
+    rest = s.select(key, F.lit(None).cast(target.schema[f"t_{key}"].dataType).alias(f"t_{key}"), F.lit("unmatched").alias("method"))
+    return reduce(DataFrame.unionByName, [*found, rest])
 
 
 def resolve(source: DataFrame, target: DataFrame, key: str, passes: list[tuple[str, list[str]]], residual: tuple[list[str], str, str]) -> DataFrame:

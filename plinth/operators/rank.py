@@ -18,6 +18,13 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumns({"rank": F.when(has, F.rank().over(w.orderBy(F.col(value).desc())).cast("long")), "percentile": F.when(has, F.cume_dist().over(w.orderBy(F.col(value).asc())) * 100)})
 
 
+def ranked_if_full(df: DataFrame, keys: list[str], value: str, all_: DataFrame) -> DataFrame:
+    """rank: 1 + values above, only within groups that have as many rows as `all_` (one row, column all) says; else null."""
+    whole = df.groupBy(*keys).agg(F.count("*").alias("all")).join(F.broadcast(all_), "all", "left_semi").select(*keys, F.lit(True).alias("whole"))
+    rank = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).desc())).cast("long")
+    return df.join(whole, keys, "left").withColumn("rank", F.when(F.col("whole"), rank)).drop("whole")
+
+
 def directed(df: DataFrame, keys: list[str], value: str, higher_is_better: Column) -> DataFrame:
     """Rank by merit: descending where more is better, ascending where less is."""
     merit = F.when(higher_is_better, F.col(value)).otherwise(-F.col(value))
@@ -26,7 +33,7 @@ def directed(df: DataFrame, keys: list[str], value: str, higher_is_better: Colum
 
 def median_gap(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     med = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    return df.join(F.broadcast(med), keys).withColumn("gap", F.col(value) - F.col("median"))
+    return df.join(med, keys).withColumn("gap", F.col(value) - F.col("median"))
 
 
 def peer_tiers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -35,7 +42,7 @@ def peer_tiers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     n = F.col("n")
     cuts = order_statistics(df, keys, value, {f"cut{k}": F.floor(n * k / 4) for k in (1, 2, 3)})
-    j = df.join(F.broadcast(cuts), keys) if keys else df.crossJoin(F.broadcast(cuts))
+    j = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
     v = F.col(value)
     return j.withColumn("tier", F.when(v <= F.col("cut1"), 1).when(v <= F.col("cut2"), 2).when(v <= F.col("cut3"), 3).otherwise(4).cast("long")).drop("cut1", "cut2", "cut3")
 
@@ -46,7 +53,7 @@ def peer_ranks(df: DataFrame, metric: str, tier: str, value: str) -> DataFrame:
     peer = ranked(nation, [metric, tier], value).withColumnsRenamed({"rank": "peer_rank", "percentile": "peer_percentile"})
     nm = df.groupBy(metric).agg(F.median(value).alias("national_median"))
     pm = df.groupBy(metric, tier).agg(F.median(value).alias("peer_median"), F.count("*").alias("peers"))
-    return peer.join(F.broadcast(nm), metric).join(F.broadcast(pm), [metric, tier])
+    return peer.join(nm, metric).join(pm, [metric, tier])
 
 
 def top_with_ties(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
@@ -110,5 +117,5 @@ def sequence_gaps(df: DataFrame, keys: list[str], number: str) -> DataFrame:
 
 def quantile_class(df: DataFrame, keys: list[str], value: str, classes: int = 5) -> DataFrame:
     cuts = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(i / classes) for i in range(1, classes)])).alias("q"))
-    j = df.join(F.broadcast(cuts), keys)
+    j = df.join(cuts, keys)
     return j.withColumn("class", F.size(F.filter("q", lambda c: c < F.col(value))).cast("long") + 1).drop("q")

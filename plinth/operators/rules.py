@@ -56,6 +56,19 @@ def same_as_parent(child: DataFrame, key: list[str], link: str, copy: str, paren
     return found(child.join(p, link).filter(~F.col(copy).eqNullSafe(F.col("of_parent"))), key, F.concat_ws(" <> ", F.col(copy).cast("string"), F.col("of_parent").cast("string")))
 
 
+def code_agrees(df: DataFrame, key: list[str], code: str, form: str, part: str, column: str) -> DataFrame:
+    """Codes that are malformed, or of which a numeric part differs from the column it stands for."""
+    well, said = F.col(code).rlike(form), F.nullif(F.regexp_extract(code, part, 1), F.lit("")).try_cast("int")
+    bad = df.filter(~well | (said != F.col(column)))
+    return found(bad, key, F.concat(F.col(code), F.when(~well, F.lit(" is malformed")).otherwise(F.concat(F.lit(" is not of "), F.col(column).cast("string")))))
+
+
+def degenerate(df: DataFrame, group: list[str], label: str) -> DataFrame:
+    """Groups in which the label says nothing: fewer than two distinct ones."""
+    per = df.groupBy(*group).agg(F.count_distinct(label).alias("labels"), F.count("*").alias("n")).filter("labels < 2")
+    return found(per, group, F.concat(F.col("n").cast("string"), F.lit(" rows, one label")))
+
+
 def check(rules: list[Rule]) -> DataFrame:
     """All violations of all rules."""
     return reduce(DataFrame.unionByName, [r.violations().select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "key", "detail") for r in rules])

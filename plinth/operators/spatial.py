@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -72,8 +72,3 @@ def worst_of(children: DataFrame, parent: str, rank: str, labels: list[str]) ->
     place = F.coalesce(*[F.when(F.col(rank) == x, F.lit(i)) for i, x in enumerate(labels)], F.lit(len(labels)))
     s = children.groupBy(parent).agg(F.max(place).alias("w"), F.count("*").alias("children"))
     return s.select(parent, F.coalesce(*[F.when(F.col("w") == i, F.lit(x)) for i, x in enumerate(labels)], F.lit("unknown")).alias("status"), "children")
-
-
-def first_fit(df: DataFrame, keys: list[str], passes, order: list) -> DataFrame:
-    """The first row by order that passes, one a key."""
-    return df.filter(passes).withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("k = 1").drop("k")

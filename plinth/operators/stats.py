@@ -21,7 +21,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str
 def winsorised(df: DataFrame, keys: list[str], value: str, up: Column, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """scaled: the value cut at two quantiles and put on 0 to 100, turned over where less is better; null where the quantiles are equal."""
     cuts = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
-    j = df.join(F.broadcast(cuts), keys)
+    j = df.join(cuts, keys)
     lo, hi = F.col("q")[0], F.col("q")[1]
     raw = F.try_divide((F.least(F.greatest(F.col(value).cast("double"), lo), hi) - lo) * 100, hi - lo)
     return j.withColumn("scaled", F.when(up, raw).otherwise(100 - raw)).drop("q")

@@ -1,4 +1,4 @@
 """All registered queries of the statistics engine, by key, with the SQL each is compared with."""
 
-from . import indices, ledgers, linking, ranking, scalars, surfaces, versions  # noqa: F401
+from . import indices, ledgers, linking, policies, ranking, scalars, surfaces, versions  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401

@@ -21,10 +21,11 @@ def values_sql(rows, columns: str) -> str:
 NORMAL = "trim(regexp_replace(regexp_replace(replace(lower({}), '&', ' and '), '[''’`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("q_normalize", f"SELECT raw, {NORMAL.format('raw')} AS normalised, replace({NORMAL.format('raw')}, ' ', '-') AS slug, regexp_replace(raw, '[^A-Za-z0-9._-]+', '_', 'g') AS file_key FROM {values_sql(NAMES, 'raw')}")
+@query("q_normalize", f"SELECT raw, {NORMAL.format('raw')} AS normalised, replace({NORMAL.format('raw')}, ' ', '-') AS slug, regexp_replace(raw, '[^A-Za-z0-9._-]+', '_', 'g') AS file_key FROM (SELECT * FROM {values_sql(NAMES, 'raw')} UNION ALL SELECT DISTINCT '  ' || p_name || ' & ' || p_brand || chr(39) || 's (' || p_type || ')' FROM part)")
 def normalize(t: Tables):
     raw = F.col("raw")
-    return t.values([(x,) for x in NAMES], "raw string").select("raw", text.normalise_name(raw).alias("normalised"), text.slug(raw).alias("slug"), text.file_key(raw).alias("file_key"))
+    parts = t.part.select(F.concat(F.lit("  "), "p_name", F.lit(" & "), "p_brand", F.lit("'s ("), "p_type", F.lit(")")).alias("raw")).distinct()
+    return t.values([(x,) for x in NAMES], "raw string").unionByName(parts).select("raw", text.normalise_name(raw).alias("normalised"), text.slug(raw).alias("slug"), text.file_key(raw).alias("file_key"))
 
 
 @query(
@@ -42,11 +43,13 @@ CODES = ["KE-C030-W0789", "KE-C047", "bad", "KE-C001-W0001-X", "KE-C12-W3"]
 
 @query(
     "q_parse_codes",
-    f"""SELECT code, nullif(regexp_extract(code, '^KE-C([0-9]{{3}})', 1), '') AS county, nullif(regexp_extract(code, '^KE-C[0-9]{{3}}-W([0-9]{{4}})$', 1), '') AS ward, regexp_full_match(code, 'KE-C[0-9]{{3}}(-W[0-9]{{4}})?') AS well_formed FROM {values_sql(CODES, 'code')}""",
+    f"""SELECT code, nullif(regexp_extract(code, '^KE-C([0-9]{{3}})', 1), '') AS county, nullif(regexp_extract(code, '^KE-C[0-9]{{3}}-W([0-9]{{4}})$', 1), '') AS ward, regexp_full_match(code, 'KE-C[0-9]{{3}}(-W[0-9]{{4}})?') AS well_formed
+    FROM (SELECT * FROM {values_sql(CODES, 'code')} UNION ALL SELECT 'KE-C' || lpad(c_nationkey::VARCHAR, CASE WHEN c_acctbal < 0 THEN 2 ELSE 3 END, '0') || '-W' || lpad(c_custkey::VARCHAR, greatest(4, length(c_custkey::VARCHAR))::INTEGER, '0') FROM customer)""",
 )
 def parse_codes(t: Tables):
     part = lambda p: F.nullif(F.regexp_extract("code", p, 1), F.lit(""))
-    return t.values([(x,) for x in CODES], "code string").select("code", part(r"^KE-C([0-9]{3})").alias("county"), part(r"^KE-C[0-9]{3}-W([0-9]{4})$").alias("ward"), F.col("code").rlike(r"^KE-C[0-9]{3}(-W[0-9]{4})?$").alias("well_formed"))
+    own = F.expr("'KE-C' || lpad(CAST(c_nationkey AS STRING), CASE WHEN c_acctbal < 0 THEN 2 ELSE 3 END, '0') || '-W' || lpad(CAST(c_custkey AS STRING), greatest(4, length(CAST(c_custkey AS STRING))), '0')")
+    return t.values([(x,) for x in CODES], "code string").unionByName(t.customer.select(own.alias("code"))).select("code", part(r"^KE-C([0-9]{3})").alias("county"), part(r"^KE-C[0-9]{3}-W([0-9]{4})$").alias("ward"), F.col("code").rlike(r"^KE-C[0-9]{3}(-W[0-9]{4})?$").alias("well_formed"))
 
 
 #: Fixed value: the namespace of published identifiers.
@@ -169,12 +172,13 @@ def coherence_gate(t: Tables):
 
 @query(
     "q_terminal_coverage",
-    """WITH q AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0), s AS (SELECT o_custkey AS c_custkey, count(DISTINCT o_orderstatus) AS n FROM orders WHERE o_custkey % 5 <> 0 AND o_orderpriority = '1-URGENT' GROUP BY 1)
+    """WITH q AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0), s AS (SELECT o_custkey AS c_custkey, count(DISTINCT o_orderstatus) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
     SELECT c_custkey, coalesce(n, 0)::BIGINT AS n_states, CASE WHEN q.c_custkey IS NULL THEN 'extraneous' WHEN n IS NULL THEN 'open' WHEN n > 1 THEN 'conflicting' ELSE 'closed' END AS finding FROM q FULL JOIN s USING (c_custkey)""",
 )
 def terminal_coverage(t: Tables):
-    states = t.orders.filter("o_custkey % 5 <> 0 AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
-    return completeness.terminal_coverage(t.customer.filter("c_custkey % 2 = 0"), states, "c_custkey", "o_orderstatus")
+    # Customers with money are queued; an urgent order is a state.
+    states = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    return completeness.terminal_coverage(t.customer.filter("c_acctbal > 0"), states, "c_custkey", "o_orderstatus")
 
 
 @query("q_month_lag", "SELECT c_nationkey AS n_nationkey, (2001 * 12 + 12 - max(year(o_orderdate) * 12 + month(o_orderdate)))::BIGINT AS months, 2001 * 12 + 12 - max(year(o_orderdate) * 12 + month(o_orderdate)) <= 6 AS fresh FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
@@ -241,12 +245,20 @@ def bundle_index(t: Tables):
     return export.bundle_index(t.obs(), "n_nationkey", "metric")
 
 
-@query("q_bundles")
+@query(
+    "q_bundles",
+    with_views("""WITH s AS (SELECT n_nationkey, metric, list({'yr': yr, 'value': value} ORDER BY yr) AS observations FROM obs GROUP BY ALL)
+    SELECT n_nationkey, to_json(list({'metric': metric, 'observations': observations} ORDER BY metric))::VARCHAR AS series FROM s GROUP BY 1"""),
+)
 def bundles(t: Tables):
-    return export.bundles(t.obs(), "n_nationkey", "metric", ["yr", "value"])
+    return export.bundles(t.obs(), "n_nationkey", "metric", ["yr", "value"]).withColumn("series", F.to_json("series"))
 
 
-@query("q_row_hash")
+@query(
+    "q_row_hash",
+    """WITH h AS (SELECT sha256(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_mktsegment': c_mktsegment})::VARCHAR) AS h FROM customer)
+    SELECT count(*)::BIGINT AS n, sum(('0x' || h[1:15])::BIGINT::HUGEINT)::VARCHAR AS sum, max(h) AS greatest FROM h""",
+)
 def row_hash(t: Tables):
     return export.fingerprint(t.customer, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
@@ -260,6 +272,6 @@ def html_cells(t: Tables):
     return readers.html_cells(t.pages, "page_id", "html", ("li",))
 
 
-@query("q_filename_counts", "SELECT url_host, count(*)::BIGINT AS pages FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS url_host FROM pages) GROUP BY 1")
-def host_counts(t: Tables):
-    return t.pages.groupBy(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("url_host")).agg(F.count("*").alias("pages"))
+@query("q_filename_counts", "SELECT regexp_replace(regexp_extract(url, '^https?://([^?#]+)', 1), '[^A-Za-z0-9._-]+', '_', 'g') AS file_key, count(*)::BIGINT AS pages FROM pages GROUP BY 1")
+def filename_counts(t: Tables):
+    return t.pages.groupBy(text.file_key(F.regexp_extract("url", r"^https?://([^?#]+)", 1)).alias("file_key")).agg(F.count("*").alias("pages"))

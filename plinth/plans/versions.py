@@ -248,11 +248,11 @@ def replace_prefix(t: Tables):
 @query(
     "q_clone_insert",
     """WITH k AS (SELECT user_id, arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) AS value FROM events GROUP BY 1)
-    SELECT user_id, event_id, event_type, value FROM events WHERE user_id < 5 UNION ALL SELECT user_id, 10000000 + user_id, event_type, value FROM k WHERE user_id < 5""",
+    SELECT user_id, event_id, event_type, value FROM events UNION ALL SELECT user_id, -1 - user_id, event_type, value FROM k""",
 )
 def clone_insert(t: Tables):
-    old = t.events.filter("user_id < 5").select("user_id", "event_id", "event_type", "value")
-    new = old.select("user_id").distinct().withColumn("event_id", F.lit(10000000).cast("long") + F.col("user_id"))
+    old = t.events.select("user_id", "event_id", "event_type", "value")
+    new = old.select("user_id").distinct().withColumn("event_id", -1 - F.col("user_id"))
     return temporal.clone_insert(old, new, "user_id", ["event_id"], ["event_type", "value"])
 
 

@@ -64,8 +64,15 @@ def html_cells(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = ("
     return cells.select(key, tag.alias("tag"), F.col("position").cast("long").alias("position"), body.alias("text"))
 
 
+def documents(spark: SparkSession, glob: str, schema: StructType | str, keep: F.Column) -> DataFrame:
+    """One JSON document a file, of all files that the glob names, where the condition on its fields holds; with the file it came from."""
+    df = spark.read.schema(schema).option("multiLine", True).json(glob)
+    return blank_to_null(df.withColumn("file", F.input_file_name())).filter(keep)
+
+
 def dbf_records(files: DataFrame) -> DataFrame:
-    """Records of dBASE files from a binaryFile scan: path, number (from 0, deleted ones skipped), fields as a map. Files are read in parallel; one file is one row."""
+    """Records of dBASE files from a binaryFile scan: path, number (from 0), deleted (whether it is marked so), fields as text, and
+    numbers: the fields of types N and F as numbers. Files are read in parallel; one file is one row."""
 
     def parse(batches):
         import struct
@@ -76,26 +83,50 @@ def dbf_records(files: DataFrame) -> DataFrame:
                 n, head, size = struct.unpack_from("<IHH", data, 4)
                 columns, at = [], 32
                 while at < head - 1 and data[at] != 0x0D:
-                    columns.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), data[at + 16]))
+                    columns.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), chr(data[at + 11]), data[at + 16]))
                     at += 32
-                kept = 0
                 for i in range(n):
                     record = data[head + i * size : head + (i + 1) * size]
-                    if record[:1] == b"*":
-                        continue
-                    pos, fields = 1, {}
-                    for name, width in columns:
-                        fields[name] = record[pos : pos + width].decode("utf-8", "replace").strip() or None
+                    pos, fields, numbers = 1, {}, {}
+                    for name, kind, width in columns:
+                        fields[name] = record[pos : pos + width].decode("latin-1").strip() or None
+                        if kind in "NF":
+                            numbers[name] = None if fields[name] is None else float(fields[name])
                         pos += width
-                    rows.append((path, kept, fields))
-                    kept += 1
-            yield pd.DataFrame(rows, columns=["path", "number", "fields"])
+                    rows.append((path, i, record[:1] == b"*", fields, numbers))
+            yield pd.DataFrame(rows, columns=["path", "number", "deleted", "fields", "numbers"])
+
+    return files.select("path", "content").mapInPandas(parse, "path string, number long, deleted boolean, fields map<string,string>, numbers map<string,double>")
+
+
+def turn(ring: list) -> float:
+    """Twice the signed area of a closed ring: negative for one that runs clockwise, which is an outer one in a shapefile."""
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:]))
+
+
+def holds(ring: list, point: list) -> bool:
+    x, y = point
+    return sum((p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for p, q in zip(ring, ring[1:])) % 2 == 1
+
 
-    return files.select("path", "content").mapInPandas(parse, "path string, number long, fields map<string,string>")
+def polygons_of(rings: list) -> list:
+    """Rings as polygons (outer ring, then its holes): a hole goes to the first outer ring that holds its first point, or else stands for
+    itself; where no ring runs as an outer one, the largest is it. Open rings are closed; those of fewer than four points are left out."""
+    whole = [r if r[0] == r[-1] else [*r, r[0]] for r in rings if len(r) >= 4]
+    outer = [r for r in whole if turn(r) < 0] or sorted(whole, key=lambda r: -abs(turn(r)))[:1]
+    found = [[r] for r in outer]
+    for hole in (r for r in whole if not any(r is o for o in outer)):
+        home = next((f for f in found[: len(outer)] if holds(f[0], hole[0])), None)
+        if home is None:
+            found.append([hole])
+        else:
+            home.append(hole)
+    return found
 
 
 def shp_rings(files: DataFrame) -> DataFrame:
-    """Polygon records of shapefiles from a binaryFile scan: path, number (from 0), rings as arrays of points."""
+    """Polygon records of shapefiles from a binaryFile scan: path, number (from 0), rings as arrays of points (rounded to a millionth), and the polygons
+    that they make. An empty shape has none."""
 
     def parse(batches):
         import struct
@@ -112,20 +143,24 @@ def shp_rings(files: DataFrame) -> DataFrame:
                     if kind in (5, 15, 25):
                         parts, points = struct.unpack_from("<ii", data, body + 36)
                         starts = [*struct.unpack_from(f"<{parts}i", data, body + 44), points]
-                        xy = struct.unpack_from(f"<{2 * points}d", data, body + 44 + 4 * parts)
+                        xy = [round(v, 6) for v in struct.unpack_from(f"<{2 * points}d", data, body + 44 + 4 * parts)]
                         rings = [[[xy[2 * i], xy[2 * i + 1]] for i in range(a, b)] for a, b in zip(starts, starts[1:])]
-                    rows.append((path, number, rings))
+                    rows.append((path, number, rings, polygons_of(rings)))
                     at, number = body + 2 * words, number + 1
-            yield pd.DataFrame(rows, columns=["path", "number", "rings"])
+            yield pd.DataFrame(rows, columns=["path", "number", "rings", "polygons"])
 
-    return files.select("path", "content").mapInPandas(parse, "path string, number long, rings array<array<array<double>>>")
+    return files.select("path", "content").mapInPandas(parse, "path string, number long, rings array<array<array<double>>>, polygons array<array<array<array<double>>>>")
 
 
 def layer(spark: SparkSession, base: str) -> DataFrame:
-    """A shapefile layer: geometry and attributes put together by record number. Raises if their counts differ."""
+    """Shapefile layers (base may be a glob): geometry and attributes put together by file and record number, deleted records included with their
+    mark. Raises if a file's counts differ."""
+    stem = F.regexp_replace("path", r"\.[^./]*$", "").alias("base")
     binary = lambda end: spark.read.format("binaryFile").load(f"{base}.{end}")
-    attributes, shapes = dbf_records(binary("dbf")), shp_rings(binary("shp"))
-    a, s = attributes.count(), shapes.count()
-    if a != s:
-        raise ValueError(f"{base}: {a} records, {s} shapes")
-    return shapes.select("number", "rings").join(attributes.select("number", "fields"), "number")
+    attributes = dbf_records(binary("dbf")).select(stem, "number", "deleted", "fields", "numbers")
+    shapes = shp_rings(binary("shp")).select(stem, "number", "rings", "polygons")
+    counts = attributes.groupBy("base").agg(F.count("*").alias("a")).join(shapes.groupBy("base").agg(F.count("*").alias("s")), "base", "full_outer")
+    wrong = counts.filter(~F.col("a").eqNullSafe(F.col("s"))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0].base}: {wrong[0].a} records, {wrong[0].s} shapes")
+    return shapes.join(attributes, ["base", "number"])

@@ -20,16 +20,34 @@ def first_versions(events: DataFrame, when: str, keys: list[str], late: str) ->
     return events.withWatermark(when, late).dropDuplicatesWithinWatermark(keys)
 
 
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The versions of a table that were written to the end, oldest first. The path may be in any store that Spark knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    numbers = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    return [(n, f"{path}/v{n}") for n in numbers if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))]
+
+
+def current(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest whole version."""
+    return spark.read.schema(schema).parquet(versions(spark, path)[-1][1])
+
+
 def upsert_sink(path: str, key: str, order: str):
-    """foreachBatch function: keeps the newest row of each key in a Parquet table, two versions by turns, so that a failed batch leaves the last one whole."""
+    """foreachBatch function: keeps the newest row of each key in a Parquet table. Each batch writes a version of its own beside the last whole one, whatever
+    the stream's batch number is, so a failed batch leaves the last one as it was and a new checkpoint goes on with an old table. A replayed batch
+    changes nothing. The version before the last is kept for readers; older ones are removed."""
     from ..operators.temporal import best
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        here, there = f"{path}/v{epoch % 2}", f"{path}/v{(epoch + 1) % 2}"
-        rows = batch
-        if epoch:
-            rows = spark.read.schema(batch.schema).parquet(there).unionByName(batch)
-        best(rows, [key], [F.col(order)], [c for c in batch.columns if c != key]).select(*batch.columns).write.mode("overwrite").parquet(here)
+        there = versions(spark, path)
+        rows = spark.read.schema(batch.schema).parquet(there[-1][1]).unionByName(batch) if there else batch
+        new = there[-1][0] + 1 if there else 0
+        best(rows, [key], [F.col(order)], [c for c in batch.columns if c != key]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{new}")
+        for _, old in there[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(old)
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return put

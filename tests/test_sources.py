@@ -51,20 +51,73 @@ def test_features_and_embedded_json(spark, tmp_path):
     assert html.select(readers.embedded_json(F.col("h"))).first()[0] == ['{"a": 1}']
 
 
-def test_shapefile_layer(spark, tmp_path):
-    fields = [("NAME", 6), ("POP", 4)]
+def dbf(fields, records):
     head = 32 + 32 * len(fields) + 1
-    dbf = struct.pack("<B3BIHH20x", 3, 24, 1, 1, 2, head, 11) + b"".join(n.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, w in fields) + b"\r" + b" Alpha   12" + b" Beta     7"
-    ring = [(0, 0), (0, 2), (2, 2), (0, 0)]
-    body = struct.pack("<i4dii", 5, 0, 0, 2, 2, 1, 4) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in ring)
-    records = b"".join(struct.pack(">ii", i + 1, len(body) // 2) + body for i in range(2))
-    (tmp_path / "l.dbf").write_bytes(dbf)
-    (tmp_path / "l.shp").write_bytes(b"\0" * 100 + records)
-    rows = readers.layer(spark, str(tmp_path / "l")).orderBy("number").collect()
-    assert [(r.number, r.fields["NAME"], r.fields["POP"], r.rings[0][1]) for r in rows] == [(0, "Alpha", "12", [0.0, 2.0]), (1, "Beta", "7", [0.0, 2.0])]
-    (tmp_path / "l.shp").write_bytes(b"\0" * 100 + records[: len(records) // 2])
+    size = 1 + sum(w for _, _, w in fields)
+    columns = b"".join(n.encode().ljust(11, b"\0") + k + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, k, w in fields)
+    return struct.pack("<B3BIHH20x", 3, 24, 1, 1, len(records), head, size) + columns + b"\r" + b"".join(records)
+
+
+def shp(shapes):
+    out = b""
+    for i, rings in enumerate(shapes):
+        points = [p for r in rings for p in r]
+        starts = [sum(len(r) for r in rings[:k]) for k in range(len(rings))]
+        body = struct.pack("<i4dii", 5, 0, 0, 9, 9, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        out += struct.pack(">ii", i + 1, len(body) // 2) + body
+    return b"\0" * 100 + out
+
+
+def square(x, y, size, clockwise=True):
+    ring = [(x, y), (x, y + size), (x + size, y + size), (x + size, y), (x, y)]
+    return ring if clockwise else ring[::-1]
+
+
+def test_shapefile_layers(spark, tmp_path):
+    fields = [("NAME", b"C", 6), ("POP", b"N", 4)]
+    (tmp_path / "l1.dbf").write_bytes(dbf(fields, [b" Alpha   12", b"*G\xe9ne      ", b" Beta     7"]))
+    (tmp_path / "l1.shp").write_bytes(shp([[square(0, 0, 8), square(1, 1, 2, False), square(20, 0, 3)], [square(0, 0, 1, False)], [square(5, 5, 1)]]))
+    (tmp_path / "l2.dbf").write_bytes(dbf(fields, [b" Gamma    1"]))
+    (tmp_path / "l2.shp").write_bytes(shp([[square(3, 3, 1)]]))
+    rows = readers.layer(spark, str(tmp_path / "l*")).orderBy("base", "number").collect()
+    assert [(r.number, r.deleted, r.fields["NAME"], r.numbers["POP"]) for r in rows] == [(0, False, "Alpha", 12.0), (1, True, "Géne", None), (2, False, "Beta", 7.0), (0, False, "Gamma", 1.0)]
+    assert [[len(p) for p in r.polygons] for r in rows] == [[2, 1], [1], [1], [1]] and rows[0].polygons[0][1][0] == [1.0, 1.0]
+    (tmp_path / "l2.shp").write_bytes(shp([]))
     with pytest.raises(ValueError):
-        readers.layer(spark, str(tmp_path / "l"))
+        readers.layer(spark, str(tmp_path / "l*"))
+
+
+def test_documents_of_a_folder_by_their_fields(spark, tmp_path):
+    for name, state in (("a-check", "verified"), ("b-check", "open"), ("c-other", "verified")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"state": state, "n": len(name)}, indent=1))
+    got = readers.documents(spark, f"{tmp_path}/*-check.json", "state string, n long", F.col("state") == "verified").collect()
+    assert [(r.n, r.file.rsplit("/", 1)[1]) for r in got] == [(7, "a-check.json")]
+
+
+def test_pretty_json_manifest_and_its_check(spark, tmp_path):
+    obs = spark.createDataFrame([("ward", "k1", 5, None), ("ward", "k2", 4, "x"), ("county", "k1", 3, "y")], "level string, code string, v int, note string")
+    export.write_pretty(obs, str(tmp_path / "p"))
+    text = "".join(x.read_text() for x in (tmp_path / "p").glob("*.txt"))
+    assert '\n  "note" : null' in text and text.count('"level"') == 3
+    stated = export.write_with_manifest(obs, str(tmp_path / "b"), "level", "code")
+    assert sorted((r.level, r.code) for r in stated.collect()) == [("county", "k1"), ("ward", "k1"), ("ward", "k2")]
+    assert spark.read.option("header", True).csv(str(tmp_path / "b" / "manifest")).count() == 3
+    files = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z"), ("e", 1, "q")], "file string, bytes long, sha256 string")
+    said = spark.createDataFrame([("a", 1, "x"), ("b", 9, "y"), ("c", 3, "w"), ("d", 1, "q")], "file string, bytes long, sha256 string")
+    assert {r.file: r.finding for r in export.verified(files, said).collect()} == {"a": "ok", "b": "bytes differ", "c": "checksum differs", "d": "missing", "e": "not in the manifest"}
+
+
+def test_upserts_go_on_with_a_new_checkpoint(spark, tmp_path):
+    schema, path = "k long, at long, v string", str(tmp_path / "table")
+    put = events.upsert_sink(path, "k", "at")
+    put(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema), 5)
+    put(spark.createDataFrame([(2, 3, "c")], schema), 0)
+    put(spark.createDataFrame([(2, 2, "late"), (3, 1, "d")], schema), 0)
+    want = [(1, 1, "a"), (2, 3, "c"), (3, 1, "d")]
+    assert sorted(map(tuple, events.current(spark, path, schema).collect())) == want
+    (tmp_path / "table" / "v3").mkdir()  # a version that was not finished
+    put(spark.createDataFrame([(3, 1, "d")], schema), 1)
+    assert sorted(map(tuple, events.current(spark, path, schema).collect())) == want and len(events.versions(spark, path)) == 2
 
 
 def test_streams(spark, tmp_path, sf_dir):
@@ -78,4 +131,4 @@ def test_streams(spark, tmp_path, sf_dir):
     once = events.first_versions(events.read_events(spark, str(tmp_path / "in"), schema), "ts", ["user_id", "event_type"], "40 days")
     q = once.writeStream.foreachBatch(events.upsert_sink(str(tmp_path / "table"), "user_id", "ts")).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "table" / "v0")).count() == rows.select("user_id").distinct().count()
+    assert events.current(spark, str(tmp_path / "table"), schema).count() == rows.select("user_id").distinct().count()
