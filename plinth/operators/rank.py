@@ -18,6 +18,15 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumns({"rank": F.when(has, F.rank().over(w.orderBy(F.col(value).desc())).cast("long")), "percentile": F.when(has, F.cume_dist().over(w.orderBy(F.col(value).asc())) * 100)})
 
 
+def ranked_by_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The same as `ranked` for groups of any size, from counts of distinct values; a value that a third of the rows has is joined back in parts."""
+    from .stats import placed_values
+
+    at = placed_values(df, keys, value)
+    places = at.select(*keys, value, (F.col("n") - F.col("below") - F.col("same") + 1).alias("rank"), ((F.col("below") + F.col("same")) / F.col("n") * 100).alias("percentile"))
+    return df.join(places, [*keys, value], "left")
+
+
 def ranked_if_full(df: DataFrame, keys: list[str], value: str, all_: DataFrame) -> DataFrame:
     """rank: 1 + values above, only within groups that have as many rows as `all_` (one row, column all) says; else null."""
     whole = df.groupBy(*keys).agg(F.count("*").alias("all")).join(F.broadcast(all_), "all", "left_semi").select(*keys, F.lit(True).alias("whole"))

@@ -198,6 +198,19 @@ def file_keys(t: Tables):
     return t.pages.select("page_id", text.file_key(F.regexp_replace("url", "^https?://", "")).alias("file_key"))
 
 
+@query(
+    "q_rank_orders",
+    """WITH o AS (SELECT o_orderkey, o_orderpriority, round(o_totalprice / 100)::BIGINT AS price FROM orders)
+    SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY price DESC)::BIGINT AS rank, cume_dist() OVER (PARTITION BY o_orderpriority ORDER BY price) * 100 AS percentile FROM o""",
+)
+def rank_orders(t: Tables):
+    """All orders by price within their priority: few groups, each a fifth of the table."""
+    from ..operators import rank
+
+    o = t.orders.select("o_orderkey", "o_orderpriority", F.round(F.col("o_totalprice") / 100).cast("long").alias("price"))
+    return rank.ranked_by_counts(o, ["o_orderpriority"], "price").select("o_orderkey", "rank", "percentile")
+
+
 @query(
     "q_full_coverage_rank",
     """WITH o AS (SELECT c_mktsegment, c_nationkey AS n_nationkey, count(*)::BIGINT AS n FROM customer WHERE c_acctbal > 0 OR c_mktsegment <> 'BUILDING' GROUP BY ALL), k AS (SELECT c_mktsegment, count(*) AS c FROM o GROUP BY 1)
