@@ -5,7 +5,9 @@ over all its segmentations into pieces. No piece spans two runs of letters, so t
 words, and the forward algorithm has to run once for each distinct word: workers keep a bounded cache of words.
 Piece probabilities are fitted by expectation-maximisation over word counts of a bounded sample of labelled texts.
 
-Sample bound: about docs_per_lang texts and at most words_per_lang distinct words a language. Everything else covers all rows.
+Sample bound: about docs_per_lang texts and at most words_per_lang distinct words (the most frequent; of 60 characters at most) a language, of
+the most_langs languages with the most labelled texts (the rest are never predicted), so what comes to the driver and is broadcast, each language's
+pieces that occur and one floor for the others, has a bound too. Everything else covers all rows.
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing could be learnt; ties go to
 the language that sorts first. A null doc_id is not held out and never learnt from. Each row gives one row; whole texts are read;
 of the other columns only lang is read, in learning alone.
@@ -28,8 +30,8 @@ from .common import map_slices, materialise, table
 #: Runs of letters (and of numerals that no rule calls digits, which are unknown to every language alike).
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-7
-#: Up to so many languages, their sampling rates are broadcast.
-MANY_LANGS = 10_000
+#: Longest word that is learnt from.
+LEARNT = 60
 TINY, HUGE = 1e-200, 1e200
 #: Longer words go one by one, with scaling against underflow.
 LONG = 30
@@ -62,7 +64,7 @@ def edges(word: str, pieces: dict[str, int], longest: int) -> list[tuple[int, in
 def fit(words: list[str], counts: list[int], path: str, rounds: int = 4, smooth: float = 0.01) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over all segmentations."""
     pieces, longest = vocabulary(path)
-    lattices = [(edges(w, pieces, longest), len(w) + 1, n) for w, n in zip(words, counts) if len(w) <= 60]
+    lattices = [(edges(w, pieces, longest), len(w) + 1, n) for w, n in zip(words, counts) if len(w) <= LEARNT]
     p = np.full(len(pieces) + 1, 1 / len(pieces))
     p[-1] = UNKNOWN
     for _ in range(rounds):
@@ -172,12 +174,22 @@ def learnt_from() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
 
 
-def train(docs: DataFrame, path: str, docs_per_lang: int = 2000, words_per_lang: int = 8000, rounds: int = 4) -> dict[str, np.ndarray]:
-    """Piece probabilities by language. Comes to the driver: one vector over the fixed vocabulary for each language."""
+def dense(model: dict[str, tuple], path: str) -> dict[str, np.ndarray]:
+    """One vector over the fixed vocabulary for each language."""
+    size, out = len(vocabulary(path)[0]), {}
+    for lang, (ids, p, floor) in model.items():
+        out[lang] = np.full(size + 1, floor)
+        out[lang][ids] = p
+        out[lang][-1] = UNKNOWN
+    return out
+
+
+def train(docs: DataFrame, path: str, docs_per_lang: int = 2000, words_per_lang: int = 8000, rounds: int = 4, most_langs: int = 400) -> dict[str, tuple]:
+    """By language: the pieces that occur, their probabilities, and the probability of any other piece."""
     labelled = docs.select(F.col("doc_id").cast("long"), "text", "lang").filter("lang is not null and text is not null").filter(learnt_from())
-    share = materialise(labelled.groupBy("lang").count().select("lang", (F.lit(float(docs_per_lang)) / F.col("count")).alias("share")))
-    few = share.count() <= MANY_LANGS
-    sample = labelled.join(F.broadcast(share) if few else share, "lang").filter((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) < F.col("share")).select("lang", "text")
+    count = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    share = materialise(count.select("lang", (F.lit(float(docs_per_lang)) / F.col("count")).alias("share")))
+    sample = labelled.join(F.broadcast(share), "lang").filter((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) < F.col("share")).select("lang", "text")
 
     def factory():
         def run(columns):
@@ -193,17 +205,20 @@ def train(docs: DataFrame, path: str, docs_per_lang: int = 2000, words_per_lang:
 
     def em(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("word")
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "p": [fit(list(pdf.word), list(pdf.n), path, rounds)]})
+        p = fit(list(pdf.word), list(pdf.n), path, rounds)[:-1]
+        ids = np.flatnonzero(p > p.min())
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "ids": [ids.astype(np.int32)], "p": [p[ids]], "floor": [p.min()]})
 
-    return {r.lang: np.array(r.p) for r in best.groupBy("lang").applyInPandas(em, "lang string, p array<double>").collect()}
+    rows = best.groupBy("lang").applyInPandas(em, "lang string, ids array<int>, p array<double>, floor double").collect()
+    return {r.lang: (np.array(r.ids, np.int64), np.array(r.p), r.floor) for r in rows}
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], path: str, cache_words: int = 300_000) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, tuple], path: str, cache_words: int = 300_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs(doc_id, text)."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory():
-        scorer = Scorer(known.value, path, cache_words)
+        scorer = Scorer(dense(known.value, path), path, cache_words)
 
         def run(columns):
             ids, held, texts = columns

@@ -1,6 +1,7 @@
 """Operators that compare documents: line dedup, classifier, near-dedup, repeated strings, decontamination, pipeline."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -374,6 +375,20 @@ def test_classifier_of_hard_texts(spark, hard, empty):
     assert quality_classifier.classify(empty, labels).count() == 0
 
 
+def test_scope_leaves_nothing_behind(spark, tmp_path):
+    from plinth.llm import common
+
+    kept = None
+    with common.scope(spark):
+        folder = common.SCOPES[-1].removeprefix("file://")
+        inner = common.materialise(spark.range(5))
+        kept = common.materialise(inner.filter("id > 1"), outside=True)
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder) and kept.count() == 3
+    common.discard(kept)
+    assert not os.path.exists(kept.written_to.removeprefix("file://"))
+
+
 def test_pipeline(spark, sf_dir, hard):
     import corpus_pipeline
 

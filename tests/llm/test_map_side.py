@@ -202,6 +202,14 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+def test_learnt_model_is_sparse_and_bounded_in_languages(spark):
+    rows = [(i, "common words here " * 3, f"l{i % 7}") for i in range(200)] + [(500 + i, "other words there", f"rare{i}") for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, most_langs=7)
+    assert set(model) == {f"l{i}" for i in range(7)}
+    p = language_id.dense(model, PIECES)["l0"]
+    assert len(model["l0"][0]) < 100 and abs(p[:-1].sum() - 1) < 1e-9 and p[-1] == language_id.UNKNOWN
+
+
 def test_language_of_hard_texts(hard, empty):
     model = language_id.train(hard, PIECES)
     got = language_id.identify(hard, model, PIECES).collect()
