@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
         return run
 
     rows = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").filter("text is not null")
-    return map_slices(rows, "k_id long, k_text long, c1 long, c2 long, size long, sig array<int>", factory, 2, 1 << 22)
+    return map_slices(rows, "k_id long, k_text long, c1 long, c2 long, size long, sig array<int>", factory, 2, 1 << 21)
 
 
 def node(prefix: str = "k") -> Column:
