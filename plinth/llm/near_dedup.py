@@ -36,7 +36,7 @@ REGISTERS = BANDS * ROWS
 #: Share of agreeing registers (standard error 0.04) from which a pair is verified.
 CANDIDATE = 0.64
 #: Shingles of a bucket's members that a block holds on each of its two sides (one member at least).
-BLOCK = 500_000
+BLOCK = 100_000
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
