@@ -26,6 +26,15 @@ def zonal_sum(pixels: DataFrame, zones: DataFrame, zone: str, value: str, cell:
     return zones.select(zone).join(s, zone, "left").fillna(0, ["total", "pixels"])
 
 
+def allocated_sum(pixels: DataFrame, zones: DataFrame, parent: str, zone: str, value: str, totals: DataFrame, total: str, cell: float) -> DataFrame:
+    """Each parent's known whole total (parent, total) shared out to its zones by the sums of their pixels: whole numbers that add up to it exactly.
+    zones: parent, zone, ring. A parent none of whose zones has pixels is given null."""
+    from .allocate import largest_remainder
+
+    weights = zonal_sum(pixels, zones, zone, value, cell).join(zones.select(parent, zone), zone).join(totals, parent)
+    return largest_remainder(weights.withColumn("weight", F.col("total")), [parent], zone, total, "weight").select(parent, zone, "weight", total, "allocated")
+
+
 def lanes(df: DataFrame, keys: list[str], start: str, end: str, order: list[str]) -> DataFrame:
     """Lowest lane in which each interval of a group fits behind the last one there (greedy, so one group is read in order)."""
 

@@ -222,3 +222,83 @@ def full_coverage_rank(t: Tables):
 
     o = t.customer.filter("c_acctbal > 0 OR c_mktsegment <> 'BUILDING'").groupBy("c_mktsegment", F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
     return rank.ranked_if_full(o, ["c_mktsegment"], "n", t.nation.agg(F.count("*").alias("all"))).select("c_mktsegment", "n_nationkey", "n", "rank")
+
+
+@query(
+    "q_spatial_allocation",
+    """WITH p AS (SELECT c_custkey % 10 AS value, (c_custkey * 37) % 200 + 0.5 AS x, (c_custkey * 91) % 200 + 0.25 AS y FROM customer), z AS (SELECT s_nationkey, s_suppkey, (s_suppkey * 53) % 180 AS x0, (s_suppkey * 29) % 180 AS y0 FROM supplier),
+    w AS (SELECT s_nationkey, s_suppkey, coalesce(sum(value), 0)::BIGINT AS weight FROM z LEFT JOIN p ON x > x0 AND y > y0 AND (x - x0) + (y - y0) < 30 GROUP BY ALL),
+    t AS (SELECT c_nationkey AS s_nationkey, 10 * count(*)::BIGINT AS people FROM customer GROUP BY 1), a AS (SELECT *, sum(weight) OVER (PARTITION BY s_nationkey) AS s FROM w JOIN t USING (s_nationkey)),
+    b AS (SELECT *, CASE WHEN s > 0 THEN (people * weight) // s END AS base, CASE WHEN s > 0 THEN (people * weight) % s END AS rest FROM a),
+    c AS (SELECT *, people - sum(base) OVER (PARTITION BY s_nationkey) AS remaining, row_number() OVER (PARTITION BY s_nationkey ORDER BY rest DESC NULLS LAST, s_suppkey) AS k FROM b)
+    SELECT s_nationkey, s_suppkey, weight, people, (base + CASE WHEN k <= remaining THEN 1 ELSE 0 END)::BIGINT AS allocated FROM c""",
+)
+def spatial_allocation(t: Tables):
+    from .surfaces import pixels, triangles
+
+    zones = triangles(t).join(t.supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
+    totals = t.customer.groupBy(F.col("c_nationkey").alias("s_nationkey")).agg((F.count("*") * 10).alias("people"))
+    return spatial.allocated_sum(pixels(t).drop("c_custkey"), zones, "s_nationkey", "s_suppkey", "value", totals, "people", 20)
+
+
+@query("q_explode_words", "WITH e AS (SELECT p_partkey, p_type, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT word, p_partkey, p_type, count(*) OVER (PARTITION BY word, p_type) > 1 AS shared FROM e")
+def explode_words(t: Tables):
+    """The second way to flag keys that several lists hold: counts joined back, so a frequent word is no task of its own."""
+    e = t.part.select("p_partkey", "p_type", F.explode(F.split("p_name", " ")).alias("word"))
+    counts = e.groupBy("word", "p_type").agg((F.count("*") > 1).alias("shared"))
+    return e.join(counts, ["word", "p_type"]).select("word", "p_partkey", "p_type", "shared")
+
+
+MESSY = "CASE WHEN c_acctbal < -900 THEN '#N/A' WHEN c_acctbal < 0 THEN '(' || {0} || ')' WHEN c_acctbal < 100 THEN '-' WHEN c_acctbal > 9900 THEN {0} || ' %' ELSE ' ' || {0} END"
+UNIT = "CASE c_mktsegment WHEN 'BUILDING' THEN 'KSh million' WHEN 'FURNITURE' THEN 'thousand' WHEN 'MACHINERY' THEN 'bn' ELSE 'KES' END"
+
+
+@query(
+    "q_clean_balances",
+    f"""WITH r AS (SELECT c_custkey, {MESSY.format("format('{:,}', round(abs(c_acctbal))::BIGINT)")} AS raw, {UNIT} AS unit FROM customer),
+    c AS (SELECT *, CASE WHEN trim(raw) IN ('', '-') THEN NULL WHEN trim(raw) LIKE '(%)' THEN -try_cast(regexp_replace(raw, '[,%\\s()]', '', 'g') AS DOUBLE) ELSE try_cast(regexp_replace(raw, '[,%\\s()]', '', 'g') AS DOUBLE) END AS value FROM r)
+    SELECT c_custkey, raw, value, value * CASE WHEN unit = 'KSh million' THEN 1e6 WHEN unit = 'thousand' THEN 1e3 WHEN unit = 'bn' THEN 1e9 ELSE 1.0 END AS scaled FROM c""",
+)
+def clean_balances(t: Tables):
+    shown = "format_number(CAST(round(abs(c_acctbal)) AS BIGINT), 0)"
+    r = t.customer.select("c_custkey", F.expr(MESSY.format(shown)).alias("raw"), F.expr(UNIT).alias("unit")).withColumn("value", text.clean_number(F.col("raw")))
+    return r.select("c_custkey", "raw", "value", text.scaled_by_words(F.col("value"), F.col("unit")).alias("scaled"))
+
+
+RAW_ID = "CASE WHEN c_acctbal < -900 THEN '#REF!' WHEN c_acctbal < -800 THEN '' WHEN c_acctbal > 9900 THEN c_name ELSE ' ' || substring(c_name, 10) END"
+
+
+@query(
+    "q_parse_ids",
+    f"""WITH r AS (SELECT c_custkey, {RAW_ID} AS raw FROM customer)
+    SELECT c_custkey, CASE WHEN regexp_full_match(trim(raw), '[0-9]{{1,9}}') THEN trim(raw)::BIGINT END AS id, CASE WHEN trim(raw) = '' THEN 'empty' WHEN trim(raw) = '#REF!' THEN 'sentinel' WHEN NOT regexp_full_match(trim(raw), '[0-9]{{1,9}}') THEN 'not a number' END AS note FROM r""",
+)
+def parse_ids(t: Tables):
+    value, note = text.parse_id(F.col("raw"))
+    return t.customer.select("c_custkey", F.expr(RAW_ID).alias("raw")).select("c_custkey", value.alias("id"), note.alias("note"))
+
+
+@query(
+    "q_lineage_bounded",
+    """WITH o AS (SELECT c_nationkey, o_orderkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey) AS release FROM orders JOIN customer ON o_custkey = c_custkey),
+    l AS (SELECT c_nationkey, release, l_partkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY release, l_partkey) AS nth FROM (SELECT DISTINCT c_nationkey, release, l_partkey FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE release <= 8))
+    SELECT c_nationkey, release::BIGINT AS release, l_partkey FROM l WHERE nth <= 12""",
+)
+def lineage_bounded(t: Tables):
+    """A dataset's graph for display: its 8 newest releases, and the first 12 indicators of these."""
+    from ..operators import rank
+
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderkey", "o_orderdate")
+    newest = rank.top_k(o, ["c_nationkey"], [F.desc("o_orderdate"), F.col("o_orderkey")], 8).withColumnRenamed("place", "release")
+    links = newest.join(t.lineitem.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("c_nationkey", "release", "l_partkey").distinct()
+    return rank.top_k(links, ["c_nationkey"], [F.col("release"), F.col("l_partkey")], 12).drop("place")
+
+
+@query(
+    "q_active_series",
+    f"""SELECT p_brand, p_type, count(*)::BIGINT AS parts FROM part WHERE lower({LIFECYCLE}) = 'active' AND p_retailprice >= 901 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N') GROUP BY ALL""",
+)
+def active_series(t: Tables):
+    active = t.part.filter((F.lower(F.expr(LIFECYCLE)) == "active") & (F.col("p_retailprice") >= 901))
+    published = active.join(t.lineitem.filter("l_returnflag = 'N'"), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    return published.groupBy("p_brand", "p_type").agg(F.count("*").alias("parts"))
