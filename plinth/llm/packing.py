@@ -57,11 +57,11 @@ class Encoder:
         return [b"".join(map(self.cache.__getitem__, s)) if s is not None else np.array(self.tok.encode(t, add_special_tokens=False).ids if t else [], "<u4").tobytes() for s, t in zip(split, texts)]
 
 
-def cuts(n: int, capacity: int) -> list[tuple[int, int, int]]:
-    """(start, length, class) of the pieces of a document with n ids."""
+def cuts(n: int, capacity: int, whole: bool = False) -> list[tuple[int, int, int]]:
+    """(start, length, class) of the pieces of a document with n ids. whole: what fits one sequence is not cut further."""
     found, at = [(i * capacity, capacity, 1) for i in range(n // capacity)], n - n % capacity
     rest = n - at
-    for k in (2, 4, 8, 16):
+    for k in () if whole else (2, 4, 8, 16):
         if rest >= (part := capacity // k) > 0:
             found.append((at, part, k))
             at, rest = at + part, rest - part
@@ -113,8 +113,9 @@ class Bins:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, cache_entries: int = 400_000) -> DataFrame:
-    """One row for each piece of docs(doc_id, text), with the sequence and the offset it lies at."""
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, cache_entries: int = 400_000, whole: bool = False) -> DataFrame:
+    """One row for each piece of docs(doc_id, text), with the sequence and the offset it lies at. whole: the last piece of a document, or all of one that
+    fits a sequence, stays in one piece, at the price of more padding (see the README)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -125,7 +126,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, cach
                 for doc_id, data in zip(ids, encode(texts)):
                     data += end
                     n = len(data) // 4
-                    for start, length, k in cuts(n, capacity):
+                    for start, length, k in cuts(n, capacity, whole):
                         bins.add((doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n), k)
                 if bins.rows:
                     yield bins.take()

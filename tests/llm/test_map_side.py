@@ -57,6 +57,17 @@ def test_packing_is_a_partition_of_all_ids(hard):
     assert padding < 0.1 * sum(total.values())
 
 
+def test_whole_documents_stay_in_one_piece(hard):
+    cut, whole = (packing.pack(hard, BYTES, whole=w).collect() for w in (False, True))
+    assert sum(r.length for r in cut) == sum(r.length for r in whole)
+    for rows in (cut, whole):
+        by_seq = defaultdict(list)
+        for r in rows:
+            by_seq[r.sequence_id].append((r.offset, r.length))
+        assert all(sum(n for _, n in x) <= 1024 and sorted(x)[0][0] == 0 for x in by_seq.values())
+    assert len(whole) < len(cut) and all(r.start % 1024 == 0 and r.length == min(1024, r.doc_tokens - r.start) for r in whole)
+
+
 def test_cuts_fill_classes():
     for n in (1, 63, 64, 1023, 1024, 1025, 5000):
         cuts = packing.cuts(n, 1024)
