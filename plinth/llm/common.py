@@ -83,6 +83,19 @@ def unboxed(df: DataFrame, columns: list[str], text: Column | None = None) -> li
     return [text.alias(c) if text is not None and c == "text" else F.col("row").getField(c).alias(c) for c in columns]
 
 
+#: A key is frequent if one in so many rows has it; so at most so many keys are.
+FREQUENT = 4096
+
+
+def joined_by_count(rows: DataFrame, keyed: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """rows with the row of `keyed` that has their key, where there is one. keyed has one row a key and, in `times`, how many of the
+    `total` rows have it. The frequent keys, at most FREQUENT, are broadcast, so their rows are not moved to one task; the others are shuffled."""
+    frequent = F.col(times) * FREQUENT >= total
+    hot = F.broadcast(keyed.filter(frequent))
+    rest = rows.join(F.broadcast(keyed.filter(frequent).select(*on)), on, "left_anti").join(keyed.filter(~frequent), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def shards(df: DataFrame) -> int:
     """How many ways keyed work is dealt out: the session's shuffle width, which the cluster's owner sizes to the data."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -4,7 +4,7 @@ A window is three consecutive non-blank lines of a document, compared without th
 (128 bits) and counted over the whole corpus; in each group of equal windows the first by (doc_id, position) stays, and the
 lines that later ones cover are removed, covered positions merged. Counting combines in the map tasks, so a
 window that is everywhere sends one row a task; the later occurrences are found by an equi-join between two written
-tables, whose hot keys adaptive execution splits; nothing is gathered but the covered lines of one document.
+tables, in which the frequent windows (one in 4096 occurrences, so 4096 at most) are broadcast; nothing is gathered but the covered lines of one document.
 
 Defined results: a null or empty text has no lines (n_lines 0) and stays as it is. Blank lines are never part of a window and go
 only if they lie between removed lines of one window. Documents with fewer than three non-blank lines lose nothing. Equal
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, materialise, row_key, table, unboxed
+from .common import boxed, joined_by_count, materialise, row_key, table, unboxed
 
 WIDTH = 3
 
@@ -45,8 +45,8 @@ def covered_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """k_id, k_text, and the numbers of the lines that go."""
     found = materialise(windows(docs, width))
     place = F.struct("k_id", "k_text", "at")
-    repeated = materialise(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("final")).filter("first <> final").select("h1", "h2", "first"))
-    later = found.join(repeated, ["h1", "h2"]).filter(place != F.col("first"))
+    repeated = materialise(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.count("*").alias("n")).filter("first <> final").select("h1", "h2", "first", "n"))
+    later = joined_by_count(found, repeated, ["h1", "h2"], "n", found.count()).filter(place != F.col("first"))
     spans = later.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("at", "last")).alias("spans"))
     return spans.select("k_id", "k_text", F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x.at, x.last)))).alias("gone"))
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plinth.llm import decontamination, line_dedup, near_dedup, quality_classifier, quality_rules, suffix_dedup
 from plinth.llm import queries as registered
@@ -47,6 +48,16 @@ def test_line_dedup_of_hard_texts(hard, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_join_by_count_is_a_join(spark):
+    from plinth.llm.common import FREQUENT, joined_by_count
+
+    rows = spark.range(3 * FREQUENT).select((F.col("id") % 3).alias("hot"), F.col("id").alias("x")).select(F.when(F.col("hot") == 0, F.col("x")).otherwise(F.col("hot") - 10).alias("k"), "x")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("first")).filter("k <> 3")
+    got = joined_by_count(rows, keyed, ["k"], "n", rows.count())
+    assert keyed.filter(F.col("n") * FREQUENT >= rows.count()).count() == 2
+    assert sorted(map(tuple, got.select("k", "x", "first").collect())) == sorted(map(tuple, rows.join(keyed, "k").select("k", "x", "first").collect()))
+
+
 def test_repeated_strings_against_brute_force(spark, hard, empty):
     rng = random.Random(2)
     block = sentence(rng, 30)
