@@ -9,7 +9,7 @@ same number, and a line that one copy repeats doesn't hide it from the search.
 Exact copies (equal words) are one class from the start, by a combining aggregation. Bands of registers put class representatives
 into buckets. Each member of a bucket is first compared with one leader, another one in each band, and what the exact Jaccard of their
 shingle sets confirms is linked. Then all pairs of a bucket that are not connected yet are compared exactly, in blocks of bounded
-size that are dealt to the tasks with the shingle sets: members of the bucket's largest group meet only those outside it, so a bucket of any
+size that are dealt to the tasks with the shingle sets (large buckets are known by a broadcast, not moved to one task): members of the bucket's largest group meet only those outside it, so a bucket of any
 size whose members are alike costs one comparison a member, and a block gives back only links that connect, one a member at most. So
 every two documents that share a bucket are connected or have been compared. Groups are the connected components of the verified
 links, by alternating large and small stars on tables in the shared folder.
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, map_slices, materialise, row_key, shards, table, unboxed
+from .common import boxed, joined_by_count, map_slices, materialise, row_key, shards, table, unboxed
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE = 5
@@ -140,8 +140,8 @@ def buckets(reps: DataFrame) -> DataFrame:
 def led(rows: DataFrame, sig: DataFrame) -> DataFrame:
     """a, b: the members of buckets that look like their bucket's leader, with it (a > b)."""
     rank = F.struct(F.xxhash64("band", "n.id", "n.text").alias("h"), F.col("n").alias("n"))
-    leads = rows.groupBy("band", "key").agg(F.min(rank).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.col("lead.n").alias("lead"))
-    pairs = rows.join(materialise(leads), ["band", "key"]).filter("n <> lead").select(F.greatest("n", "lead").alias("a"), F.least("n", "lead").alias("b")).distinct()
+    leads = rows.groupBy("band", "key").agg(F.min(rank).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("band", "key", "size", F.col("lead.n").alias("lead"))
+    pairs = joined_by_count(rows, materialise(leads), ["band", "key"], "size", rows.count()).filter("n <> lead").select(F.greatest("n", "lead").alias("a"), F.least("n", "lead").alias("b")).distinct()
     alike = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda z: z)) / F.lit(float(REGISTERS))
     both = materialise(pairs).join(sig.select(F.col("n").alias("a"), F.col("sig").alias("s1")), "a").join(sig.select(F.col("n").alias("b"), F.col("sig").alias("s2")), "b")
     return both.filter(alike >= CANDIDATE).select("a", "b")
@@ -150,14 +150,15 @@ def led(rows: DataFrame, sig: DataFrame) -> DataFrame:
 def blocks(rows: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """band, key, i, j, c, n, root: the members of buckets of three and more that are not all connected, in each block (i, j) that they
     belong to as part c. Pairs are those of two parts, or those within one where i = j. Buckets of two have met as member and leader."""
+    total = rows.count()
     rows = rows.join(roots, "n", "left").select("band", "key", "n", "of", F.coalesce("root", "n").alias("root"))
     per = rows.groupBy("band", "key", "root").agg(F.sum("of").alias("of"), F.count("*").alias("members"))
     size = per.groupBy("band", "key").agg(F.sum("of").alias("size"), F.sum("members").alias("members"), F.count("*").alias("roots"), F.max(F.struct("of", "root")).alias("main"))
-    open_ = materialise(size.filter("members > 2 and roots > 1").select("band", "key", "size", F.col("main.root").alias("main"), F.col("main.of").alias("mains")))
+    open_ = materialise(size.filter("members > 2 and roots > 1").select("band", "key", "size", "members", F.col("main.root").alias("main"), F.col("main.of").alias("mains")))
     one = F.col("size") <= block
     rest = F.when(one, 1).otherwise(F.ceil((F.col("size") - F.col("mains")) / block)).cast("int")
     parts = F.when(one, 1).otherwise(rest + F.ceil(F.col("mains") / block)).cast("int")
-    dealt = rows.join(open_, ["band", "key"]).withColumns({"rest": rest, "parts": parts, "is_main": (F.col("root") == F.col("main")) & ~one, "h": F.xxhash64("n.text", "n.id")})
+    dealt = joined_by_count(rows, open_, ["band", "key"], "members", total).withColumns({"rest": rest, "parts": parts, "is_main": (F.col("root") == F.col("main")) & ~one, "h": F.xxhash64("n.text", "n.id")})
     c = F.when(F.col("is_main"), F.col("rest") + F.pmod("h", F.col("parts") - F.col("rest"))).otherwise(F.pmod("h", F.col("rest"))).cast("int")
     meets = F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rest")).otherwise(F.col("parts")) - 1)).alias("x")
     return dealt.withColumn("c", c).select("band", "key", "n", "root", "c", meets).select("band", "key", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "n", "root")
