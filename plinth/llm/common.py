@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -83,6 +84,13 @@ def unboxed(df: DataFrame, columns: list[str], text: Column | None = None) -> li
     return [text.alias(c) if text is not None and c == "text" else F.col("row").getField(c).alias(c) for c in columns]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so when the objects that stand for them are collected, which
+    by itself may take longer than all steps do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A key is frequent if one in so many rows has it; so at most so many keys are.
 FREQUENT = 4096
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shards, table
+from .common import discard, materialise, release, shards, table
 
 #: Bytes of text in a chunk, and documents it has at most; length of the k-grams that anchor a window; windows in a strip; batches that the documents are dealt to.
 CHUNK_BYTES, CHUNK_DOCS, GRAM, STRIP, BATCHES = 1_500_000, 50_000, 32, 16, 2
@@ -332,9 +332,12 @@ def settled(chunks: DataFrame, width: int, parts: int) -> DataFrame:
         grown = materialise(added(runs.filter(F.col("part") == part), family))
         discard(family)
         family = grown
+        release(chunks.sparkSession)
     found = answers(runs, family, parts - 1)
     told = materialise(found.groupBy("chunk").agg(F.collect_list(F.struct("shard", "n")).alias("told")))
     discard(family)
+    del runs, found
+    release(chunks.sparkSession)
     return told
 
 
@@ -463,13 +466,18 @@ def repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = CHUNK_BYTES,
     """doc_id, n_bytes, spans (start and end of the maximal removed runs) and kept (the other bytes) for each row of docs."""
     width = shards(docs)
     chunks = materialise(chunked(docs, length, chunk_bytes, parts))
-    texts = chunks.select("chunk", "part", "skip", "sizes", "blob")
-    first = chunks.select("chunk", "plan").join(settled(chunks, width, parts), "chunk")
-    second = materialise(mapped(texts.join(first, "chunk"), lambda row: strips(row, length), STEPS, STEPS_DDL))
+    spark, texts = docs.sparkSession, chunks.select("chunk", "part", "skip", "sizes", "blob")
+    told = settled(chunks, width, parts)
+    second = materialise(mapped(texts.join(chunks.select("chunk", "plan").join(told, "chunk"), "chunk"), lambda row: strips(row, length), STEPS, STEPS_DDL))
+    discard(told)
+    release(spark)
     told = settled(second, width, parts)
     step = second.select("chunk", "plan", "marks", "tied").join(told, "chunk", "left")
     third = materialise(mapped(texts.join(step, "chunk"), lambda row: windows(row, length), STEPS, STEPS_DDL))
     discard(second)
+    discard(told)
+    del step
+    release(spark)
     last = third.select("chunk", F.col("plan"), "marks").join(settled(third, width, parts), "chunk", "left")
     whole = chunks.drop("part", "plan", "keys", "prints", "n").join(last, "chunk", "left")
     ddl = f"whole long, at long, {RESULT}"
