@@ -364,6 +364,14 @@ def test_perplexities_are_those_of_a_plain_model(spark, head):
         assert got[i].n_words == len(t) and abs(got[i].log_ppl - want) < 1e-3
 
 
+def test_repeated_trusted_rows_train_once(spark):
+    rng = random.Random(7)
+    rows = [(i, "en", i, sentence(rng, 30)) for i in range(20)]
+    schema, labels = "doc_id long, lang string, k_text long, text string", spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    once, often = (quality_classifier.score(spark.createDataFrame(r, schema), labels, 100, 10).select("doc_id", "log_ppl").distinct() for r in (rows, rows + rows[:5] * 20))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, often.collect()))
+
+
 def test_keys_survive_packing():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**48, 500).astype(np.uint64))
     assert (quality_classifier.expand(quality_classifier.squeeze(keys)) == keys).all()
