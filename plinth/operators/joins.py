@@ -80,6 +80,18 @@ def fuzzy_pass(method: str, block: str, name: str, most: float, margin: float):
     return run
 
 
+def spatial_pass(method: str, areas: DataFrame, block: str, name: str, most: float, margin: float, cell: float):
+    """Match each row by name within the area (block, ring) that alone holds its point (x, y); a row in none or several is left."""
+    from .spatial import points_in
+
+    def run(s: DataFrame, t: DataFrame, key: str) -> DataFrame:
+        held = points_in(s.select(key, name, "x", "y"), areas, cell)
+        alone = held.groupBy(key, name).agg(F.count("*").alias("c"), F.min(block).alias(block)).filter("c = 1").drop("c")
+        return fuzzy_pass(method, block, name, most, margin)(alone, t, key)
+
+    return run
+
+
 def group_pass(method: str, single: str, group: list[str]):
     """Pair what is left of a group by order of the keys, only where as many are left on both sides; a group of one pair is `single`."""
 

@@ -302,3 +302,29 @@ def active_series(t: Tables):
     active = t.part.filter((F.lower(F.expr(LIFECYCLE)) == "active") & (F.col("p_retailprice") >= 901))
     published = active.join(t.lineitem.filter("l_returnflag = 'N'"), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
     return published.groupBy("p_brand", "p_type").agg(F.count("*").alias("parts"))
+
+
+@query(
+    "q_er_spatial",
+    f"""WITH s AS (SELECT 100 + n_nationkey AS id, n_regionkey AS parent, CASE WHEN n_regionkey < 4 THEN replace({SPELT.format('INTEGER')}, 'NATOIN', 'NASHUN') END AS name FROM nation), t AS (SELECT n_nationkey AS t_id, n_regionkey AS parent, n_name AS name FROM nation),
+    p AS (SELECT id, t_id, levenshtein(s.name, t.name) / greatest(length(s.name), length(t.name)) AS cost FROM s JOIN t USING (parent) WHERE s.name IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cost, t_id) AS k, lead(cost) OVER (PARTITION BY id ORDER BY cost, t_id) AS nxt FROM p),
+    b AS (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY cost, id) AS j FROM r WHERE k = 1 AND cost <= 0.62 AND (nxt IS NULL OR nxt - cost >= 0.025)),
+    m AS (SELECT id, t_id, 'in the area' AS method FROM b WHERE j = 1)
+    SELECT * FROM m UNION ALL SELECT id, NULL, 'unmatched' FROM s WHERE id NOT IN (SELECT id FROM m)""",
+)
+def er_spatial(t: Tables):
+    """Rows that know no parent but a point; those of region 4 lie outside all areas."""
+    r = F.col("n_regionkey")
+    x = (r * 10 + 5 + F.when(r == 4, 100).otherwise(0)).cast("double")
+    source = t.nation.select((F.col("n_nationkey") + 100).alias("id"), F.regexp_replace(F.expr(SPELT.format("INT")), "NATOIN", "NASHUN").alias("name"), x.alias("x"), F.lit(5.0).alias("y"))
+    target = t.nation.select(F.col("n_nationkey").alias("t_id"), r.alias("parent"), F.col("n_name").alias("name"))
+    at = lambda dx, y: F.array((F.col("r_regionkey") * 10 + dx).cast("double"), F.lit(float(y)))
+    areas = t.region.select(F.col("r_regionkey").alias("parent"), F.array(at(0, 0), at(10, 0), at(10, 10), at(0, 10)).alias("ring"))
+    return joins.resolve_by(source, target, "id", [joins.spatial_pass("in the area", areas, "parent", "name", 0.62, 0.025, 10)])
+
+
+@query("q_exactly_one", "SELECT o_orderkey::VARCHAR AS key, 'exactly one of value, note' AS detail FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS value, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority END AS note FROM orders) WHERE (value IS NULL) = (note IS NULL)")
+def exactly_one(t: Tables):
+    o = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority")).alias("note"))
+    return rules.exactly_one(o, ["o_orderkey"], "value", "note")
