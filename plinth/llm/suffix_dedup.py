@@ -7,11 +7,12 @@ with a second fingerprint of the whole surrounding, as only equality at depth `l
 
 Each shard holds a range of the fingerprints and a family of sorted levels. Each run of a new batch is merge-scanned with all levels there
 are; matches are marked on both sides; then levels of like size merge, so that each entry is rewritten a logarithmic number of
-times. After each batch the family is a table in the shared folder, and the next batch meets it there. This is done three times, on ever fewer strings:
+times. After each batch the family of segments is a table in the shared folder, and the next batch meets it there. What is in doubt then is settled
+in two more steps, on ever fewer strings and in families that live in the shards' tasks:
 
 1. segments: one whose anchor is found once is done; one whose whole string is all there is at its anchor, several times, is
    covered; one whose anchor has several surroundings is opened up;
-2. strips of at most 16 windows of opened segments, keyed by the bytes that all windows of the strip share: done, covered or opened likewise;
+2. strips of at most 8 windows of opened segments, keyed by the bytes that all windows of the strip share: done, covered or opened likewise;
 3. windows of opened strips, and of segments that hold their anchor twice, which settles every window exactly.
 
 Equal strings of a chunk are one entry, so a passage in a third of all documents is one entry a chunk. Texts move as
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, release, shards, table
 
 #: Bytes of text in a chunk, and documents it has at most; length of the k-grams that anchor a window; windows in a strip; batches that the documents are dealt to.
-CHUNK_BYTES, CHUNK_DOCS, GRAM, STRIP, BATCHES = 1_500_000, 50_000, 32, 16, 2
+CHUNK_BYTES, CHUNK_DOCS, GRAM, STRIP, BATCHES = 1_500_000, 50_000, 32, 8, 2
 U = np.uint64
 #: Odd multipliers of the mixing steps.
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -314,7 +315,7 @@ def answers(runs: DataFrame, family: DataFrame | None, last: int) -> DataFrame:
 
     def settle(levels: pd.DataFrame, all_runs: pd.DataFrame) -> pd.DataFrame:
         found = Levels(list(runs_of(levels)))
-        for r in runs_of(all_runs[all_runs["part"] == last]):
+        for r in runs_of(all_runs[all_runs["part"] >= last]):
             found.add(r)
         out = [(shard, chunk, found.known(np.frombuffer(k, U)).tobytes()) for shard, chunk, k in zip(all_runs["shard"], all_runs["chunk"], all_runs["keys"])]
         return pd.DataFrame(out, columns=["shard", "chunk", "n"])
@@ -411,24 +412,32 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+def in_doubt(row: dict, length: int) -> tuple[np.ndarray, tuple, np.ndarray]:
+    """The windows of a chunk that are looked up one by one, their run, and the place of each in it."""
+    first, last, key = read_plan(row["plan"], 3)
+    state = known_of(row["told"])[key] if len(key) else key
+    at = np.unique(np.concatenate([spread(*read_plan(row["tied"], 2)), spread(first[state >= SEVERAL], last[state >= SEVERAL])]))
+    if not len(at):
+        return at, EMPTY, at
+    h = hashes(text_of(row), at, at + length)
+    return at, *entries(h[:, 0], h[:, 1], at >= row["skip"])
+
+
 def windows(row: dict, length: int) -> list[dict]:
     """The third step: what the strips cover too, and the run of the windows of those that are open still."""
     first, last, key = read_plan(row["plan"], 3)
     state = known_of(row["told"])[key] if len(key) else key
     marks = edges_of(covered(row, first[state == AGAIN], last[state == AGAIN], length))
-    at = np.unique(np.concatenate([spread(*read_plan(row["tied"], 2)), spread(first[state >= SEVERAL], last[state >= SEVERAL])]))
-    found, place = EMPTY, at
-    if len(at):
-        h = hashes(text_of(row), at, at + length)
-        found, place = entries(h[:, 0], h[:, 1], at >= row["skip"])
-    return [{"chunk": row["chunk"], "part": row["part"], "plan": planned(at, place), "marks": planned(*marks), "tied": b"", **packed_run(found)}]
+    return [{"chunk": row["chunk"], "part": row["part"], "plan": b"", "marks": planned(*marks), "tied": b"", **packed_run(in_doubt(row, length)[1])}]
 
 
 def cover(row: dict, length: int) -> np.ndarray:
-    """Which bytes of a chunk a repeated window covers."""
-    at, key = read_plan(row["plan"], 2)
-    again = at[known_of(row["told"])[key] == AGAIN] if len(at) else at
-    return covered(row, again, again, length)
+    """Which bytes of a chunk a repeated window covers. The windows in doubt are hashed again: that costs less than to keep their places."""
+    at = np.zeros(0, np.int64)
+    if row["plan"] is not None:
+        at, _, place = in_doubt(row, length)
+        at = at[known_of(row["told3"])[place] == AGAIN] if len(at) else at
+    return covered(row, at, at, length)
 
 
 OUT = pa.schema([("whole", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
@@ -471,14 +480,11 @@ def repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = CHUNK_BYTES,
     second = materialise(mapped(texts.join(chunks.select("chunk", "plan").join(told, "chunk"), "chunk"), lambda row: strips(row, length), STEPS, STEPS_DDL))
     discard(told)
     release(spark)
-    told = settled(second, width, parts)
+    told = settled(second, width, 1)
     step = second.select("chunk", "plan", "marks", "tied").join(told, "chunk", "left")
     third = materialise(mapped(texts.join(step, "chunk"), lambda row: windows(row, length), STEPS, STEPS_DDL))
-    discard(second)
-    discard(told)
-    del step
     release(spark)
-    last = third.select("chunk", F.col("plan"), "marks").join(settled(third, width, parts), "chunk", "left")
+    last = step.drop("marks").join(third.select("chunk", "marks"), "chunk").join(settled(third, width, 1).withColumnRenamed("told", "told3"), "chunk", "left")
     whole = chunks.drop("part", "plan", "keys", "prints", "n").join(last, "chunk", "left")
     ddl = f"whole long, at long, {RESULT}"
     out = lambda of_cut: mapped(whole.filter(F.col("cut") == of_cut), lambda row: cut(row, length), OUT, ddl)
