@@ -481,10 +481,17 @@ def repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = CHUNK_BYTES,
     discard(told)
     release(spark)
     told = settled(second, width, 1)
-    step = second.select("chunk", "plan", "marks", "tied").join(told, "chunk", "left")
+    step = materialise(second.select("chunk", "plan", "marks", "tied").join(told, "chunk", "left"))  # without the run, which has been answered
+    discard(second)
+    discard(told)
     third = materialise(mapped(texts.join(step, "chunk"), lambda row: windows(row, length), STEPS, STEPS_DDL))
     release(spark)
-    last = step.drop("marks").join(third.select("chunk", "marks"), "chunk").join(settled(third, width, 1).withColumnRenamed("told", "told3"), "chunk", "left")
+    told = settled(third, width, 1)
+    marks = materialise(third.select("chunk", "marks").join(told.withColumnRenamed("told", "told3"), "chunk", "left"))
+    discard(third)
+    discard(told)
+    release(spark)
+    last = step.drop("marks").join(marks, "chunk")
     whole = chunks.drop("part", "plan", "keys", "prints", "n").join(last, "chunk", "left")
     ddl = f"whole long, at long, {RESULT}"
     out = lambda of_cut: mapped(whole.filter(F.col("cut") == of_cut), lambda row: cut(row, length), OUT, ddl)
