@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from . import decontamination, html_extraction, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, ranked_search, source_mixing, suffix_dedup, token_alignment, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_packing": packing.query,
     "op10_language_id": language_id.query,
+    "op11_ranked_search": ranked_search.query,
+    "op12_source_mixing": source_mixing.query,
+    "op13_token_alignment": token_alignment.query,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op12_source_mixing": source_mixing.ORACLE,
 }
