@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import PieceCache, byte_ranks, is_plain, materialise, sliced, table
-from .packing import Encoder
 
 #: Stripes of the first tokenizer's ids. A block of 50,257 / 128 x 32,000 counts takes 100 MB at most.
 STRIPES = 128
@@ -40,6 +40,8 @@ SLOT_BYTES = 96 << 20
 #: Slots whose blocks are summed in one task.
 FAN_IN = 32
 
+#: Fixed value: the byte-level tokenizer's pattern of pre-tokens.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNIT = re.compile(r"\s*\S+|\s+")
 #: Units that are longer aren't kept in the cache.
 LONG_UNIT = 64
@@ -62,6 +64,7 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, cache_entries: int = 250_000):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(a_path)
@@ -80,7 +83,9 @@ class Aligner:
         self.cuts = not any(re.search("[^▁]▁", piece(i)) for i in range(n))
         inside = sorted({c for i in range(n) if len(piece(i)) > 1 for c in piece(i) if c.isspace()})
         self.uncut = re.compile("[" + re.escape("".join(inside)) + "]") if inside else None
-        self.encode_a = Encoder(a_path, cache_entries)
+        self.merge = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.shown = [f"{i}{sign}".encode() for i in range(max(len(self.a_bytes), n)) for sign in ",|;"]
+        self.shown_len = np.array([len(x) for x in self.shown], np.int64)
         self.cache = PieceCache(self.of_units, most=cache_entries)
 
     def by_unit(self, text: str) -> bool:
@@ -90,40 +95,45 @@ class Aligner:
         """Units stand as they do in a text after a space: what doesn't start with one is given the library's own space, which is taken off."""
         b = self.sp.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         b = [[self.space] if u == " " else x if u[0] == " " else x[1:] for u, x in zip(units, b)]
-        return self.aligned(units, [np.frombuffer(x, "<u4") for x in self.encode_a(units)], b)
+        return self.aligned(units, list(map(self.merge, units)), b)
 
     def of_texts(self, texts: list[str]) -> list:
         return self.aligned([f" {t}" for t in texts], [self.tok.encode(f" {t}", add_special_tokens=False).ids for t in texts], self.sp.encode(texts, num_threads=1))
 
-    def aligned(self, units: list[str], a: list, b: list) -> list:
-        found: list = [None] * len(units)
-        good = []
-        for i, u in enumerate(units):
-            data = u.encode()
-            if b"".join([self.a_bytes[x] for x in a[i]]) == data == b"".join([self.b_bytes[x] for x in b[i]]):
-                good.append(i)
-        if not good:
-            return found
-        n_a, n_b = (np.array([len(x[i]) for i in good], np.int64) for x in (a, b))
-        ids_a, ids_b = (np.concatenate([np.asarray(x[i], np.int64) for i in good]) for x in (a, b))
+    def aligned(self, units: list[str], a: list[list[int]], b: list[list[int]]) -> list:
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        want = "".join(units).encode()
+        if b"".join(map(self.a_bytes.__getitem__, flat_a)) != want or b"".join(map(self.b_bytes.__getitem__, flat_b)) != want:
+            if len(units) == 1:
+                return [None]
+            middle = len(units) // 2
+            return self.aligned(units[:middle], a[:middle], b[:middle]) + self.aligned(units[middle:], a[middle:], b[middle:])
+        if not flat_a:
+            return [None] * len(units)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
         end_a, end_b = np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b])
         start_a, start_b = end_a - self.a_len[ids_a], end_b - self.b_len[ids_b]
         first, stop = np.searchsorted(end_b, start_a, "right"), np.searchsorted(start_b, end_a, "left")
         each = stop - first
         to_b = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - first, each)
-        links = (np.repeat(ids_a, each) << 16 | ids_b[to_b]).astype("<u4")
+        links = (np.repeat(ids_a, each) << 16 | ids_b[to_b]).astype("<u4").tobytes()
         upto_a = np.cumsum(n_a)
-        upto_link = np.cumsum(each)[upto_a - 1]
-        ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        upto_link, ends = np.cumsum(each)[upto_a - 1], np.intersect1d(end_a, end_b, assume_unique=True)
         upto_group = np.searchsorted(ends, end_a[upto_a - 1], "right")
-        text_a, text_b, groups, x0, y0 = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), [], 0, 0
-        for x1, y1 in zip(np.searchsorted(end_a, ends, "right").tolist(), np.searchsorted(end_b, ends, "right").tolist()):
-            groups.append(f"{','.join(text_a[x0:x1])}|{','.join(text_b[y0:y1])}")
-            x0, y0 = x1, y1
-        l0 = g0 = 0
-        for i, l1, g1, x, y in zip(good, upto_link.tolist(), upto_group.tolist(), n_a.tolist(), n_b.tolist()):
-            found[i] = (x, y, g1 - g0, l1 - l0, ";".join(groups[g0:g1]).encode(), links[l0:l1].tobytes())
-            l0, g0 = l1, g1
+        # Tokens in the order in which groups are shown, each with the sign that follows it: a,a|b;a|b,b;
+        group_a, group_b = np.searchsorted(ends, end_a, "left"), np.searchsorted(ends, end_b, "left")
+        shown, sign = np.empty(len(ids_a) + len(ids_b), np.int64), np.zeros(len(ids_a) + len(ids_b), np.int64)
+        at_a, at_b = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left"), np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
+        shown[at_a], shown[at_b] = ids_a, ids_b
+        sign[at_a[np.searchsorted(end_a, ends)]], sign[at_b[np.searchsorted(end_b, ends)]] = 1, 2
+        token = shown * 3 + sign
+        text = b"".join(map(self.shown.__getitem__, token.tolist()))
+        upto_text = np.cumsum(self.shown_len[token])[np.cumsum(n_a + n_b) - 1]
+        found, l0, g0, t0 = [], 0, 0, 0
+        for x, y, g1, l1, t1 in zip(n_a.tolist(), n_b.tolist(), upto_group.tolist(), upto_link.tolist(), upto_text.tolist()):
+            found.append((x, y, g1 - g0, l1 - l0, text[t0 : t1 - 1], links[4 * l0 : 4 * l1]))
+            l0, g0, t0 = l1, g1, t1
         return found
 
     def chunk(self, texts: list[str | None]) -> tuple[list, list]:
