@@ -52,10 +52,11 @@ def targeted(sources: DataFrame, total: int, percent: int, most: int) -> DataFra
     weights = int(sources.agg(F.sum("weight")).first()[0] or 0)
     while True:
         over = percent * total - 100 * taken
-        above = big(F.col("weight")) * F.lit(over).cast("decimal(38,0)") > big(cap) * F.lit(100 * weights).cast("decimal(38,0)")
+        part = big(F.col("weight")) * big(F.lit(over))
+        above = part > big(cap) * big(F.lit(100 * weights))
         s = sources.agg(F.count_if(above).alias("n"), F.sum(F.when(above, cap)).alias("taken"), F.sum(F.when(~above, F.col("weight"))).alias("weights")).first()
         if s.n == capped_n:
-            share = (F.col("weight") * F.lit(over)).cast("double") / F.lit(100 * weights).cast("double")
+            share = part.cast("double") / F.lit(100 * weights).cast("double")
             return sources.withColumn("target", F.when(above, cap.cast("double")).otherwise(share if weights else F.lit(0.0)))
         capped_n, taken, weights = s.n, int(s.taken), int(s.weights or 0)
 

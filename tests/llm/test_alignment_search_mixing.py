@@ -157,6 +157,12 @@ def test_mix_reruns_agree_and_meet_targets(spark, sf_dir):
     assert all(r.taken in (0, r.size, 2 * r.size) for r in rows[0])
 
 
+def test_targets_of_large_sources(spark):
+    rows = [(f"s{i}", n, w) for i, (n, w) in enumerate([(10**14, 5), (3, 2), (7 * 10**13, 1), (0, 5)])]
+    got = source_mixing.targeted(spark.createDataFrame(rows, "key string, source_size long, weight int"), sum(r[1] for r in rows), 150, 2)
+    assert {r.key: r.target for r in got.collect()} == {"s0": 2.0 * 10**14, "s1": 6.0, "s2": 1.5 * (17 * 10**13 + 3) - 2 * 10**14 - 6, "s3": 0.0}
+
+
 def test_mix_of_nothing(empty):
     assert source_mixing.mix(empty).count() == 0
 
