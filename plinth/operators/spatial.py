@@ -1,11 +1,10 @@
-"""Joins of points with polygons, sums over zones, and overlap of convex polygons."""
+"""Joins of points with polygons, and sums over zones."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import geo
 
@@ -51,31 +50,6 @@ def lanes(df: DataFrame, keys: list[str], start: str, end: str, order: list[str]
     return df.groupBy(*keys).applyInPandas(place, schema)
 
 
-@F.pandas_udf(DoubleType())
-def convex_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Area shared by two convex rings (counter-clockwise), by clipping one with the other's edges."""
-
-    def area(ring: list) -> float:
-        return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) / 2
-
-    def shared(p, q) -> float:
-        out = [tuple(x) for x in p]
-        edges = [tuple(x) for x in q]
-        for (ax, ay), (bx, by) in zip(edges, edges[1:] + edges[:1]):
-            ring, out = out, []
-            side = lambda v: (bx - ax) * (v[1] - ay) - (by - ay) * (v[0] - ax)  # noqa: B023, E731
-            for u, v in zip(ring, ring[1:] + ring[:1]):
-                su, sv = side(u), side(v)
-                if su >= 0:
-                    out.append(u)
-                if su * sv < 0:
-                    t = su / (su - sv)
-                    out.append((u[0] + t * (v[0] - u[0]), u[1] + t * (v[1] - u[1])))
-        return max(area(out), 0.0) if len(out) > 2 else 0.0
-
-    return pd.Series([None if x is None or y is None else shared(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
 def worst_of(children: DataFrame, parent: str, rank: str, labels: list[str]) -> DataFrame:
     """A parent's status: the worst of its children's. labels go from best to worst; an unknown one counts as worst."""
     place = F.coalesce(*[F.when(F.col(rank) == x, F.lit(i)) for i, x in enumerate(labels)], F.lit(len(labels)))

@@ -132,15 +132,6 @@ def er_passes(t: Tables):
     return joins.resolve_by(source, target, "id", passes)
 
 
-@query("q_polygon_jaccard", f"WITH {BOXES} SELECT c_custkey, s_suppkey, overlap::DOUBLE AS overlap, overlap / (sa + sb - overlap) AS jaccard, overlap = sa AS nested FROM o WHERE overlap / (sa + sb - overlap) >= 0.5")
-def polygon_jaccard(t: Tables):
-    ring = lambda p: F.array(*[F.array(F.col(f"{p}x{i}").cast("double"), F.col(f"{p}y{j}").cast("double")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
-    met = joins.box_overlap(boxes(t.customer, "c_custkey", "a_"), boxes(t.supplier, "s_suppkey", "b_"), 20).filter("iou >= 0.5")
-    j = met.select("c_custkey", "s_suppkey", ring("a_").alias("a"), ring("b_").alias("b")).withColumn("overlap", spatial.convex_overlap("a", "b"))
-    area = lambda c: geo.polygon_area(F.array(c))
-    return j.select("c_custkey", "s_suppkey", "overlap", (F.col("overlap") / (area(F.col("a")) + area(F.col("b")) - F.col("overlap"))).alias("jaccard"), (F.col("overlap") == area(F.col("a"))).alias("nested"))
-
-
 @query("q_area_km2", f"WITH {BOXES} SELECT s_suppkey, round((x1 - x0) / 10.0 * ((y1 - y0) / 10.0) * 111.32 * 110.574 * cos(radians(y0 / 10.0)), 3) AS km2 FROM b")
 def area_km2(t: Tables):
     b = boxes(t.supplier, "s_suppkey", "b_")
