@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from . import similar
 from .temporal import best
 
 
@@ -43,20 +45,17 @@ def range_lookup(df: DataFrame, value: str, ranges: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ranges), (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")), "left")
 
 
-def similarity_cost(a: Column, b: Column) -> Column:
-    """Edit distance over the longer length: 0 for equal names, 1 for nothing in common."""
-    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-
-
 def fuzzy_match(source: DataFrame, target: DataFrame, block: str, name: str, target_name: str, target_id: str, most: float, margin: float) -> DataFrame:
     """Each source row with the best target of its block, if its cost is at most `most` and the runner-up is worse by `margin`, else with nulls.
-    Equal names of a block are compared once; no source row or column is lost."""
-    pairs = source.select(block, name).distinct().join(target.select(block, F.col(target_name).alias("t_name"), F.col(target_id).alias("t_id")), block)
-    costs = pairs.withColumn("cost", similarity_cost(F.col(name), F.col("t_name")))
-    w = Window.partitionBy(block, name).orderBy("cost", "t_id")
-    ranked = costs.withColumns({"k": F.row_number().over(w), "next": F.lead("cost").over(w)})
-    ok = (F.col("cost") <= most) & (F.col("next").isNull() | (F.col("next") - F.col("cost") >= margin))
-    return source.join(ranked.filter(ok & (F.col("k") == 1)).select(block, name, "t_id", "t_name"), [block, name], "left")
+    Equal names of a block are compared once; no source row or column is lost. Only names that can cost most + margin meet: a runner-up beyond that is worse enough."""
+    named = target.groupBy(block, F.col(target_name).alias("t_name")).agg(F.min(target_id).alias("t_id"), F.count("*").alias("n"))
+    near = similar.pairs(source, named, block, name, "t_name", min(most + margin, 0.999)).join(named, [block, "t_name"])
+    level = near.groupBy(block, name, "cost").agg(F.min(F.struct("t_id", "t_name")).alias("t"), F.sum("n").alias("n"))  # few different costs a name
+    ranked = level.groupBy(block, name).agg(F.array_sort(F.collect_list(F.struct("cost", "n", "t"))).alias("by_cost"))
+    first, following = F.get("by_cost", 0), F.get("by_cost", 1)
+    runner_up = F.when(first["n"] > 1, first["cost"]).otherwise(following["cost"])
+    ok = (first["cost"] <= most) & (runner_up.isNull() | (runner_up - first["cost"] >= margin))
+    return source.join(ranked.filter(ok).select(block, name, first["t"]["t_id"].alias("t_id"), first["t"]["t_name"].alias("t_name")), [block, name], "left")
 
 
 def equal_pass(method: str, columns: list[str]):
@@ -74,7 +73,7 @@ def fuzzy_pass(method: str, block: str, name: str, most: float, margin: float):
 
     def run(s: DataFrame, t: DataFrame, key: str) -> DataFrame:
         found = fuzzy_match(s.select(block, name, key), t, block, name, name, f"t_{key}", most, margin).filter("t_id IS NOT NULL")
-        w = Window.partitionBy("t_id").orderBy(similarity_cost(F.col(name), F.col("t_name")), key)
+        w = Window.partitionBy("t_id").orderBy(similar.cost(F.col(name), F.col("t_name")), key)
         return found.withColumn("j", F.row_number().over(w)).filter("j = 1").select(key, F.col("t_id").alias(f"t_{key}"), F.lit(method).alias("method"))
 
     return run
@@ -105,10 +104,11 @@ def group_pass(method: str, single: str, group: list[str]):
 
 
 def resolve_by(source: DataFrame, target: DataFrame, key: str, passes: list) -> DataFrame:
-    """Entity resolution by pass functions (source, target, key) -> matches: each sees what those before left on both sides; the rest is unmatched."""
+    """Entity resolution by pass functions (source, target, key) -> matches: each sees what those before left on both sides; the rest is unmatched.
+    What a pass finds is written, so that no later one derives it again."""
     found, s, t = [], source, target
     for match in passes:
-        m = match(s, t, key)
+        m = written(match(s, t, key))
         found.append(m)
         s, t = s.join(m.select(key), key, "left_anti"), t.join(m.select(f"t_{key}"), f"t_{key}", "left_anti")
     rest = s.select(key, F.lit(None).cast(target.schema[f"t_{key}"].dataType).alias(f"t_{key}"), F.lit("unmatched").alias("method"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import hierarchy, joins
+from ..operators import hierarchy, joins, similar
 from .base import Tables, query, with_views
 
 
@@ -121,11 +121,13 @@ def ancestors(t: Tables):
 
 @query(
     "q_nested",
-    f"""WITH {TREE}, c AS (SELECT * FROM (VALUES ('R0', 'N5', 'C7'), ('R1', 'N6', 'C8'), ('R2', 'N2', 'C0'), ('N2', 'R2', 'C0')) v(a, b, c))
+    f"""WITH {TREE}, c AS (SELECT 'R' || (c_custkey % 5) AS a, 'N' || CASE WHEN c_custkey % 11 = 0 THEN 99 ELSE c_nationkey END AS b, 'C' || c_custkey AS c FROM customer)
     SELECT a, b, c, coalesce(p.parent = a AND q.parent = b, false) AS nested FROM c LEFT JOIN tree p ON p.node = b LEFT JOIN tree q ON q.node = c""",
 )
 def nested(t: Tables):
-    asked = t.values([("R0", "N5", "C7"), ("R1", "N6", "C8"), ("R2", "N2", "C0"), ("N2", "R2", "C0")], "a string, b string, c string")
+    k = F.col("c_custkey")
+    of = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    asked = t.customer.select(of("R", k % 5).alias("a"), of("N", F.when(k % 11 == 0, 99).otherwise(F.col("c_nationkey"))).alias("b"), of("C", k).alias("c"))
     tree = place_tree(t)
     j = asked.join(tree.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b", "left").join(tree.select(F.col("node").alias("c"), F.col("parent").alias("pc")), "c", "left")
     return j.select("a", "b", "c", F.coalesce((F.col("pb") == F.col("a")) & (F.col("pc") == F.col("b")), F.lit(False)).alias("nested"))
@@ -184,38 +186,81 @@ def range_lookup(t: Tables):
     return joins.range_lookup(t.part.groupBy("p_size").agg(F.count("*").alias("n")), "p_size", ranges).select("p_size", "label", "n")
 
 
-MISSPELT = [("NATIN_5", 0), ("NATION_06", 1), ("NATON_22", 2), ("NATION-13", 3), ("NOTION_4", 4), ("KINGDOM", 0), ("NATION_1", 0)]
+#: Names of customers, and as a second source spells them: as they are, with a character lost, wrong or doubled, with two changes, or another name.
+NAME = "concat(substr(md5({0}), 1, 10), ' ', lower(c_mktsegment))"
+SPELT = """CASE {0} % 6 WHEN 0 THEN {1} WHEN 1 THEN concat(substr({1}, 1, 3), substr({1}, 5)) WHEN 2 THEN concat(substr({1}, 1, 5), 'x', substr({1}, 7)) WHEN 3 THEN concat(substr({1}, 1, 7), substr({1}, 7))
+WHEN 4 THEN concat(substr({1}, 2, 4), 'zz', substr({1}, 8)) ELSE concat('no ', substr(md5(concat('-', {2})), 1, 14)) END"""
+
+
+def spelt(kind: str) -> tuple[str, str]:
+    key = f"CAST(c_custkey AS {kind})"
+    return NAME.format(key), SPELT.format("c_custkey", NAME.format(key), key)
+
+
+SOURCE_SQL, TARGET_SQL = (f"SELECT 1000000000 + c_custkey AS id, c_nationkey AS block, {spelt('VARCHAR')[1]} AS name FROM customer", f"SELECT c_custkey AS t_id, c_nationkey AS block, {spelt('VARCHAR')[0]} AS t_name FROM customer")
+
+
+def two_sources(t: Tables):
+    """The customers as a second source names them (id, block, name), and as we do (t_id, block, t_name)."""
+    own, other = spelt("STRING")
+    source = t.customer.select((F.col("c_custkey") + 1000000000).alias("id"), F.col("c_nationkey").alias("block"), F.expr(other).alias("name"))
+    return source, t.customer.select(F.col("c_custkey").alias("t_id"), F.col("c_nationkey").alias("block"), F.expr(own).alias("t_name"))
 
 
 @query(
     "q_fuzzy_match",
-    f"""WITH s AS (SELECT * FROM (VALUES {', '.join(map(str, MISSPELT))}) v(name, region)),
-    p AS (SELECT name, region, n_nationkey, n_name, levenshtein(name, n_name) / greatest(length(name), length(n_name)) AS cost FROM s JOIN nation ON region = n_regionkey),
-    r AS (SELECT *, row_number() OVER w AS k, lead(cost) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY region, name ORDER BY cost, n_nationkey))
-    SELECT region, name, CASE WHEN cost <= 0.5 AND (nxt IS NULL OR nxt - cost >= 0.04) THEN n_nationkey END AS t_id, CASE WHEN cost <= 0.5 AND (nxt IS NULL OR nxt - cost >= 0.04) THEN n_name END AS t_name FROM r WHERE k = 1""",
+    f"""WITH s AS ({SOURCE_SQL}), t AS ({TARGET_SQL}),
+    p AS (SELECT id, block, name, t_id, t_name, levenshtein(name, t_name) / greatest(length(name), length(t_name)) AS cost FROM s JOIN t USING (block)),
+    r AS (SELECT *, row_number() OVER w AS k, lead(cost) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY id ORDER BY cost, t_id))
+    SELECT id, block, name, CASE WHEN cost <= 0.2 AND (nxt IS NULL OR nxt - cost >= 0.04) THEN t_id END AS t_id, CASE WHEN cost <= 0.2 AND (nxt IS NULL OR nxt - cost >= 0.04) THEN t_name END AS t_name FROM r WHERE k = 1""",
 )
 def fuzzy_match(t: Tables):
-    source = t.values([(n, r) for n, r in MISSPELT], "name string, region int")
-    return joins.fuzzy_match(source, t.nation.withColumn("region", F.col("n_regionkey")), "region", "name", "n_name", "n_nationkey", 0.5, 0.04).select("region", "name", "t_id", "t_name")
+    source, target = two_sources(t)
+    return joins.fuzzy_match(source, target, "block", "name", "t_name", "t_id", 0.2, 0.04).select("id", "block", "name", "t_id", "t_name")
 
 
-SOURCE_ROWS = [(101, "N5", "NATION_5", 0), (102, "N10", "Old Ten", 0), (103, "X", "Somewhere", 0), (104, "Y", "Elsewhere", 0), (105, "N6", "NATION_6", 1), (106, "Z", "Nowhere", 1), (107, "N2", "Second", 2)]
+@query("q_similar_names", f"WITH s AS ({SOURCE_SQL}), t AS ({TARGET_SQL}) SELECT block, name, t_name, levenshtein(name, t_name) / greatest(length(name), length(t_name)) AS cost FROM s JOIN t USING (block) WHERE levenshtein(name, t_name) / greatest(length(name), length(t_name)) <= 0.45 GROUP BY ALL")
+def similar_names(t: Tables):
+    """All pairs of a block at most 0.45 apart, also where that is loose enough for many to share grams."""
+    source, target = two_sources(t)
+    return similar.pairs(source, target, "block", "name", "t_name", 0.45)
 
 
 @query(
     "q_er_cascade",
-    f"""WITH s AS (SELECT * FROM (VALUES {', '.join(map(str, SOURCE_ROWS))}) v(id, code, name, region)), t AS (SELECT n_nationkey AS t_id, 'N' || n_nationkey AS code, n_name AS name, n_regionkey AS region FROM nation),
+    f"""WITH s AS (SELECT id, block, name, 'C' || CASE WHEN id % 3 = 0 THEN id ELSE id - 1000000000 END AS code FROM ({SOURCE_SQL})), t AS (SELECT t_id, block, t_name AS name, 'C' || t_id AS code FROM ({TARGET_SQL})),
     a AS (SELECT s.id, t.t_id, 'name' AS method FROM s JOIN t USING (name)),
     b AS (SELECT s.id, t.t_id, 'code' AS method FROM s JOIN t USING (code) WHERE s.id NOT IN (SELECT id FROM a) AND t.t_id NOT IN (SELECT t_id FROM a)),
     m AS (SELECT * FROM a UNION ALL SELECT * FROM b),
-    sr AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY id) AS k FROM s WHERE id NOT IN (SELECT id FROM m)),
-    tr AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY t_id) AS k FROM t WHERE t_id NOT IN (SELECT t_id FROM m))
-    SELECT id, t_id, method FROM m UNION ALL SELECT sr.id, tr.t_id, CASE WHEN tr.t_id IS NULL THEN 'unmatched' ELSE 'residual' END FROM sr LEFT JOIN tr USING (region, k)""",
+    sr AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS k FROM s WHERE id NOT IN (SELECT id FROM m)),
+    tr AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY t_id) AS k FROM t WHERE t_id NOT IN (SELECT t_id FROM m))
+    SELECT id, t_id, method FROM m UNION ALL SELECT sr.id, tr.t_id, CASE WHEN tr.t_id IS NULL THEN 'unmatched' ELSE 'residual' END FROM sr LEFT JOIN tr USING (block, k)""",
 )
 def er_cascade(t: Tables):
-    source = t.values(SOURCE_ROWS, "id int, code string, name string, region int")
-    target = t.nation.select(F.col("n_nationkey").alias("t_id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    return joins.resolve(source, target, "id", [("name", ["name"]), ("code", ["code"])], (["region"], "id", "t_id"))
+    source, target = two_sources(t)
+    source = source.withColumn("code", F.concat(F.lit("C"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.col("id") - 1000000000).cast("string")))
+    target = target.select("t_id", "block", F.col("t_name").alias("name"), F.concat(F.lit("C"), F.col("t_id").cast("string")).alias("code"))
+    return joins.resolve(source, target, "id", [("name", ["name"]), ("code", ["code"])], (["block"], "id", "t_id"))
+
+
+@query(
+    "q_er_names",
+    f"""WITH s AS ({SOURCE_SQL}), t AS ({TARGET_SQL}), e AS (SELECT id, t_id, 'exact' AS method FROM s JOIN t ON s.block = t.block AND s.name = t.t_name),
+    s1 AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM e)), t1 AS (SELECT * FROM t WHERE t_id NOT IN (SELECT t_id FROM e)),
+    p AS (SELECT id, t_id, levenshtein(name, t_name) / greatest(length(name), length(t_name)) AS cost FROM s1 JOIN t1 USING (block)),
+    r AS (SELECT *, row_number() OVER w AS k, lead(cost) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY id ORDER BY cost, t_id)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY cost, id) AS j FROM r WHERE k = 1 AND cost <= 0.2 AND (nxt IS NULL OR nxt - cost >= 0.04)),
+    m AS (SELECT * FROM e UNION ALL SELECT id, t_id, 'fuzzy in parent' FROM b WHERE j = 1),
+    s2 AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS k, count(*) OVER (PARTITION BY block) AS c FROM s WHERE id NOT IN (SELECT id FROM m)),
+    t2 AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY t_id) AS k, count(*) OVER (PARTITION BY block) AS c FROM t WHERE t_id NOT IN (SELECT t_id FROM m)),
+    g AS (SELECT id, t_id, CASE WHEN c = 1 THEN 'unique residual' ELSE 'complete group' END AS method FROM s2 JOIN t2 USING (block, k, c))
+    SELECT * FROM m UNION ALL SELECT * FROM g UNION ALL SELECT id, NULL, 'unmatched' FROM s2 WHERE id NOT IN (SELECT id FROM g)""",
+)
+def er_names(t: Tables):
+    """All customers against their names in the second source, in passes: exact, alike within the parent, what is left of a group."""
+    source, target = two_sources(t)
+    passes = [joins.equal_pass("exact", ["block", "name"]), joins.fuzzy_pass("fuzzy in parent", "block", "name", 0.2, 0.04), joins.group_pass("complete group", "unique residual", ["block"])]
+    return joins.resolve_by(source, target.withColumnRenamed("t_name", "name"), "id", passes)
 
 
 def boxes(df, key: str, p: str):
