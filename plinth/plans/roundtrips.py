@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import export
-from ..sources import readers
+from ..sources import layers, readers
 from .base import Tables, query
 
 
@@ -115,3 +115,40 @@ def pretty_json(t: Tables):
     text = t.spark.read.text(path, wholetext=True)
     parts = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\{.*?\n\}"), F.lit(0))).alias("j"))
     return parts.select(F.from_json("j", "r_regionkey long, r_name string").alias("j")).select("j.*")
+
+
+@query("q_dbf_files", "SELECT c_custkey AS key, c_name AS name, CASE WHEN c_custkey % 7 <> 3 THEN c_acctbal END AS balance, c_acctbal > 0 AS owed FROM customer WHERE c_custkey % 5 <> 4")
+def dbf_files(t: Tables):
+    """All customers as dBASE tables, a fifth of them marked as deleted, read by ranges of records."""
+    path = folder(t)
+    rows = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 7 != 3, F.col("c_acctbal")).alias("balance"), (F.col("c_acctbal") > 0).alias("owed"), (F.col("c_custkey") % 5 == 4).alias("_deleted"))
+    layers.write_dbf(rows.repartition(3), path, widths="name:40")
+    return layers.kept(layers.read_dbf(t.spark, path, records=500))
+
+
+@query("q_dbf_columns", "SELECT c_nationkey AS nation, count(*)::BIGINT AS n, sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY 1")
+def dbf_columns(t: Tables):
+    """Two of the fields of a dBASE table; only these are decoded."""
+    path = folder(t)
+    layers.write_dbf(t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")), path)
+    return layers.read_dbf(t.spark, path, "key long, nation int").groupBy("nation").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+@query("q_layer_files", "SELECT s_suppkey AS key, s_name AS name, (2 * r * r - 4 * h * h)::DOUBLE AS area, 2::INTEGER AS rings FROM (SELECT *, 3 + s_suppkey % 4 AS r, 1 + s_suppkey % 2 AS h FROM supplier)")
+def layer_files(t: Tables):
+    """All suppliers' polygons as shapefiles with their attributes, put together again by file and record number."""
+    from ..functions import geo
+    from .geometry import diamonds
+
+    path = folder(t)
+    layers.write_layer(diamonds(t).join(t.supplier.select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey").select(F.col("s_suppkey").alias("key"), "name", "polygon"), path, widths="name:30")
+    found = layers.kept(layers.read_layer(t.spark, path, records=40))
+    return found.select("key", "name", geo.polygon_area(F.col("polygon")).alias("area"), F.size("polygon").alias("rings"))
+
+
+@query("q_squashed_cells", r"""SELECT p_partkey, trim(regexp_replace(p_name || '   ' || p_type, '\s+', ' ', 'g')) AS label FROM part""")
+def squashed_cells(t: Tables):
+    """Quoted cells with runs of spaces, read with white space squashed."""
+    path = folder(t)
+    export.write_csv(t.part.select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit("   "), "p_type", F.lit("  ")).alias("label")), path)
+    return readers.csv(t.spark, path, "p_partkey long, label string", squash=True)
