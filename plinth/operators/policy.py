@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 
 def classified(df: DataFrame, code: str, words: Column, overrides: DataFrame, patterns: list[tuple[str, str]], default: str, out: str) -> DataFrame:
     """out: the class that `overrides` (code, class; a small fixed table) gives, else that of the first pattern which the words match, else the default."""
@@ -34,8 +36,8 @@ def evidence_status(badge: Column, method: Column) -> Column:
 
 def decision_records(candidates: DataFrame, keys: list[str], value: str, lineage: str, tier: str, shown: int) -> DataFrame:
     """One record for each key with two distinct values and two lineages or more: the candidate of the best tier is selected (then the least lineage), and the
-    first `shown` candidates are listed, with how many more there are. Candidates equal in all three are one."""
-    d = candidates.groupBy(*keys, tier, lineage, value).agg(F.count("*").alias("rows"))
+    first `shown` candidates are listed, with how many more there are. Candidates equal in all three are one; they are written, so that what is counted, chosen and listed comes from one reading of the source."""
+    d = written(candidates.groupBy(*keys, tier, lineage, value).agg(F.count("*").alias("rows")))
     per = d.groupBy(*keys).agg(
         F.count_distinct(value).alias("n_values"), F.count_distinct(lineage).alias("lineages"), F.count("*").alias("candidates"), F.min(F.struct(tier, lineage, value)).alias("best"), F.max(tier).alias("worst_tier")
     ).filter("n_values >= 2 AND lineages >= 2")

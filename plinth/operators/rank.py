@@ -45,12 +45,12 @@ def median_gap(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.join(med, keys).withColumn("gap", F.col(value) - F.col("median"))
 
 
-def peer_tiers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """tier 1 to 4 by cuts that are order statistics: the values at floor(n * k / 4); equal values share a tier."""
+def peer_tiers(df: DataFrame, keys: list[str], value: str, bounded: bool = False) -> DataFrame:
+    """tier 1 to 4 by cuts that are order statistics: the values at floor(n * k / 4); equal values share a tier. bounded: groups are known to have few rows."""
     from .stats import order_statistics
 
     n = F.col("n")
-    cuts = order_statistics(df, keys, value, {f"cut{k}": F.floor(n * k / 4) for k in (1, 2, 3)})
+    cuts = order_statistics(df, keys, value, {f"cut{k}": F.floor(n * k / 4) for k in (1, 2, 3)}, bounded)
     j = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
     v = F.col(value)
     return j.withColumn("tier", F.when(v <= F.col("cut1"), 1).when(v <= F.col("cut2"), 2).when(v <= F.col("cut3"), 3).otherwise(4).cast("long")).drop("cut1", "cut2", "cut3")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -35,19 +34,26 @@ def allocated_sum(pixels: DataFrame, zones: DataFrame, parent: str, zone: str, v
 
 
 def lanes(df: DataFrame, keys: list[str], start: str, end: str, order: list[str]) -> DataFrame:
-    """Lowest lane in which each interval of a group fits behind the last one there (greedy, so one group is read in order)."""
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: list = []
-        out = []
-        for r in pdf.sort_values([start, *order]).itertuples(index=False):
-            at = next((i for i, e in enumerate(ends) if e < getattr(r, start)), len(ends))
-            ends[at : at + 1] = [getattr(r, end)]
-            out.append(at)
-        return pdf.sort_values([start, *order]).assign(lane=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", lane long"
-    return df.groupBy(*keys).applyInPandas(place, schema)
+    """Lowest lane in which each interval of a group fits behind the last one there. Where no interval is open all lanes are free again, so a group is
+    cut there (a running maximum of the ends), and each stretch is placed by itself: by a fold over its intervals in order, of which as
+    many are held as follow each other without a gap."""
+    row = F.struct(*[F.col(c) for c in (start, *order)], *[F.col(c) for c in df.columns if c not in {start, *order, *keys}])
+    along = Window.partitionBy(*keys).orderBy(start, *order)
+    open_until = F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    cut = df.withColumn("t_new", F.when(F.col(start) > open_until, 1).otherwise(0))
+    stretch = cut.withColumn("t_stretch", F.sum("t_new").over(along)).groupBy(*keys, "t_stretch").agg(F.array_sort(F.collect_list(row)).alias("t_rows"))
+    ends = f"array<{df.schema[end].dataType.simpleString()}>"
+
+    def place(at, x):
+        free = F.array_position(F.transform(at.ends, lambda e: e < x[start]), True)
+        lane = F.when(free > 0, free - 1).otherwise(F.size(at.ends)).cast("long")
+        closed = F.transform(at.ends, lambda e, i: F.when(i == lane, x[end]).otherwise(e))
+        return F.struct(F.when(free > 0, closed).otherwise(F.concat(at.ends, F.array(x[end]))).alias("ends"), F.concat(at.lanes, F.array(lane)).alias("lanes"))
+
+    none = F.struct(F.array().cast(ends).alias("ends"), F.array().cast("array<bigint>").alias("lanes"))
+    placed = stretch.withColumn("t_lanes", F.aggregate("t_rows", none, place, lambda at: at.lanes))
+    out = placed.select(*keys, F.explode(F.arrays_zip("t_rows", "t_lanes")).alias("t"))
+    return out.select(*[F.col(c) if c in keys else F.col(f"t.t_rows.{c}").alias(c) for c in df.columns], F.col("t.t_lanes").alias("lane"))
 
 
 def worst_of(children: DataFrame, parent: str, rank: str, labels: list[str]) -> DataFrame:

@@ -28,8 +28,12 @@ def placed_values(df: DataFrame, keys: list[str], value: str, cuts: int = 64) ->
     return at.select(*keys, value, "same", (F.col("offset") + F.col("less")).alias("below"), "n")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
-    """The values at given 0-based places of each group's ascending order. picks: name -> place, an expression of n (the group's size)."""
+def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], bounded: bool = False) -> DataFrame:
+    """The values at given 0-based places of each group's ascending order. picks: name -> place, an expression of n (the group's size).
+    bounded: the caller knows that groups have few rows (places, years): they are sorted as arrays, in one shuffle."""
+    if bounded:
+        held = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("t_values")).withColumn("n", F.size("t_values"))
+        return held.select(*keys, *[F.get("t_values", p.cast("int")).alias(k) for k, p in picks.items()])
     held = lambda p: (F.col("below") <= p) & (p < F.col("below") + F.col("same"))
     return placed_values(df, keys, value).groupBy(*keys).agg(*[F.min(F.when(held(p), F.col(value))).alias(k) for k, p in picks.items()])
 

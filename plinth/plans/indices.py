@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import allocate, composite, gates, rank, stats
+from ..sources.store import written
 from .base import Tables, query, with_views
 from .ranking import TIERS, UP_SQL, tiers, up
 
@@ -59,7 +60,7 @@ def bands(t: Tables):
     SELECT scenarios, n, n_steady, n_steady * 100 / n AS steady_pct, CASE WHEN scenarios < 2 THEN 'too few scenarios' WHEN n_steady * 100 / n < 85 THEN 'ranks move with the weights' ELSE 'publish' END AS decision FROM a, s"""),
 )
 def release_gate(t: Tables):
-    b = composite.bands(scores(t), "scenario", "n_nationkey", "score")
+    b = written(composite.bands(scores(t), "scenario", "n_nationkey", "score"))  # a row a scenario and nation, read twice
     a = composite.robustness(b, "n_nationkey").agg(F.count("*").alias("n"), F.count_if("steady").alias("n_steady"))
     g = a.crossJoin(b.agg(F.count_distinct("scenario").alias("scenarios"))).withColumn("steady_pct", F.col("n_steady") * 100 / F.col("n"))
     return g.withColumn("decision", gates.decision([(gates.at_least(F.col("scenarios"), 2), "too few scenarios"), (gates.at_least(F.col("steady_pct"), 85), "ranks move with the weights")])).select("scenarios", "n", "n_steady", "steady_pct", "decision")

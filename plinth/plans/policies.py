@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, vectorised
-from ..operators import export, joins, policy, rules, spatial
+from ..operators import export, joins, ordering, policy, rules, spatial
 from .base import Tables, query
 from .linking import BOXES, boxes
 
@@ -171,6 +171,16 @@ def multi_key_sort(t: Tables):
     return t.part.select("p_partkey", F.row_number().over(Window.partitionBy("p_type").orderBy("p_size", F.lower("p_name"), "p_partkey")).cast("long").alias("place"))
 
 
+@query(
+    "q_natural_order",
+    """SELECT p_partkey, row_number() OVER (ORDER BY lower(p_type), CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER), p_size DESC NULLS LAST, lower(p_name), p_partkey)::BIGINT AS place FROM part""",
+)
+def natural_order(t: Tables):
+    """All parts numbered in one order: type by locale, brands by their number, size falling, name by locale, key."""
+    order = [ordering.by_locale(F.col("p_type")), ordering.natural(F.col("p_brand")), F.desc_nulls_last("p_size"), ordering.by_locale(F.col("p_name")), F.col("p_partkey")]
+    return ordering.numbered(t.part, order).select("p_partkey", "place")
+
+
 @query(
     "q_flatten",
     """WITH n AS (SELECT o_orderkey, list({'n': l_linenumber, 'q': round(l_quantity)::BIGINT} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),

@@ -37,7 +37,7 @@ tiers AS (SELECT n_nationkey, customers, CASE WHEN customers <= c1 THEN 1 WHEN c
 
 def tiers(t: Tables):
     axis = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers")).withColumn("axis", F.lit("customers"))
-    return rank.peer_tiers(axis, ["axis"], "customers").select("n_nationkey", "customers", "tier")
+    return rank.peer_tiers(axis, ["axis"], "customers", bounded=True).select("n_nationkey", "customers", "tier")
 
 
 @query("q_peer_tier", f"WITH {TIERS} SELECT * FROM tiers")

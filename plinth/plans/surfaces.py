@@ -47,17 +47,15 @@ def compat_overlay(t: Tables):
     return j.groupBy("brand", "overlay").agg(F.count("*").alias("contracts"))
 
 
-STATES = [("s1", [1, 2, 3], "pending"), ("s2", [3, 4], "excluded"), ("s3", [], "pending")]
-
-
 @query(
     "q_explode_keys",
-    """WITH s AS (SELECT * FROM (VALUES ('s1', [1, 2, 3], 'pending'), ('s2', [3, 4], 'excluded')) v(id, keys, state)), e AS (SELECT id, unnest(keys) AS n_nationkey, state FROM s)
-    SELECT n_nationkey, id, state, count(*) OVER (PARTITION BY n_nationkey) > 1 AS duplicate FROM e""",
+    """WITH e AS (SELECT p_partkey AS id, unnest([p_size % 13, 20 + p_partkey % 7, 100 + p_partkey // 3]) AS key, p_type AS state FROM part), n AS (SELECT key, count(*) AS n FROM e GROUP BY key)
+    SELECT key, id, state, n > 1 AS duplicate FROM e JOIN n USING (key)""",
 )
 def explode_keys(t: Tables):
-    e = t.values(STATES, "id string, keys array<int>, state string").select("id", F.explode("keys").alias("n_nationkey"), "state")
-    return e.withColumn("duplicate", F.count("*").over(Window.partitionBy("n_nationkey")) > 1)
+    k = F.col("p_partkey")
+    e = t.part.select(k.alias("id"), F.explode(F.array(F.col("p_size").cast("long") % 13, 20 + k % 7, 100 + F.floor(k / 3))).alias("key"), F.col("p_type").alias("state"))
+    return e.join(e.groupBy("key").agg((F.count("*") > 1).alias("duplicate")), "key")
 
 
 @query(
@@ -278,3 +276,15 @@ def bundle_scope(t: Tables):
     # Customers far in debt were filed with the next nation.
     b = t.customer.withColumn("bundle", F.col("c_nationkey") + F.when(F.col("c_acctbal") < -900, 1).otherwise(0))
     return rules.holds(b, ["c_custkey"], F.col("c_nationkey") == F.col("bundle"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"), F.lit(" in bundle "), F.col("bundle").cast("string")))
+
+
+@query("q_shared_views", with_views("SELECT n_nationkey, yr, REV::BIGINT AS rev, REV * 100 / sum(REV) OVER (PARTITION BY r_regionkey, yr) AS share, ORDERS - lag(ORDERS) OVER (PARTITION BY n_nationkey ORDER BY yr) AS more FROM wide"))
+def shared_views(t: Tables):
+    """Nations' years from the session's shared view, which is written once for a snapshot of the tables and read three times here."""
+    from ..sources.registry import Registry
+
+    wide = Registry.of(t.spark, t.sf_dir).view("wide", lambda _: t.wide())
+    region = wide.groupBy("r_regionkey", "yr").agg(F.sum("REV").alias("all"))
+    before = wide.select("n_nationkey", (F.col("yr") + 1).alias("yr"), F.col("ORDERS").alias("before"))
+    j = wide.join(region, ["r_regionkey", "yr"]).join(before, ["n_nationkey", "yr"], "left")
+    return j.select("n_nationkey", "yr", F.col("REV").alias("rev"), (F.col("REV") * 100 / F.col("all")).alias("share"), (F.col("ORDERS") - F.col("before")).alias("more"))

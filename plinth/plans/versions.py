@@ -166,31 +166,34 @@ def corrections(t: Tables):
     return j.select("n_nationkey", "n_name", F.when(hit, F.col("now")).otherwise(F.col("n_regionkey")).alias("n_regionkey"), hit.alias("corrected"))
 
 
-IDS = ["17", " 042 ", "#N/A", "#REF!", "", "12a", "-5", "999999999", "1,200"]
+#: Cells as they are found: numbers of customers, spaced, signed and marked, and what stands for nothing.
+IDS = """CASE c_custkey % 9 WHEN 0 THEN '#N/A' WHEN 1 THEN concat(' 0', {0}, ' ') WHEN 2 THEN '#REF!' WHEN 3 THEN '' WHEN 4 THEN concat({0}, 'a') WHEN 5 THEN concat('-', {0}) WHEN 6 THEN concat('1,', {0}) ELSE {0} END"""
 
 
 @query(
     "q_try_parse",
-    f"""SELECT raw, CASE WHEN regexp_full_match(trim(raw), '[0-9]{{1,9}}') THEN trim(raw)::BIGINT END AS id,
+    f"""SELECT c_custkey, raw, CASE WHEN regexp_full_match(trim(raw), '[0-9]{{1,9}}') THEN trim(raw)::BIGINT END AS id,
     CASE WHEN trim(raw) = '' THEN 'empty' WHEN trim(raw) IN ('#N/A', '#REF!', '#VALUE!', '#DIV/0!', '#NAME?', '#NULL!', '#NUM!') THEN 'sentinel' WHEN NOT regexp_full_match(trim(raw), '[0-9]{{1,9}}') THEN 'not a number' END AS note
-    FROM (VALUES {', '.join(f"('{x}')" for x in IDS)}) v(raw)""",
+    FROM (SELECT c_custkey, {IDS.format('CAST(c_custkey AS VARCHAR)')} AS raw FROM customer)""",
 )
 def try_parse(t: Tables):
     value, note = text.parse_id(F.col("raw"))
-    return t.values([(x,) for x in IDS], "raw string").select("raw", value.alias("id"), note.alias("note"))
+    return t.customer.select("c_custkey", F.expr(IDS.format("CAST(c_custkey AS STRING)")).alias("raw")).select("c_custkey", "raw", value.alias("id"), note.alias("note"))
 
 
-NUMBERS = [("1,234", "KES"), ("(5)", "million"), ("-", "KES"), ("#N/A", "KES"), ("12%", "percent"), ("", "KES"), ("7.5", "KSh billion"), ("(1,000.5)", "thousand"), ("abc", "m")]
+NUMBERS = """CASE c_custkey % 7 WHEN 0 THEN concat('(', {0}, ')') WHEN 1 THEN concat({0}, '%') WHEN 2 THEN '-' WHEN 3 THEN '#N/A' WHEN 4 THEN concat('1,', lpad({0}, 3, '0')) WHEN 5 THEN '' ELSE concat({0}, '.5') END"""
+UNITS = "CASE c_nationkey % 5 WHEN 0 THEN 'million' WHEN 1 THEN 'KSh billion' WHEN 2 THEN 'thousand' WHEN 3 THEN 'percent' ELSE 'm' END"
 
 
 @query(
     "q_clean_num",
-    f"""WITH c AS (SELECT raw, unit, CASE WHEN trim(raw) IN ('', '-') THEN NULL WHEN trim(raw) LIKE '(%)' THEN -try_cast(regexp_replace(raw, '[,%\\s()]', '', 'g') AS DOUBLE) ELSE try_cast(regexp_replace(raw, '[,%\\s()]', '', 'g') AS DOUBLE) END AS value
-      FROM (VALUES {', '.join(map(str, NUMBERS))}) v(raw, unit))
-    SELECT raw, unit, value, value * CASE WHEN regexp_matches(lower(unit), '\\b(bn|billion)\\b') THEN 1e9 WHEN regexp_matches(lower(unit), '\\b(mn|million|m)\\b') THEN 1e6 WHEN regexp_matches(lower(unit), '\\b(thousand|k)\\b') THEN 1e3 ELSE 1.0 END AS scaled FROM c""",
+    f"""WITH n AS (SELECT c_custkey, {NUMBERS.format('CAST(c_custkey % 1000 AS VARCHAR)')} AS raw, {UNITS} AS unit FROM customer),
+    c AS (SELECT *, CASE WHEN trim(raw) IN ('', '-') THEN NULL WHEN trim(raw) LIKE '(%)' THEN -try_cast(regexp_replace(raw, '[,%\\s()]', '', 'g') AS DOUBLE) ELSE try_cast(regexp_replace(raw, '[,%\\s()]', '', 'g') AS DOUBLE) END AS value FROM n)
+    SELECT c_custkey, raw, unit, value, value * CASE WHEN regexp_matches(lower(unit), '\\b(bn|billion)\\b') THEN 1e9 WHEN regexp_matches(lower(unit), '\\b(mn|million|m)\\b') THEN 1e6 WHEN regexp_matches(lower(unit), '\\b(thousand|k)\\b') THEN 1e3 ELSE 1.0 END AS scaled FROM c""",
 )
 def clean_num(t: Tables):
-    v = t.values(NUMBERS, "raw string, unit string").withColumn("value", text.clean_number(F.col("raw")))
+    rows = t.customer.select("c_custkey", F.expr(NUMBERS.format("CAST(c_custkey % 1000 AS STRING)")).alias("raw"), F.expr(UNITS).alias("unit"))
+    v = rows.withColumn("value", text.clean_number(F.col("raw")))
     return v.withColumn("scaled", text.scaled_by_words(F.col("value"), F.col("unit")))
 
 
