@@ -262,11 +262,12 @@ def largest_remainder(t: Tables):
 
 @query(
     "q_weight_sum",
-    with_views("""WITH w AS (SELECT r_regionkey, n_nationkey, ORDERS / sum(ORDERS) OVER (PARTITION BY r_regionkey) AS weight FROM wide WHERE yr = 2000), s AS (SELECT r_regionkey, sum(weight) AS total FROM w WHERE n_nationkey <> 6 GROUP BY 1)
-    SELECT r_regionkey, CAST(round(total * 1e6) AS BIGINT) AS total_e6 FROM s WHERE abs(total - 1) > 1e-6"""),
+    with_views("""WITH w AS (SELECT r_regionkey, n_nationkey, round(ORDERS * 100 / sum(ORDERS) OVER (PARTITION BY r_regionkey, yr)) / 100 AS weight, yr FROM wide), s AS (SELECT r_regionkey, yr, sum(weight) AS total FROM w GROUP BY ALL)
+    SELECT r_regionkey, yr, CAST(round(total * 1e6) AS BIGINT) AS total_e6 FROM s WHERE abs(total - 1) > 1e-6"""),
 )
 def weight_sum(t: Tables):
     from pyspark.sql import Window
 
-    w = t.wide().filter("yr = 2000").withColumn("weight", F.col("ORDERS") / F.sum("ORDERS").over(Window.partitionBy("r_regionkey")))
-    return allocate.weight_violations(w.filter("n_nationkey <> 6"), ["r_regionkey"], "weight", 1e-6).select("r_regionkey", F.round(F.col("total") * 1e6).cast("long").alias("total_e6"))
+    share = F.col("ORDERS") * 100 / F.sum("ORDERS").over(Window.partitionBy("r_regionkey", "yr"))
+    w = t.wide().withColumn("weight", F.round(share) / 100)  # weights as they are published, in whole per cents
+    return allocate.weight_violations(w, ["r_regionkey", "yr"], "weight", 1e-6).select("r_regionkey", "yr", F.round(F.col("total") * 1e6).cast("long").alias("total_e6"))

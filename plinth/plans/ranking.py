@@ -99,14 +99,22 @@ def topk_group(t: Tables):
     return rank.top_k(q, ["r_name"], [F.col("cents").desc(), F.col("p_brand")], 3)
 
 
+#: Revenue of a customer by year: series with gaps where a customer ordered nothing.
+CUSTOMER_YEARS = "own AS (SELECT c_custkey, 'REV' AS metric, yr, sum(rev)::BIGINT AS value FROM sales GROUP BY ALL)"
+
+
+def customer_years(t: Tables):
+    return t.sales().groupBy("c_custkey", F.lit("REV").alias("metric"), "yr").agg(F.sum("rev").alias("value"))
+
+
 @query(
     "q_trend",
-    with_views(f"""WITH e AS (SELECT n_nationkey, metric, {UP_SQL} AS hib, arg_min(value, yr) AS first, arg_max(value, yr) AS last, count(*)::BIGINT AS n FROM obs WHERE yr < 2001 AND (n_nationkey <> 4 OR yr = 1999) GROUP BY ALL)
-    SELECT n_nationkey, metric, first, last, n, last - first AS change, CASE WHEN n < 2 THEN 'single' WHEN hib IS NULL THEN CASE WHEN last > first THEN 'rising' WHEN last < first THEN 'falling' ELSE 'flat' END
+    with_views(f"""WITH {CUSTOMER_YEARS}, e AS (SELECT c_custkey, metric, {UP_SQL} AS hib, arg_min(value, yr) AS first, arg_max(value, yr) AS last, count(*)::BIGINT AS n FROM own GROUP BY ALL)
+    SELECT c_custkey, metric, first, last, n, last - first AS change, CASE WHEN n < 2 THEN 'single' WHEN hib IS NULL THEN CASE WHEN last > first THEN 'rising' WHEN last < first THEN 'falling' ELSE 'flat' END
       WHEN last = first THEN 'stable' WHEN (last > first) = hib THEN 'improving' ELSE 'worsening' END AS direction FROM e"""),
 )
 def trend(t: Tables):
-    return rank.trend(t.obs().filter("yr < 2001 AND (n_nationkey <> 4 OR yr = 1999)"), ["n_nationkey", "metric"], "yr", "value", up())
+    return rank.trend(customer_years(t), ["c_custkey", "metric"], "yr", "value", up())
 
 
 @query("q_klag", with_views("SELECT n_nationkey, metric, yr, value, value - lag(value, 1) OVER w AS change_1, value - lag(value, 3) OVER w AS change_3, value - lag(value, 5) OVER w AS change_5 FROM obs WINDOW w AS (PARTITION BY n_nationkey, metric ORDER BY yr)"))
@@ -116,12 +124,12 @@ def klag(t: Tables):
 
 @query(
     "q_volatility",
-    with_views("""WITH d AS (SELECT n_nationkey, metric, value - lag(value) OVER (PARTITION BY n_nationkey, metric ORDER BY yr) AS d FROM obs WHERE n_nationkey <> 2 OR yr > 1999)
-    SELECT n_nationkey, metric, CASE WHEN count(d) >= 2 THEN CAST(round(stddev_pop(d) * 10) AS BIGINT) END AS volatility_10, count(d)::BIGINT AS steps FROM d GROUP BY ALL"""),
+    with_views(f"""WITH {CUSTOMER_YEARS}, d AS (SELECT c_custkey, value - lag(value) OVER (PARTITION BY c_custkey ORDER BY yr) AS d FROM own)
+    SELECT c_custkey, CASE WHEN count(d) >= 2 THEN CAST(round(stddev_pop(d) * 10) AS BIGINT) END AS volatility_10, count(d)::BIGINT AS steps FROM d GROUP BY ALL"""),
 )
 def volatility(t: Tables):
-    v = rank.volatility(t.obs().filter("n_nationkey <> 2 OR yr > 1999"), ["n_nationkey", "metric"], "yr", "value")
-    return v.select("n_nationkey", "metric", F.round(F.col("volatility") * 10).cast("long").alias("volatility_10"), "steps")
+    v = rank.volatility(customer_years(t), ["c_custkey"], "yr", "value")
+    return v.select("c_custkey", F.round(F.col("volatility") * 10).cast("long").alias("volatility_10"), "steps")
 
 
 @query("q_break_flag", "SELECT conv_id, arg_min(role, turn) AS first_mark, count(DISTINCT role) > 1 AS broken FROM conversations GROUP BY conv_id")
@@ -131,7 +139,7 @@ def break_flag(t: Tables):
 
 @query(
     "q_matched_change",
-    with_views(f"""WITH {TIERS}, o AS (SELECT obs.*, tier FROM obs JOIN tiers USING (n_nationkey) WHERE n_nationkey % 5 <> 0 OR yr < 2000),
+    with_views(f"""WITH {TIERS}, o AS (SELECT obs.*, tier FROM obs JOIN tiers USING (n_nationkey)),
     nm AS (SELECT metric, yr, median(value) AS m FROM o GROUP BY ALL), pm AS (SELECT metric, tier, yr, median(value) AS m FROM o GROUP BY ALL),
     l AS (SELECT n_nationkey, metric, tier, max(yr) AS y1 FROM o GROUP BY ALL), p AS (SELECT l.*, (SELECT max(yr) FROM o WHERE o.n_nationkey = l.n_nationkey AND o.metric = l.metric AND o.yr < l.y1) AS y0 FROM l)
     SELECT p.n_nationkey, p.metric, y0, y1, b.value - a.value AS own_change, nb.m - na.m AS national_change, pb.m - pa.m AS peer_change
@@ -139,8 +147,7 @@ def break_flag(t: Tables):
     JOIN nm na ON na.metric = p.metric AND na.yr = y0 JOIN nm nb ON nb.metric = p.metric AND nb.yr = y1 JOIN pm pa ON pa.metric = p.metric AND pa.tier = p.tier AND pa.yr = y0 JOIN pm pb ON pb.metric = p.metric AND pb.tier = p.tier AND pb.yr = y1"""),
 )
 def matched_change(t: Tables):
-    # Every fifth nation has no data after 1999: its own last two years are compared, not the last two of all.
-    o = t.obs().filter("n_nationkey % 5 <> 0 OR yr < 2000").join(F.broadcast(tiers(t)), "n_nationkey")
+    o = t.obs().join(F.broadcast(tiers(t)), "n_nationkey")
     w = Window.partitionBy("n_nationkey", "metric").orderBy(F.desc("yr"))
     last = o.withColumns({"back": F.row_number().over(w), "y0": F.lead("yr").over(w), "v0": F.lead("value").over(w)}).filter("back = 1 AND y0 IS NOT NULL")
     nm = o.groupBy("metric", "yr").agg(F.median("value").alias("m"))
@@ -152,12 +159,11 @@ def matched_change(t: Tables):
 
 @query(
     "q_lookback",
-    with_views("""WITH o AS (SELECT * FROM obs WHERE metric = 'REV' AND (n_nationkey % 4 <> 0 OR yr NOT IN (1999, 2000))), m AS (SELECT *, max(yr) OVER p AS last, row_number() OVER (PARTITION BY n_nationkey ORDER BY yr DESC) AS back FROM o WINDOW p AS (PARTITION BY n_nationkey)),
-    c AS (SELECT *, count(*) FILTER (WHERE yr >= last - 2) OVER (PARTITION BY n_nationkey) AS n_in FROM m) SELECT n_nationkey, yr, value FROM c WHERE yr >= last - 2 OR (n_in < 2 AND back <= 2)"""),
+    with_views(f"""WITH {CUSTOMER_YEARS}, m AS (SELECT *, max(yr) OVER p AS last, row_number() OVER (PARTITION BY c_custkey ORDER BY yr DESC) AS back FROM own WINDOW p AS (PARTITION BY c_custkey)),
+    c AS (SELECT *, count(*) FILTER (WHERE yr >= last - 2) OVER (PARTITION BY c_custkey) AS n_in FROM m) SELECT c_custkey, yr, value FROM c WHERE yr >= last - 2 OR (n_in < 2 AND back <= 2)"""),
 )
 def lookback(t: Tables):
-    o = t.obs().filter("metric = 'REV' AND (n_nationkey % 4 <> 0 OR yr NOT IN (1999, 2000))")
-    return temporal.lookback(o, ["n_nationkey"], "yr", 2, 2).select("n_nationkey", "yr", "value")
+    return temporal.lookback(customer_years(t), ["c_custkey"], "yr", 2, 2).select("c_custkey", "yr", "value")
 
 
 @query(
@@ -183,12 +189,12 @@ def share_of_parent(t: Tables):
 
 @query(
     "q_children_rank",
-    with_views("""WITH l AS (SELECT r_regionkey, metric, n_nationkey, CASE WHEN n_nationkey % 8 = 0 THEN yr - 1 ELSE yr END AS yr, value FROM latest_obs WHERE n_nationkey <> 9), s AS (SELECT n_regionkey AS r_regionkey, count(*)::BIGINT AS places FROM nation GROUP BY 1)
+    with_views("""WITH l AS (SELECT r_regionkey, metric, n_nationkey, CASE WHEN n_nationkey % 8 = 0 THEN yr - 1 ELSE yr END AS yr, value FROM latest_obs), s AS (SELECT n_regionkey AS r_regionkey, count(*)::BIGINT AS places FROM nation GROUP BY 1)
     SELECT r_regionkey, metric, n_nationkey, value, rank() OVER (PARTITION BY r_regionkey, metric ORDER BY value DESC)::BIGINT AS place, count(*) OVER (PARTITION BY r_regionkey, metric)::BIGINT AS covered, places,
     (max(yr) OVER (PARTITION BY r_regionkey, metric)) <> (min(yr) OVER (PARTITION BY r_regionkey, metric)) AS mixed_periods FROM l JOIN s USING (r_regionkey)"""),
 )
 def children_rank(t: Tables):
-    l = t.latest_obs().filter("n_nationkey <> 9").withColumn("yr", F.when(F.col("n_nationkey") % 8 == 0, F.col("yr") - 1).otherwise(F.col("yr")))  # noqa: E741
+    l = t.latest_obs().withColumn("yr", F.when(F.col("n_nationkey") % 8 == 0, F.col("yr") - 1).otherwise(F.col("yr")))  # noqa: E741
     places = t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("places"))
     w = Window.partitionBy("r_regionkey", "metric")
     j = l.join(F.broadcast(places), "r_regionkey")
@@ -230,12 +236,12 @@ def sequence_gaps(t: Tables):
 
 @query(
     "q_overlay_clip",
-    with_views("""WITH p AS (SELECT metric, min(yr) AS lo, max(yr) AS hi FROM obs WHERE n_nationkey = 1 AND yr BETWEEN 1996 AND 1999 GROUP BY 1) SELECT n_nationkey, metric, yr, value FROM obs JOIN p USING (metric) WHERE n_nationkey IN (2, 3) AND yr BETWEEN lo AND hi"""),
+    with_views("""WITH p AS (SELECT metric, min(yr) AS lo, max(yr) AS hi FROM obs WHERE n_nationkey = 1 AND yr BETWEEN 1996 AND 1999 GROUP BY 1) SELECT n_nationkey, metric, yr, value FROM obs JOIN p USING (metric) WHERE yr BETWEEN lo AND hi"""),
 )
 def overlay_clip(t: Tables):
     obs = t.obs()
     span = obs.filter("n_nationkey = 1 AND yr BETWEEN 1996 AND 1999").groupBy("metric").agg(F.min("yr").alias("lo"), F.max("yr").alias("hi"))
-    return obs.filter("n_nationkey IN (2, 3)").join(F.broadcast(span), "metric").filter("yr BETWEEN lo AND hi").select("n_nationkey", "metric", "yr", "value")
+    return obs.join(F.broadcast(span), "metric").filter("yr BETWEEN lo AND hi").select("n_nationkey", "metric", "yr", "value")
 
 
 @query(

@@ -215,13 +215,13 @@ def top_bottom(t: Tables):
 
 @query(
     "q_wide_join",
-    with_views("""WITH c AS (SELECT c_nationkey AS n_nationkey, count(*)::BIGINT AS customers FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS n_nationkey, count(*)::BIGINT AS suppliers FROM supplier WHERE s_nationkey <> 8 GROUP BY 1), g AS (SELECT n_nationkey, max(REV) FILTER (WHERE yr = 1999) AS a, max(REV) FILTER (WHERE yr = 2000) AS b FROM wide GROUP BY 1)
+    with_views("""WITH c AS (SELECT c_nationkey AS n_nationkey, count(*)::BIGINT AS customers FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS n_nationkey, count(*)::BIGINT AS suppliers FROM supplier WHERE s_acctbal < 0 GROUP BY 1), g AS (SELECT n_nationkey, max(REV) FILTER (WHERE yr = 1999) AS a, max(REV) FILTER (WHERE yr = 2000) AS b FROM wide GROUP BY 1)
     SELECT n_nationkey, n_name, customers, suppliers, (b - a) * 100 / nullif(a, 0) AS growth_pct FROM nation LEFT JOIN c USING (n_nationkey) LEFT JOIN s USING (n_nationkey) LEFT JOIN g USING (n_nationkey)"""),
 )
 def wide_join(t: Tables):
     at = lambda y: F.max(F.when(F.col("yr") == y, F.col("REV")))
     c = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
-    s = t.supplier.filter("s_nationkey <> 8").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    s = t.supplier.filter("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
     g = t.wide().groupBy("n_nationkey").agg(F.try_divide((at(2000) - at(1999)) * 100, at(1999)).alias("growth_pct"))
     return t.nation.select("n_nationkey", "n_name").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").join(g, "n_nationkey", "left")
 

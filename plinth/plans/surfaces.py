@@ -39,10 +39,10 @@ def worst_status(t: Tables):
 
 @query(
     "q_compat_overlay",
-    """WITH s AS (SELECT DISTINCT p_brand, p_type, p_size FROM part WHERE p_size <= 5) SELECT a.p_brand AS brand, b.p_brand AS overlay, count(*)::BIGINT AS contracts FROM s a JOIN s b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand <> b.p_brand GROUP BY ALL""",
+    """WITH s AS (SELECT DISTINCT p_brand, p_type, p_size FROM part) SELECT a.p_brand AS brand, b.p_brand AS overlay, count(*)::BIGINT AS contracts FROM s a JOIN s b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand <> b.p_brand GROUP BY ALL""",
 )
 def compat_overlay(t: Tables):
-    s = t.part.filter("p_size <= 5").select("p_brand", "p_type", "p_size").distinct()
+    s = t.part.select("p_brand", "p_type", "p_size").distinct()
     j = s.withColumnRenamed("p_brand", "brand").join(s.withColumnRenamed("p_brand", "overlay"), ["p_type", "p_size"]).filter("brand <> overlay")
     return j.groupBy("brand", "overlay").agg(F.count("*").alias("contracts"))
 
@@ -152,12 +152,12 @@ def evidence_summary(t: Tables):
 
 @query(
     "q_place_card",
-    with_views("""WITH g AS (SELECT n_nationkey, metric, lifecycle FROM nation, (VALUES ('REV', 'active'), ('QTY', 'active'), ('AREA', 'planned'), ('DISC', 'retired')) v(metric, lifecycle)), l AS (SELECT * FROM latest_obs WHERE NOT (metric = 'QTY' AND n_nationkey % 7 = 0))
+    with_views("""WITH g AS (SELECT n_nationkey, metric, lifecycle FROM nation, (VALUES ('REV', 'active'), ('QTY', 'active'), ('TAX', 'active'), ('AREA', 'planned'), ('DISC', 'retired')) v(metric, lifecycle)), l AS (SELECT * FROM latest_obs)
     SELECT n_nationkey, metric, CASE WHEN lifecycle = 'planned' THEN 'planned' WHEN lifecycle = 'retired' THEN 'hidden' WHEN value IS NULL THEN 'missing' ELSE 'value' END AS card, CASE WHEN lifecycle = 'active' THEN value END AS value FROM g LEFT JOIN l USING (n_nationkey, metric)"""),
 )
 def place_card(t: Tables):
-    slots = t.values([("REV", "active"), ("QTY", "active"), ("AREA", "planned"), ("DISC", "retired")], "metric string, lifecycle string")
-    l = t.latest_obs().filter("NOT (metric = 'QTY' AND n_nationkey % 7 = 0)").select("n_nationkey", "metric", "value")  # noqa: E741
+    slots = t.values([("REV", "active"), ("QTY", "active"), ("TAX", "active"), ("AREA", "planned"), ("DISC", "retired")], "metric string, lifecycle string")
+    l = t.latest_obs().select("n_nationkey", "metric", "value")  # noqa: E741
     g = t.nation.select("n_nationkey").crossJoin(F.broadcast(slots)).join(l, ["n_nationkey", "metric"], "left")
     card = F.when(F.col("lifecycle") == "planned", "planned").when(F.col("lifecycle") == "retired", "hidden").when(F.col("value").isNull(), "missing").otherwise("value")
     return g.select("n_nationkey", "metric", card.alias("card"), F.when(F.col("lifecycle") == "active", F.col("value")).alias("value"))

@@ -205,12 +205,12 @@ def facet_filter(t: Tables):
 
 @query(
     "q_rank_gate",
-    with_views("""WITH g AS (SELECT metric, yr, count(*)::BIGINT AS n, min(value) AS lo, max(value) AS hi FROM obs WHERE NOT (metric = 'DISC' AND n_nationkey < 3) GROUP BY ALL),
+    with_views("""WITH g AS (SELECT metric, yr, count(*)::BIGINT AS n, min(value) AS lo, max(value) AS hi FROM obs WHERE NOT (metric = 'ORDERS' AND value < 90) GROUP BY ALL),
     r AS (SELECT *, CASE WHEN n < 25 THEN 'incomplete coverage' WHEN lo = hi THEN 'no variation' WHEN yr = 2001 THEN 'partial year' END AS reason FROM g)
     SELECT metric, yr, n, reason, reason IS NULL AS eligible FROM r"""),
 )
 def rank_gate(t: Tables):
-    g = t.obs().filter("NOT (metric = 'DISC' AND n_nationkey < 3)").groupBy("metric", "yr").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    g = t.obs().filter("NOT (metric = 'ORDERS' AND value < 90)").groupBy("metric", "yr").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     reason = rank.gate([(F.col("n") < 25, "incomplete coverage"), (F.col("lo") == F.col("hi"), "no variation"), (F.col("yr") == 2001, "partial year")])
     return g.withColumn("reason", reason).select("metric", "yr", "n", "reason", F.col("reason").isNull().alias("eligible"))
 
