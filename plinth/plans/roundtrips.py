@@ -38,13 +38,15 @@ def ndjson_files(t: Tables):
     return readers.ndjson(t.spark, path, "c_custkey long, c_name string, c_nationkey int, segment string")
 
 
-@query("q_json_array_files", "SELECT n_regionkey, n_nationkey, n_name FROM nation")
+@query("q_json_array_files", "SELECT c_nationkey, c_custkey, c_name FROM customer")
 def json_array_files(t: Tables):
-    """One file a region, each a JSON array of its nations."""
+    """JSON arrays of a nation's customers, a thousand numbers each, so that no array grows with a nation."""
     path = folder(t)
-    arrays = t.nation.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct("n_regionkey", "n_nationkey", "n_name"))).alias("value"))
-    arrays.repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
-    return readers.json_array(t.spark, f"{path}/*/*.txt", "n_regionkey int, n_nationkey int, n_name string")
+    part = ["c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("part")]
+    arrays = t.customer.groupBy(*part).agg(F.to_json(F.collect_list(F.struct("c_nationkey", "c_custkey", "c_name"))).alias("value"))
+    arrays.repartition("c_nationkey", "part").write.partitionBy("c_nationkey", "part").text(path)
+    parts = t.spark.read.text(f"{path}/*/*/*.txt")
+    return parts.select(F.explode(F.from_json("value", "array<struct<c_nationkey: int, c_custkey: long, c_name: string>>")).alias("j")).select("j.*")
 
 
 @query("q_bundle_files", "SELECT c_nationkey, c_mktsegment, count(*)::BIGINT AS n, sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY ALL")
@@ -107,14 +109,14 @@ def document_scan(t: Tables):
     return readers.documents(t.spark, f"{path}/*/*.txt", "n_nationkey int, n_name string, region struct<name: string>", keep).select("n_nationkey", "n_name")
 
 
-@query("q_pretty_json", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
+@query("q_pretty_json", "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey FROM supplier")
 def pretty_json(t: Tables):
     """Indented documents, parted by line feeds, are read as a stream of JSON values."""
     path = folder(t)
-    export.write_pretty(t.region.select("r_regionkey", "r_name"), path)
+    export.write_pretty(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), path)
     text = t.spark.read.text(path, wholetext=True)
     parts = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\{.*?\n\}"), F.lit(0))).alias("j"))
-    return parts.select(F.from_json("j", "r_regionkey long, r_name string").alias("j")).select("j.*")
+    return parts.select(F.from_json("j", "s_suppkey long, s_name string, s_nationkey long").alias("j")).select("j.*")
 
 
 @query("q_dbf_files", "SELECT c_custkey AS key, c_name AS name, CASE WHEN c_custkey % 7 <> 3 THEN c_acctbal END AS balance, c_acctbal > 0 AS owed FROM customer WHERE c_custkey % 5 <> 4")

@@ -241,9 +241,9 @@ def lanes(t: Tables):
     return spatial.lanes(t.orders.select("o_custkey", "o_orderkey", d.alias("start"), (d + 200).alias("end")), ["o_custkey"], "start", "end", ["o_orderkey"])
 
 
-@query("q_sibling_unique", "SELECT n_regionkey || '/' || left(n_name, 8) AS key, count(*) || ' rows' AS detail FROM nation GROUP BY n_regionkey, left(n_name, 8) HAVING count(*) > 1")
+@query("q_sibling_unique", "SELECT p_brand || '/' || replace(lower(p_name), ' ', '-') AS key, count(*) || ' rows' AS detail FROM part GROUP BY p_brand, replace(lower(p_name), ' ', '-') HAVING count(*) > 1")
 def sibling_unique(t: Tables):
-    return rules.unique(t.nation.withColumn("slug", F.substring("n_name", 1, 8)), ["n_regionkey", "slug"])
+    return rules.unique(t.part.withColumn("slug", F.replace(F.lower("p_name"), F.lit(" "), F.lit("-"))), ["p_brand", "slug"])
 
 
 @query("q_whitespace", r"SELECT p_partkey::VARCHAR AS key, 'white space' AS detail FROM (SELECT p_partkey, CASE WHEN p_size = 50 THEN ' ' || p_name WHEN p_size = 49 THEN replace(p_name, ' ', '  ') WHEN p_size = 48 THEN p_name || ' ' ELSE p_name END AS label FROM part) WHERE regexp_matches(label, '^\s|\s$|[ \t]{2,}')")

@@ -242,10 +242,10 @@ def insert_absent(t: Tables):
     return temporal.insert_absent(spent(t, 1995), spent(t, 1996), ["c_custkey"])
 
 
-@query("q_replace_prefix", "SELECT n_name, n_regionkey FROM nation WHERE n_name NOT LIKE 'NATION_1%' UNION ALL SELECT 'NATION_1' || r_regionkey, 9 FROM region")
+@query("q_replace_prefix", "SELECT c_name, c_nationkey FROM customer WHERE c_name NOT LIKE 'Customer#0000001%' UNION ALL SELECT 'Customer#0000001/' || s_suppkey, s_nationkey FROM supplier")
 def replace_prefix(t: Tables):
-    new = t.region.select(F.concat(F.lit("NATION_1"), F.col("r_regionkey").cast("string")).alias("n_name"), F.lit(9).alias("n_regionkey"))
-    return temporal.replace_prefix(t.nation.select("n_name", "n_regionkey"), new, "n_name", "NATION_1")
+    new = t.supplier.select(F.concat(F.lit("Customer#0000001/"), F.col("s_suppkey").cast("string")).alias("c_name"), F.col("s_nationkey").alias("c_nationkey"))
+    return temporal.replace_prefix(t.customer.select("c_name", "c_nationkey"), new, "c_name", "Customer#0000001")
 
 
 @query(
