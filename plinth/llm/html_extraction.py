@@ -6,12 +6,13 @@ as noise makes up more of it and the page as a whole holds little. A node's sum
 subtree with the largest sum is the main text. The least density on its path up to the body is the threshold: a block inside the subtree of which
 more than half is noise must reach it to stay. Beside the path, what belongs to the same text is taken by the same rule: all of an
 enclosing article or main element; headings before the path, paragraphs, lists, quotations and tables; and parts whose own density reaches
-the threshold and whose largest sum is a quarter of the main one.
+the threshold and whose largest sum is a quarter of the main one; and the sections that stand beside one on the path.
 
 A hint never removes anything by itself, it only makes noise of characters; it is void for headings, for ids (but for a div's whole id such
 as `comments`), and for an element that holds nine tenths of the page's text outside links and other hints, such as a form
-around the whole page. Words that also name parts of articles (legal, tags, related, notice, ...) count outside article and
-main elements only. Only what is never shown as text goes first: scripts, styles, templates, controls, hidden elements.
+around the whole page. Inside article and main elements, asides, and words that also name parts of articles or are about links (legal, tags, related, social,
+share, ...) count only where most characters are links. Links alone don't make noise of a heading, of a paragraph, or of what an article holds: a linked title
+or a list of references is text. Only what is never shown as text goes first: scripts, styles, templates, controls, hidden elements.
 
 Defined results: null or empty html gives an empty text. Character references are decoded; white space in a block becomes one
 space; blocks are joined by one line feed in page order; nothing is cut off. Of equal sums the first node in page order wins.
@@ -20,6 +21,7 @@ Each row gives one row; broken markup is read as far as it goes. Only page_id, u
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from html import unescape
@@ -42,14 +44,16 @@ DROPPED = frozenset("head script style noscript template button select textarea
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Kinds that stand for prose beside the main subtree.
 PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
+#: Kinds whose text is their own, also where it is all a link: a linked title, or a paragraph that is one link.
+OWN_TEXT = HEADINGS | {"p", "blockquote", "pre"}
 #: Kinds and roles that are noise (a header only outside article and main).
 NOISE_KINDS = frozenset("nav aside footer form dialog menu label".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-#: Parts of class names that are noise anywhere, and whole class names that are noise outside article and main.
-NOISE_PARTS = re.compile(
-    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:ads?|adverts?|advertisements?|sponsored|promos?|banners?|sidebars?|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|popups?|newsletter|subscribe|signup|comments?|replies|disqus|respond|share|sharing|social|toolbar|pagination|pager|masthead)(?:$|[\s_](?!open|closed)|-(?!open|closed|status|count))",
-    re.I,
-)
+#: Parts of class names that are noise anywhere; those that are for what they link to, and whole class names that
+#: also name parts of articles, are noise inside article and main only where most characters are links.
+_EDGES = r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:{})(?:$|[\s_](?!open|closed)|-(?!open|closed|status|count))"
+NOISE_PARTS = re.compile(_EDGES.format("ads?|adverts?|advertisements?|sponsored|promos?|banners?|sidebars?|cookies?|consent|gdpr|popups?|newsletter|subscribe|signup|comments?|replies|disqus|respond|masthead"), re.I)
+LINK_PARTS = re.compile(_EDGES.format("navbar|navigation|breadcrumbs?|share|sharing|social|toolbar|pagination|pager"), re.I)
 NOISE_NAMES = re.compile(
     r"(?:^|\s)(?:side|menu|nav|foot|footer|header|notices?|alerts?|modal|overlay|login|related|recommend(?:ed|ations)?|widgets?|tags|skip|copyright|legal|sponsors?|promotions?)(?:[_-](?:box|bar|block|section|wrapper|container|list|links|area|posts|articles|inner|content|menu|nav))?(?:$|\s)",
     re.I,
@@ -71,7 +75,11 @@ class Tree:
 
     def __init__(self) -> None:
         self.tag, self.up, self.off, self.hint = ["#root"], [-1], [False], [False]
+        self.art, self.weak = [False], [False]  # inside article or main; hinted there to be links
         self.open = [0]
+        #: Places in `open` of each kind, and of the kinds that are scopes.
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
 
@@ -99,35 +107,41 @@ class Tree:
         if at < len(html):
             data(html[at:])
 
-    def kind_of(self, tag: str, attributes: str) -> tuple[bool, bool]:
-        """Whether an element is dropped, and whether it is hinted to be noise."""
+    def kind_of(self, tag: str, attributes: str, within: bool) -> tuple[bool, bool, bool]:
+        """Whether an element is dropped, whether it is hinted to be noise, and whether it is so only if it is links. within: inside article or main."""
         if tag in DROPPED:
-            return True, False
+            return True, False, False
         if tag in ("html", "body", "article", "main"):
-            return False, False
-        within = any(self.tag[i] in ("article", "main") for i in self.open)
-        hint = tag in NOISE_KINDS or tag == "header" and not within
+            return False, False, False
+        weak = within and tag == "aside"
+        hint = tag in NOISE_KINDS and not weak or tag == "header" and not within
         for m in ATTRIBUTES.finditer(attributes) if attributes else ():
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True, False
+                return True, False, False
             if name == "role":
                 hint = hint or value in NOISE_ROLES
             elif name == "class":
-                hint = hint or bool(NOISE_PARTS.search(value)) or not within and bool(NOISE_NAMES.search(value))
+                hint = hint or bool(NOISE_PARTS.search(value))
+                if not hint and (LINK_PARTS.search(value) or NOISE_NAMES.search(value)):
+                    hint, weak = not within, within
             elif name == "id" and tag == "div":
                 hint = hint or bool(NOISE_IDS.match(value))
-        return False, hint and tag not in HEADINGS
+        return False, hint and tag not in HEADINGS, weak and not hint and tag not in HEADINGS
+
+    def close(self, place: int) -> None:
+        """End the open elements from a place on."""
+        while len(self.open) > place:
+            tag = self.tag[self.open.pop()]
+            self.at[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
 
     def cut(self, kinds: tuple[str, ...]) -> None:
         """End the innermost open element of one of these kinds, if no scope hides it."""
-        for at in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[at]]
-            if tag in kinds:
-                del self.open[at:]
-                return
-            if tag in SCOPES:
-                return
+        place = max((self.at[k][-1] for k in kinds if self.at.get(k)), default=0)
+        if place and not (self.scopes and self.scopes[-1] > place):
+            self.close(place)
 
     def handle_starttag(self, tag: str, attributes: str) -> None:
         if tag in ENDS_P:
@@ -139,24 +153,27 @@ class Tree:
         top = self.open[-1]
         self.tag.append(tag)
         self.up.append(top)
-        off, hint = self.kind_of(tag, attributes)
+        off, hint, weak = self.kind_of(tag, attributes, self.art[top])
         self.off.append(off or self.off[top])
         self.hint.append(hint)
+        self.weak.append(weak)
+        self.art.append(self.art[top] or tag in ("article", "main"))
         if tag in VOID:
             if tag == "br":
                 self.pieces.append((top, self.block, " "))
         else:
+            self.at.setdefault(tag, []).append(len(self.open))
+            if tag in SCOPES:
+                self.scopes.append(len(self.open))
             self.open.append(len(self.tag) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block += 1
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[at]] == tag:
-                del self.open[at:]
-                return
-            if tag not in BLOCKS and self.tag[self.open[at]] in SCOPES:
-                return
+        if self.at.get(tag):
+            place = self.at[tag][-1]
+            if tag in BLOCKS or not (self.scopes and self.scopes[-1] > place):
+                self.close(place)
 
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
@@ -173,25 +190,36 @@ def summed(tree: Tree, own: list[int]) -> list[int]:
     return out
 
 
-def noise(tree: Tree, chars: list[int], linked: list[bool], free: list[int]) -> list[bool]:
-    """The nodes that are in links or under a hint that holds. free: characters outside links, by subtree."""
-    hint, n = list(tree.hint), len(tree.tag)
-    while True:
-        under, tops = [False] * n, []
-        for i in range(1, n):
-            under[i] = under[tree.up[i]] or hint[i]
-            if hint[i] and not under[tree.up[i]] and not tree.off[i]:
-                tops.append(i)
-        rest = free[0] - sum(free[i] for i in tops)
-        void = [i for i in tops if free[i] and free[i] >= WHOLE * (rest + free[i])]
-        if not void:
-            return [a or b for a, b in zip(linked, under)]
-        most = max(void, key=lambda i: free[i])
-        hint[most] = False
-
-
-def densities(tree: Tree) -> tuple[list[int], list[int], list[float], list[float]]:
-    """For each node: characters, characters that are noise, composite density, sum of its children's densities."""
+def hinted(tree: Tree, chars: list[int], free: list[int]) -> list[bool]:
+    """The nodes under a hint that holds. free: characters outside links, by subtree. A hint that holds nearly all free text outside the other outermost
+    hints is void, and the hints right below it count in its place; largest first, so each hint is looked at once."""
+    n = len(tree.tag)
+    hint = [h or w and 2 * free[i] < chars[i] for i, (h, w) in enumerate(zip(tree.hint, tree.weak))]
+    above, below, tops = [-1] * n, {}, []  # the nearest hint above each node, and the hints right below each hint
+    for i in range(1, n):
+        up = tree.up[i]
+        above[i] = up if hint[up] else above[up]
+        if hint[i] and not tree.off[i]:
+            if above[i] < 0:
+                heapq.heappush(tops, (-free[i], i))
+            else:
+                below.setdefault(above[i], []).append(i)
+    rest, void = free[0] + sum(f for f, _ in tops), set()
+    while tops and free[tops[0][1]] and free[tops[0][1]] >= WHOLE * (rest + free[tops[0][1]]):
+        _, i = heapq.heappop(tops)
+        rest += free[i]
+        void.add(i)
+        for j in below.get(i, ()):
+            heapq.heappush(tops, (-free[j], j))
+            rest -= free[j]
+    under = [False] * n
+    for i in range(1, n):
+        under[i] = under[tree.up[i]] or hint[i] and i not in void
+    return under
+
+
+def densities(tree: Tree) -> tuple[list[int], list[int], list[int], list[float], list[float]]:
+    """For each node: characters, characters that are noise, those of them under hints, composite density, sum of its children's densities."""
     n = len(tree.tag)
     linked = [False] * n
     for i in range(1, n):
@@ -203,8 +231,9 @@ def densities(tree: Tree) -> tuple[list[int], list[int], list[float], list[float
         if not linked[node]:
             own_free[node] += size
     chars = summed(tree, own)
-    void = noise(tree, chars, linked, summed(tree, own_free))
-    noisy = summed(tree, [c if v else 0 for c, v in zip(own, void)])
+    under = hinted(tree, chars, summed(tree, own_free))
+    void = [a or b for a, b in zip(linked, under)]
+    noisy, under_hints = (summed(tree, [c if v else 0 for c, v in zip(own, flags)]) for flags in (void, under))
     tags = summed(tree, [int(i > 0) for i in range(n)])
     noise_tags = summed(tree, [int(i > 0 and v and (tree.tag[i] == "a" or not linked[i])) for i, v in enumerate(void)])
     page_chars, page_noise = max(chars[0], 1), noisy[0]
@@ -218,7 +247,7 @@ def densities(tree: Tree) -> tuple[list[int], list[int], list[float], list[float
         density[i] = c / t * math.log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0000001)) / base
     for i in range(1, n):
         total[tree.up[i]] += density[i]
-    return chars, noisy, density, total
+    return chars, noisy, under_hints, density, total
 
 
 def main_text(html: str | None) -> str:
@@ -227,7 +256,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     n = len(tree.tag)
-    chars, noisy, density, total = densities(tree)
+    chars, noisy, under_hints, density, total = densities(tree)
     if not chars[0]:
         return ""
     body = next((i for i in range(n) if tree.tag[i] == "body" and chars[i]), 0)
@@ -246,10 +275,11 @@ def main_text(html: str | None) -> str:
         at = tree.up[at]
         path.append(at)
     threshold, on_path = min(density[i] for i in path), dict(zip(path[1:], path))
-    whole = {i for at, i in enumerate(path) if any(tree.tag[x] in ("article", "main") for x in path[at:])}
+    whole = {i for i in path if tree.art[i] or tree.tag[i] in ("article", "main")}
 
     def stays(i: int) -> bool:
-        return tree.tag[i] not in BLOCKS and not tree.hint[i] or density[i] >= threshold or 2 * noisy[i] <= chars[i]
+        lost = under_hints[i] if tree.art[i] or tree.tag[i] in OWN_TEXT else noisy[i]
+        return tree.tag[i] not in BLOCKS and not tree.hint[i] or density[i] >= threshold or 2 * lost <= chars[i]
 
     def belongs(i: int, up: int) -> bool:
         """A part beside the path."""
@@ -257,6 +287,8 @@ def main_text(html: str | None) -> str:
             return stays(i)
         if tree.tag[i] in HEADINGS:
             return i < on_path[up] and stays(i)
+        if tree.tag[i] == "section" == tree.tag[on_path[up]]:
+            return stays(i)
         return density[i] >= threshold and largest[i] >= PART * total[best] and 2 * noisy[i] <= chars[i]
 
     taken = [False] * n

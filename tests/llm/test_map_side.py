@@ -124,8 +124,29 @@ def test_density_alone_finds_most_articles(spark, sf_dir, monkeypatch):
     alone = [html_extraction.main_text(neutral(x)) for x in pages]
     assert sum(x == y for x, y in zip(alone, want)) >= 0.9 * len(pages)  # else a page's article is too short for its sum to win
     right = html_extraction.densities
-    monkeypatch.setattr(html_extraction, "densities", lambda tree: (*right(tree)[:2], *[[0.0] * len(tree.tag)] * 2))
-    assert sum(html_extraction.main_text(x) == y for x, y in zip(pages, want)) < 0.1 * len(pages)
+    monkeypatch.setattr(html_extraction, "densities", lambda tree: (*right(tree)[:3], *[[0.0] * len(tree.tag)] * 2))
+    assert sum(html_extraction.main_text(neutral(x)) == y for x, y in zip(pages, want)) < 0.1 * len(pages)
+
+
+def test_text_that_is_linked_or_named_like_noise_stays():
+    long = "Some long text of the article which is long enough to count as text, with more words."
+    page = f"""<body><nav><a>Home</a></nav><article><h1><a>The title</a></h1><p>{long}</p><p><a>See the full long report here</a></p><h2><a>Part two</a></h2><p>{long}</p>
+      <h3>References</h3><ol><li><a>First source of it</a></li><li><a>Second source</a></li></ol><aside>He was the best, they said.</aside><p class='share'>The share price fell.</p>
+      <div class='social'>He was a social worker in town.</div><div class='share'><a>Twitter</a> <a>Facebook</a></div><aside class='related'><a>Another page</a></aside><div class='comments'><p>I liked this.</p></div></article><footer>Copyright</footer></body>"""
+    want = ["The title", long, "See the full long report here", "Part two", long, "References", "First source of it", "Second source", "He was the best, they said.", "The share price fell.", "He was a social worker in town."]
+    assert html_extraction.main_text(page).split("\n") == want
+    assert html_extraction.main_text(f"<body><div class=menu><a>Home</a><a>About</a></div><div><p>{long}</p><p><a>See the report</a></p><p>{long}</p></div></body>").split("\n") == [long, "See the report", long]
+    for tag in ("section",):
+        assert html_extraction.main_text(f"<body><{tag}><h2>One</h2><p>{long} {long}</p><p>{long}</p></{tag}><{tag}><h2>End</h2><p>A short close.</p></{tag}></body>").endswith("End\nA short close.")
+
+
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "text", "<div class='comments'>" * 60_000 + "text", "<b><div>" + "<i>" * 60_000 + "</b>" * 60_000, "<b>" * 60_000 + "<p>x" * 60_000, "<p class='ads'><b>" * 20_000, "<article><section>" + "<div>" * 60_000 + "deep"])
+def test_deep_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html_extraction.main_text(page)
+    assert time.process_time() - began < 8
 
 
 def brute_densities(html):
@@ -164,7 +185,7 @@ def test_densities_against_brute_force():
         html = f"<body><nav><a>home</a>menu</nav>{''.join(part(3) for _ in range(4))}</body>"
         tree = html_extraction.Tree()
         tree.feed(html)
-        chars, _, density, total = html_extraction.densities(tree)
+        chars, _, _, density, total = html_extraction.densities(tree)
         assert sorted((c, round(d, 6), round(s, 6)) for c, d, s in list(zip(chars, density, total))[1:]) == brute_densities(html)
 
 
