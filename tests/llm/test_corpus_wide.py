@@ -390,6 +390,9 @@ def test_classifier_of_hard_texts(spark, hard, empty):
     for given in (labels, labels.limit(0)):
         got = quality_classifier.classify(hard, given).collect()
         assert len(got) == len(hard_rows()) and all(not r.kept for r in got if r.log_ppl is None)
+        assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(i), len((t or "").split())) for i, t, *_ in hard_rows())
+        assert all(r.n_words or not r.kept for r in got)
+    assert all(r.kept == (r.n_words > 0) for r in got)  # nothing is trusted: all that has words stays
     assert quality_classifier.clean(hard, labels).columns == hard.columns
     assert quality_classifier.classify(empty, labels).count() == 0
 
