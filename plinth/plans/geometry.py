@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import overlay
 from .base import Tables, query
 
@@ -123,3 +124,11 @@ def polygon_repair(t: Tables):
     double = at((s, s - 1), (s, s), (0, s), (0, 0), (s, 0), (s, s - 1), (2 * s - 1, s - 1), (2 * s - 1, 2 * s - 1), (s - 1, 2 * s - 1), (s - 1, s - 1))
     shape = F.when(k % 4 == 0, square).when(k % 4 == 1, bow).when(k % 4 == 2, spike).otherwise(double)
     return overlay.repaired(c.select(k, F.array(shape).alias("polygon")), "c_custkey", CELL).withColumn("delta", F.round("delta", 9))
+
+
+@query("q_area_holes", "SELECT s_suppkey, round((2 * r * r - 4 * h * h) / 100 * 111.32 * 110.574 * cos(radians(y / 10)), 3) AS km2 FROM (SELECT s_suppkey, 3 + s_suppkey % 4 AS r, 1 + s_suppkey % 2 AS h, (s_suppkey // 100) * 12 + 6 AS y FROM supplier)")
+def area_holes(t: Tables):
+    """Areas in km2 of polygons of degrees with a hole, at the latitude of their middle."""
+    degrees = F.transform("polygon", lambda r: F.transform(r, lambda p: F.transform(p, lambda v: v / 10)))
+    middle = (F.floor(F.col("s_suppkey") / 100) * 12 + 6) / 10
+    return diamonds(t).select("s_suppkey", F.round(geo.km2(degrees, middle), 3).alias("km2"))
