@@ -5,9 +5,10 @@ over all its segmentations into pieces. No piece spans two runs of letters, so t
 words, and the forward algorithm has to run once for each distinct word: workers keep a bounded cache of words.
 Piece probabilities are fitted by expectation-maximisation over word counts of a bounded sample of labelled texts.
 
-Sample bound: about docs_per_lang texts and at most words_per_lang distinct words (the most frequent; of 60 characters at most) a language, of
-the most_langs languages with the most labelled texts (the rest are never predicted), so what comes to the driver and is broadcast, each language's
-pieces that occur and one floor for the others, has a bound too. Everything else covers all rows.
+Sample bound, on labelled rows alone: about docs_per_lang texts a language, and about labelled_rows in all (evenly fewer of each language where there
+are many, 20 at least; a language with fewer gives all it has). Every word of these texts is learnt from, and every language is predicted. What
+comes to the driver and is broadcast are each language's pieces that occur, of a vocabulary of fixed size, and one floor for the others. Texts
+are scored against LANGS languages at a time, so a worker's tables have a bound whatever the number of languages.
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing could be learnt; ties go to
 the language that sorts first. A null doc_id is not held out and never learnt from. Each row gives one row; whole texts are read;
 of the other columns only lang is read, in learning alone.
@@ -18,11 +19,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_slices, materialise, table
@@ -30,11 +32,13 @@ from .common import map_slices, materialise, table
 #: Runs of letters (and of numerals that no rule calls digits, which are unknown to every language alike).
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-7
-#: Longest word that is learnt from.
-LEARNT = 60
 TINY, HUGE = 1e-200, 1e200
 #: Longer words go one by one, with scaling against underflow.
 LONG = 30
+#: Languages that a text is scored against at a time.
+LANGS = 256
+#: Words of one length that are learnt from at a time.
+CHUNK = 4096
 
 
 @lru_cache(maxsize=2)
@@ -47,39 +51,80 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
     return {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
 
 
-def edges(word: str, pieces: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
-    """(from, to, piece number) of all pieces in ▁word; -1 for a character that is no piece."""
+def edges(word: str, pieces: dict[str, int], longest: int) -> Iterator[tuple[int, int, int]]:
+    """(from, to, piece number) of all pieces in ▁word, by their starts; -1 for a character that is no piece."""
     s = f"▁{word}"
-    found = []
     for i in range(len(s)):
         for j in range(i + 1, min(len(s), i + longest) + 1):
             k = pieces.get(s[i:j])
             if k is not None:
-                found.append((i, j, k))
+                yield i, j, k
             elif j == i + 1:
-                found.append((i, j, -1))
-    return found
+                yield i, j, -1
+
+
+def spans(size: int, longest: int) -> list[tuple[int, int]]:
+    """(from, to) of all places in a word of this size where a piece may lie, by their ends."""
+    return [(i, j) for j in range(1, size + 1) for i in range(max(0, j - longest), j)]
+
+
+def numbers(words: list[str], size: int, pieces: dict[str, int], longest: int) -> np.ndarray:
+    """The piece number in each span of each word (words of one length): the vocabulary's size for a lone unknown character, one more for no piece."""
+    get, at, lone = pieces.get, spans(size, longest), len(pieces)
+    return np.array([[get(m[i:j], lone if j - i == 1 else lone + 1) for i, j in at] for m in ("▁" + w for w in words)], np.int32)
+
+
+def expected_long(word: str, pieces: dict[str, int], longest: int, p: np.ndarray) -> Iterator[tuple[int, float]]:
+    """(piece number, expected uses) in one word of any length: sums over all segmentations in logarithms, which can't underflow."""
+    q, size = np.log(p).tolist(), len(word) + 1
+    ahead, behind = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
+    ahead[0] = behind[size] = 0.0
+
+    def plus(x: float, y: float) -> float:
+        return max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
+
+    for i, j, k in edges(word, pieces, longest):
+        ahead[j] = plus(ahead[j], ahead[i] + q[k])
+    s = f"▁{word}"
+    for i in range(size - 1, -1, -1):
+        for j in range(i + 1, min(size, i + longest) + 1):
+            k = pieces.get(s[i:j], -1 if j == i + 1 else None)
+            if k is not None:
+                behind[i] = plus(behind[i], q[k] + behind[j])
+    for i, j, k in edges(word, pieces, longest):
+        yield k, math.exp(min(0.0, ahead[i] + q[k] + behind[j] - ahead[size]))
 
 
 def fit(words: list[str], counts: list[int], path: str, rounds: int = 4, smooth: float = 0.01) -> np.ndarray:
-    """Piece probabilities of one language by expectation-maximisation over all segmentations."""
+    """Piece probabilities of one language by expectation-maximisation over all segmentations of all its words. Words of one length go
+    through the forward and backward sums together, place by place; those longer than LONG one by one."""
     pieces, longest = vocabulary(path)
-    lattices = [(edges(w, pieces, longest), len(w) + 1, n) for w, n in zip(words, counts) if len(w) <= LEARNT]
+    by_size: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_size.setdefault(len(w) + 1, []).append(i)
+    times = np.array(counts, float)
+    short = [(size, m[i : i + CHUNK]) for size, m in sorted(by_size.items()) if size <= LONG for i in range(0, len(m), CHUNK)]
+    groups = [(size, numbers([words[i] for i in m], size, pieces, longest), times[m]) for size, m in short]
+    long = [i for size, m in sorted(by_size.items()) if size > LONG for i in m]
     p = np.full(len(pieces) + 1, 1 / len(pieces))
     p[-1] = UNKNOWN
     for _ in range(rounds):
-        expected, q = np.zeros(len(pieces) + 1), p.tolist()
-        for lattice, size, n in lattices:
-            ahead, behind = [0.0] * (size + 1), [0.0] * (size + 1)
+        expected, q = np.zeros(len(pieces) + 2), np.append(p, 0.0)
+        for size, ids, n in groups:
+            at = spans(size, longest)
+            ahead, behind = np.zeros((size + 1, len(ids))), np.zeros((size + 1, len(ids)))
             ahead[0] = behind[size] = 1.0
-            for i, j, k in lattice:
-                ahead[j] += ahead[i] * q[k]
-            for i, j, k in reversed(lattice):
-                behind[i] += behind[j] * q[k]
-            if ahead[size] > 0:
-                scale = n / ahead[size]
-                for i, j, k in lattice:
-                    expected[k] += scale * ahead[i] * q[k] * behind[j]
+            for x, (i, j) in enumerate(at):
+                ahead[j] += ahead[i] * q[ids[:, x]]
+            scale = n / np.maximum(ahead[size], 1e-300)
+            for x, (i, j) in sorted(enumerate(at), key=lambda z: -z[1][1]):
+                used = q[ids[:, x]] * behind[j]
+                behind[i] += used
+                expected += np.bincount(ids[:, x], ahead[i] * used * scale, len(expected))
+        for i in long:
+            for k, e in expected_long(words[i], pieces, longest, p):
+                expected[len(pieces) if k < 0 else k] += e * times[i]
+        expected = expected[:-1]
         p = (expected + smooth) / (expected[:-1].sum() + smooth * len(pieces))
         p[-1] = UNKNOWN
     return p
@@ -102,8 +147,8 @@ class Scorer:
         width, size, shift = range(len(self.langs)), len(word) + 1, 0.0
         ahead = [[0.0] * len(self.langs) for _ in range(size + 1)]
         ahead[0] = [1.0] * len(self.langs)
-        lattice, at = edges(word, self.pieces, self.longest), 0
-        for i, j, k in lattice:
+        at = 0
+        for i, j, k in edges(word, self.pieces, self.longest):
             if i != at:
                 at = i
                 if max(ahead[i]) < TINY:
@@ -125,12 +170,9 @@ class Scorer:
             if size > LONG:
                 out[members] = [self.word(words[i]) for i in members]
                 continue
-            spans = [(i, j) for j in range(1, size + 1) for i in range(max(0, j - self.longest), j)]
-            marked = ["▁" + words[i] for i in members]
-            get, none, lone = self.pieces.get, len(self.table) - 1, len(self.table) - 2
-            ids = np.array([[get(m[i:j], lone if j - i == 1 else none) for i, j in spans] for m in marked], np.int32)
+            ids = numbers([words[i] for i in members], size, self.pieces, self.longest)
             ahead = [np.ones((len(members), len(self.langs)))] + [np.zeros((len(members), len(self.langs))) for _ in range(size)]
-            for at, (i, j) in enumerate(spans):
+            for at, (i, j) in enumerate(spans(size, self.longest)):
                 ahead[j] += ahead[i] * self.table[ids[:, at]]
             out[members] = np.log(np.maximum(ahead[size], 1e-300))
         return out
@@ -154,20 +196,28 @@ class Scorer:
                 self.rows = grown
             self.rows[first : first + len(missing)] = self.batch(missing)
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [WORDS.findall(t.lower()) if t else [] for t in texts]
-        if not self.langs:
-            return [("und", 0.0)] * len(texts)
+    def totals(self, split: list[list[str]]) -> np.ndarray:
+        """Log-likelihood of each text, given as its words, in every language."""
         self.learn([w for s in split for w in s])
-        out = []
-        for s in split:
-            if not any(map(str.isalpha, s)) and not any(c.isalpha() for w in s for c in w):
-                out.append(("und", 0.0))
-                continue
-            total = self.rows[np.fromiter(map(self.index.__getitem__, s), np.int64, len(s))].sum(axis=0)
-            best = int(total.argmax())
-            out.append((self.langs[best], float(min(1.0, 1 / np.exp(np.minimum(total - total[best], 0)).sum()))))
-        return out
+        at = (np.fromiter(map(self.index.__getitem__, s), np.int64, len(s)) for s in split)
+        return np.array([self.rows[x].sum(axis=0) for x in at]).reshape(len(split), len(self.langs))
+
+
+def predicted(scorers: Iterable[Scorer], texts: list[str | None]) -> list[tuple[str, float]]:
+    """The likeliest language of each text and its share of all likelihoods, from scorers of some languages each, in order of language."""
+    split = [WORDS.findall(t.lower()) if t else [] for t in texts]
+    best, mass, lang = np.full(len(texts), -np.inf), np.zeros(len(texts)), ["und"] * len(texts)
+    for scorer in scorers:
+        total = scorer.totals(split)
+        top = total.argmax(axis=1)
+        value = total[np.arange(len(texts)), top]
+        most = np.maximum(best, value)
+        mass = mass * np.exp(best - most) + np.exp(total - most[:, None]).sum(axis=1)
+        for i in np.flatnonzero(value > best):
+            lang[i] = scorer.langs[top[i]]
+        best = most
+    lettered = [any(c.isalpha() for w in s for c in w) for s in split]
+    return [(x, min(1.0, 1 / float(m))) if ok and m > 0 else ("und", 0.0) for x, m, ok in zip(lang, mass, lettered)]
 
 
 def learnt_from() -> F.Column:
@@ -184,12 +234,13 @@ def dense(model: dict[str, tuple], path: str) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, path: str, docs_per_lang: int = 2000, words_per_lang: int = 8000, rounds: int = 4, most_langs: int = 400) -> dict[str, tuple]:
+def train(docs: DataFrame, path: str, docs_per_lang: int = 2000, labelled_rows: int = 400_000, rounds: int = 4) -> dict[str, tuple]:
     """By language: the pieces that occur, their probabilities, and the probability of any other piece."""
     labelled = docs.select(F.col("doc_id").cast("long"), "text", "lang").filter("lang is not null and text is not null").filter(learnt_from())
-    count = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
-    share = materialise(count.select("lang", (F.lit(float(docs_per_lang)) / F.col("count")).alias("share")))
-    sample = labelled.join(F.broadcast(share), "lang").filter((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) < F.col("share")).select("lang", "text")
+    count = materialise(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    wanted = min(docs_per_lang, max(20, labelled_rows // max(1, count.count())))
+    share = count.select("lang", (F.lit(float(wanted)) / F.col("n")).alias("share"))
+    sample = labelled.join(share, "lang").filter((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) < F.col("share")).select("lang", "text")
 
     def factory():
         def run(columns):
@@ -201,7 +252,6 @@ def train(docs: DataFrame, path: str, docs_per_lang: int = 2000, words_per_lang:
         return run
 
     words = map_slices(sample, "lang string, word string, n long", factory, 1).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = words.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("at") <= words_per_lang)
 
     def em(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("word")
@@ -209,20 +259,31 @@ def train(docs: DataFrame, path: str, docs_per_lang: int = 2000, words_per_lang:
         ids = np.flatnonzero(p > p.min())
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "ids": [ids.astype(np.int32)], "p": [p[ids]], "floor": [p.min()]})
 
-    rows = best.groupBy("lang").applyInPandas(em, "lang string, ids array<int>, p array<double>, floor double").collect()
+    rows = words.groupBy("lang").applyInPandas(em, "lang string, ids array<int>, p array<double>, floor double").collect()
     return {r.lang: (np.array(r.ids, np.int64), np.array(r.p), r.floor) for r in rows}
 
 
-def identify(docs: DataFrame, model: dict[str, tuple], path: str, cache_words: int = 300_000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs(doc_id, text)."""
+def identify(docs: DataFrame, model: dict[str, tuple], path: str, cache_words: int = 300_000, langs: int = LANGS) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row of docs(doc_id, text). Up to `langs` languages have one table and cache of words for a
+    whole task; more are gone through in blocks of so many, with tables made anew for each slice of texts."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory():
-        scorer = Scorer(dense(known.value, path), path, cache_words)
+        names = sorted(known.value)
+        blocks = [names[i : i + langs] for i in range(0, len(names), langs)]
+        kept: list[Scorer] = []
+
+        def scorers() -> Iterator[Scorer]:
+            yield from kept
+            for block in blocks[len(kept) :]:
+                scorer = Scorer(dense({x: known.value[x] for x in block}, path), path, cache_words)
+                if len(blocks) == 1:
+                    kept.append(scorer)
+                yield scorer
 
         def run(columns):
             ids, held, texts = columns
-            found = scorer(texts)
+            found = predicted(scorers(), texts)
             return {"doc_id": ids, "held_out": held, "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
         return run

@@ -229,17 +229,58 @@ def test_forward_sums_all_segmentations():
 
 def test_language_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = language_id.identify(docs, language_id.train(docs, PIECES, words_per_lang=2000), PIECES).join(docs, "doc_id").filter("held_out").collect()
+    got = language_id.identify(docs, language_id.train(docs, PIECES), PIECES).join(docs, "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
     assert all(0 <= r.score <= 1 for r in got) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
-def test_learnt_model_is_sparse_and_bounded_in_languages(spark):
-    rows = [(i, "common words here " * 3, f"l{i % 7}") for i in range(200)] + [(500 + i, "other words there", f"rare{i}") for i in range(40)]
-    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, most_langs=7)
-    assert set(model) == {f"l{i}" for i in range(7)}
+def test_all_languages_are_learnt_from_and_predicted(spark):
+    rng = np.random.default_rng(3)
+    odd = {f"rare{i}": "".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for i in range(40)}
+    rows = [(i, "common words here " * 3, f"l{i % 7}") for i in range(200)] + [(1000 * i + k, f"{w} {w}", lang) for i, (lang, w) in enumerate(odd.items(), 1) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, PIECES)
+    assert set(model) == {f"l{i}" for i in range(7)} | set(odd)
     p = language_id.dense(model, PIECES)["l0"]
     assert len(model["l0"][0]) < 100 and abs(p[:-1].sum() - 1) < 1e-9 and p[-1] == language_id.UNKNOWN
+    few = language_id.train(docs, PIECES, docs_per_lang=30, labelled_rows=47)
+    assert set(few) == set(model)
+    one, many = ({r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model, PIECES, langs=n).collect()} for n in (256, 5))
+    assert {k: v[0] for k, v in one.items()} == {k: v[0] for k, v in many.items()} and all(abs(one[k][1] - many[k][1]) < 1e-9 for k in one)
+    assert sum(one[k][0] == lang for k, _, lang in rows if k >= 1000) > 0.9 * 240
+
+
+def test_learning_counts_every_segmentation(monkeypatch):
+    words, counts = ["the", "straße", "naïve", "漢a", "ab" * 20, "x", "other"], [9, 2, 1, 3, 4, 1, 7]
+    pieces, _ = language_id.vocabulary(PIECES)
+    size = len(pieces)
+
+    def cuts(s):
+        if not s:
+            yield []
+        for j in range(1, len(s) + 1):
+            if s[:j] in pieces or j == 1:
+                yield from ([pieces.get(s[:j], size), *rest] for rest in cuts(s[j:]))
+
+    p = np.append(np.full(size, 1 / size), language_id.UNKNOWN)
+    for _ in range(2):
+        expected = np.zeros(size + 1)
+        for w, n in zip(words, counts):
+            if len(w) > 20:
+                continue
+            found = [(c, p[c].prod()) for c in cuts("▁" + w)]
+            whole = sum(x for _, x in found)
+            for c, x in found:
+                np.add.at(expected, c, n * x / whole)
+        p = np.append((expected[:-1] + 0.01) / (expected[:-1].sum() + 0.01 * size), language_id.UNKNOWN)
+    short = [(w, n) for w, n in zip(words, counts) if len(w) <= 20]
+    assert np.allclose(language_id.fit(*map(list, zip(*short)), PIECES, 2), p, rtol=1e-9)
+    together = language_id.fit(words, counts, PIECES)
+    monkeypatch.setattr(language_id, "CHUNK", 2)
+    assert np.allclose(language_id.fit(words, counts, PIECES), together, rtol=1e-9)
+    monkeypatch.setattr(language_id, "LONG", 1)
+    assert np.allclose(language_id.fit(words, counts, PIECES), together, rtol=1e-9)
+    assert np.isfinite(language_id.fit(["ab" * 3000, "x"], [1, 1], PIECES)).all()
 
 
 def test_language_of_hard_texts(hard, empty):
