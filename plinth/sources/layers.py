@@ -1,6 +1,6 @@
 """dBASE tables and polygon shapefiles as Spark data sources, read by ranges of records and written by partitions.
 
-    spark.dataSource.register(Dbf); spark.dataSource.register(Shapes)
+    register(spark)
     spark.read.format("dbf").load(folder)          # the fields, and _file, _number, _deleted
     spark.read.format("shapes").load(folder)       # polygon, and _file, _number
     df.write.format("shapes").mode("append").save(folder)   # .shp, .shx and .dbf: polygon is the shape, the rest its attributes
@@ -299,10 +299,17 @@ class Shapes(DataSource):
         return Writer(schema, self.options, shapes=True)
 
 
-def read_layer(spark: SparkSession, path: str, records: int = 100_000) -> DataFrame:
-    """Shapes with their attributes, put together by file and record number; raises where a file has more of one than of the other."""
+def register(spark: SparkSession) -> None:
+    """Make both sources known. Spark looks such sources up in the session that is active in the calling thread, which a thread
+    other than the one that made the session doesn't have; createDataFrame sets it."""
+    spark.createDataFrame([], "none int")
     spark.dataSource.register(Dbf)
     spark.dataSource.register(Shapes)
+
+
+def read_layer(spark: SparkSession, path: str, records: int = 100_000) -> DataFrame:
+    """Shapes with their attributes, put together by file and record number; raises where a file has more of one than of the other."""
+    register(spark)
     read = lambda kind: spark.read.format(kind).option("records", records).load(path)
     counts = [{stem(f): reader.count(f) for f in uri_files(path, reader.end)} for reader in (DbfReader(None, {}), ShapeReader(None, {}))]
     if wrong := {k for c in counts for k in c if counts[0].get(k) != counts[1].get(k)}:
@@ -311,18 +318,18 @@ def read_layer(spark: SparkSession, path: str, records: int = 100_000) -> DataFr
 
 
 def write_layer(df: DataFrame, path: str, **options: str) -> None:
-    df.sparkSession.dataSource.register(Shapes)
+    register(df.sparkSession)
     df.write.format("shapes").options(**options).mode("append").save(path)
 
 
 def write_dbf(df: DataFrame, path: str, **options: str) -> None:
-    df.sparkSession.dataSource.register(Dbf)
+    register(df.sparkSession)
     df.write.format("dbf").options(**options).mode("append").save(path)
 
 
 def read_dbf(spark: SparkSession, path: str, schema: str | None = None, records: int = 100_000) -> DataFrame:
     """schema: only its columns are decoded."""
-    spark.dataSource.register(Dbf)
+    register(spark)
     reader = spark.read.format("dbf").option("records", records)
     return (reader.schema(schema) if schema else reader).load(path)
 

@@ -36,6 +36,21 @@ def test_dbf_schema_prunes_and_marks_deleted(spark, tmp_path):
     assert [(f.name, f.dataType.simpleString()) for f in layers.read_dbf(spark, str(tmp_path / "t")).schema] == [("key", "bigint"), ("name", "string"), ("_file", "string"), ("_number", "bigint"), ("_deleted", "boolean")]
 
 
+def test_sources_are_found_from_other_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def there_and_back(name: str):
+        layers.write_dbf(spark.createDataFrame([(1, name)], "key long, name string"), str(tmp_path / name))
+        return name
+
+    def back(name: str):
+        return layers.read_dbf(spark, str(tmp_path / name), "name string").first().name
+
+    for task in (there_and_back, back):
+        with ThreadPoolExecutor(1) as pool:
+            assert list(pool.map(task, ["one", "two"])) == ["one", "two"]
+
+
 def test_long_texts_are_refused_not_cut(spark, tmp_path):
     with pytest.raises(Exception, match="more than 5 bytes"):
         layers.write_dbf(spark.createDataFrame([("sixsix",)], "name string"), str(tmp_path / "t"), widths="name:5")
