@@ -227,6 +227,17 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(scorer.rows[[scorer.index[w] for w in words]], [scorer.word(w) for w in words])
 
 
+def test_pieces_found_by_hash_are_those_of_the_vocabulary():
+    pieces, longest = language_id.vocabulary(PIECES)
+    rng = np.random.default_rng(8)
+    letters, some = list("aeiourstnlßé漢qz"), [p.lstrip("▁") for p in list(pieces)[::7]]
+    words = {"".join(rng.choice(letters, n)) for n in rng.integers(1, 25, 300)} | {a + b for a, b in zip(some, some[::-1])}
+    for n in {len(w) for w in words}:
+        same = sorted(w for w in words if len(w) == n)
+        want = [[pieces.get(m[i:j], len(pieces) + (j - i > 1)) for i, j in language_id.spans(n + 1, longest)] for m in ("▁" + w for w in same)]
+        assert (language_id.numbers(same, n + 1, PIECES) == np.array(want)).all()
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.identify(docs, language_id.train(docs, PIECES), PIECES).join(docs, "doc_id").filter("held_out").collect()
