@@ -252,3 +252,29 @@ def overlay_clip(t: Tables):
 def nearest_rank(t: Tables):
     c = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     return stats.order_statistics(c, ["n_nationkey"], "cents", {"upper_median": F.floor(F.col("n") / 2), "p90": F.ceil((F.col("n") - 1) * 9 / 10)})
+
+
+@query(
+    "q_frames",
+    """WITH m AS (SELECT c_nationkey AS n_nationkey, (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS month, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+    SELECT n_nationkey, month, cents, sum(cents) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS last_three, count(*) OVER (w RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS months_of_three,
+      max(cents) OVER (w RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS high_of_year, cents - lag(cents) OVER w AS change, lead(cents) OVER w AS next_cents,
+      first_value(cents) OVER w AS first_cents, ntile(4) OVER (PARTITION BY n_nationkey ORDER BY cents, month)::BIGINT AS quarter
+    FROM m WINDOW w AS (PARTITION BY n_nationkey ORDER BY month)""",
+)
+def frames(t: Tables):
+    """Frames of rows and of months over a nation's monthly sums, so a window sorts as many rows as there are months."""
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("month")
+    m = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("n_nationkey"), month).agg(cents.alias("cents"))
+    w = Window.partitionBy("n_nationkey").orderBy("month")
+    return m.select(
+        "n_nationkey", "month", "cents",
+        F.sum("cents").over(w.rowsBetween(-2, 0)).alias("last_three"),
+        F.count("*").over(w.rangeBetween(-2, 0)).alias("months_of_three"),
+        F.max("cents").over(w.rangeBetween(-11, 0)).alias("high_of_year"),
+        (F.col("cents") - F.lag("cents").over(w)).alias("change"),
+        F.lead("cents").over(w).alias("next_cents"),
+        F.first("cents").over(w).alias("first_cents"),
+        F.ntile(4).over(Window.partitionBy("n_nationkey").orderBy("cents", "month")).cast("long").alias("quarter"),
+    )
