@@ -364,6 +364,30 @@ def test_perplexities_are_those_of_a_plain_model(spark, head):
         assert got[i].n_words == len(t) and abs(got[i].log_ppl - want) < 1e-3
 
 
+@pytest.mark.parametrize("width", [3, 16])
+def test_all_labelled_documents_train(spark, width):
+    """12,000 labelled good, and words that many shards share: the perplexities are those of a plain model of them all."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(15)]
+    docs = {i: [words[min(int(rng.expovariate(0.4)), 14)] for _ in range(rng.randrange(1, 7))] for i in range(12_000)}
+    docs |= {20_000 + i: [*docs[i], "never", "w0", "w1"] for i in range(3)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 2
+    models = [plain_kneser_ney([t for i, t in docs.items() if i < 12_000 and fold(i) == f])[0] for f in (0, 1)]
+    df = spark.createDataFrame([(i, "en", " ".join(t)) for i, t in docs.items()], "doc_id long, lang string, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(12_000)], "doc_id long, quality int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        got = {r.doc_id: r for r in quality_classifier.classify(df, labels).filter("doc_id % 1000 < 3").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 39
+    for i, r in got.items():
+        t, p = docs[i], models[1 - fold(i)]
+        want = -sum(np.log(p(*x)) for x in zip(["<s>", "<s>", *t], ["<s>", *t], [*t, "</s>"])) / (len(t) + 1)
+        assert r.n_words == len(t) and abs(r.log_ppl - want) < 2e-4
+
+
 def test_repeated_trusted_rows_train_once(spark):
     rng = random.Random(7)
     rows = [(i, "en", i, sentence(rng, 30)) for i in range(20)]
