@@ -452,3 +452,14 @@ def test_pipeline(spark, sf_dir, hard):
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         assert stage(spark, hard, sf_dir).columns == hard.columns
+
+
+def test_pipeline_learns_from_all_labelled_documents(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    whole, seen = quality_classifier.trusted_ids, []
+    monkeypatch.setattr(quality_classifier, "trusted_ids", lambda *given: seen.append(whole(*given).count()) or whole(*given))
+    spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, "some words of a text", "en") for i in range(4)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.classify_quality(spark, docs, str(tmp_path)).count() == 4
+    assert seen == [12_000]
