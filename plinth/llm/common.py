@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -86,11 +87,32 @@ def unboxed(df: DataFrame, columns: list[str], text: Column | None = None) -> li
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps now: it does so when the objects that stand for them are collected, which
-    by itself may take longer than all steps do."""
+    by itself may take longer than all steps do. Its listeners hold the query that ended last, which so is a small one."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give back to the system what Python has freed: workers stay after their tasks, and more of them than run at a time."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+def trimmed(fn: Callable) -> Callable:
+    """fn of one argument, with trim() at its end."""
+
+    def run(pdf):
+        try:
+            return fn(pdf)
+        finally:
+            trim()
+
+    return run
+
+
 #: A key is frequent if one in so many rows has it; so at most so many keys are.
 FREQUENT = 4096
 
@@ -122,6 +144,12 @@ def sliced(columns: list[list], text_at: int, limit: int = SLICE_CHARS) -> Itera
         yield [c[start:] for c in columns]
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch by a few rows at a time, so that not all its texts become Python strings at once."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def map_slices(df: DataFrame, schema: str, fn_factory: Callable[[], Callable[[list[list]], dict[str, Iterable]]], text_at: int, limit: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow over bounded slices of rows. fn_factory runs once in each task and returns fn(columns) -> columns."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -12,7 +12,7 @@ words, bigrams and trigrams that the model knows a gain (the log-probability it
 So texts meet the model in joins of counts with gains, in the shards that hold the model. The most frequent n-grams' gains, at most `head`, are broadcast. The
 others are asked for: a chunk of documents sends each shard its distinct n-grams there, if a bitmap of fixed size doesn't tell that
 the model lacks them, each with the documents it occurs in; the shard sends back one vector of sums a chunk. Keys are 48-bit hashes in their shard's range,
-and an n-gram that is everywhere comes once a chunk. Only trusted texts are shuffled.
+and an n-gram that is everywhere comes once a chunk. Only trusted texts are shuffled. A fold's documents ask in `TURNS` turns, so that one turn's questions lie on disk at a time.
 
 Verdicts. Documents are rejected whose log-perplexity is over the fence of their language: the `good` quantile of that language's documents
 labelled good. It is drawn towards that of all languages as if `prior_docs` documents more had it, so small languages have no rule of their own. A
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, discard, map_slices, materialise, release, row_key, scope, shards, sliced, table, unboxed
+from .common import boxed, discard, map_slices, materialise, pieces, release, row_key, scope, shards, table, trim, trimmed, unboxed
 
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -49,6 +49,8 @@ START, END, MARKS = 0, 1, 2
 CODES = 1 << 16
 #: Documents a chunk has at most (16 bits), and characters after which it is closed; bits of a key; bits and blocks of the bitmap.
 CHUNK_DOCS, CHUNK_CHARS, KEY_BITS, MAP_BITS, MAP_BLOCKS = 60_000, 6_000_000, 48, 1 << 27, 1 << 12
+#: Turns in which the documents of a fold are scored.
+TURNS = 2
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -107,6 +109,11 @@ def fold() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)), F.lit(0)).cast("int")
 
 
+def turn() -> F.Column:
+    """0 to TURNS - 1; not the bit of fold()."""
+    return F.coalesce(F.pmod(F.shiftright(F.crc32(F.col("doc_id").cast("string")), 1), F.lit(TURNS)), F.lit(0)).cast("int")
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers in planes of bytes (the high ones are nearly all alike), compressed."""
     if not len(x):
@@ -127,27 +134,32 @@ def key_of_id(ids: np.ndarray) -> np.ndarray:
     return mixed(ids.astype(np.int64).view(U) * M1) >> U(64 - KEY_BITS)
 
 
-def likely(docs: DataFrame, bits_b) -> DataFrame:
-    """doc_id, text of the rows whose id the bitmap of chosen ids has: all chosen ones, and few others."""
+def with_text(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = key_of_id(batch.column(0).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(has(bits_b.value, ids)))
 
-    return docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+def likely_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of with_text() whose id the bitmap of chosen ids has: all chosen ones, and few others."""
+    for batch in batches:
+        yield batch.filter(pa.array(has(bits, key_of_id(batch.column(0).to_numpy(zero_copy_only=False)))))
+
+
+def likely(docs: DataFrame, bits_b) -> DataFrame:
+    """doc_id, text of likely_rows()."""
+    return with_text(docs).mapInArrow(lambda batches: likely_rows(batches, bits_b.value), "doc_id long, text string")
 
 
 def batches_of_words(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[list[np.ndarray]]:
-    """Marked words of texts, about CHUNK_CHARS characters at a time."""
+    """Marked words of the texts in the last column, about CHUNK_CHARS characters at a time."""
     held, size = [], 0
     for batch in batches:
-        for (texts,) in sliced([batch.column(0).to_pylist()], 0):
-            held += [marked(words(t)) for t in texts]
-            size += sum(map(len, texts))
-            if size > CHUNK_CHARS:
-                yield held
-                held, size = [], 0
+        for part in pieces(batch):
+            for text in part.column(part.num_columns - 1).to_pylist():
+                held.append(marked(words(text)))
+                size += len(text)
+                if size > CHUNK_CHARS:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -158,6 +170,8 @@ class Layout:
     def __init__(self, width: int, rows: list):
         total = sum(r.n for r in rows if r.word < 0)
         found = sorted((r for r in rows if r.word >= 0), key=lambda r: (-r.n, r.word))[: CODES - MARKS]
+        #: Ways in which the shards' questions to each other are dealt: each of them sends a row to each way.
+        self.ways = min(width, math.ceil(4 * math.sqrt(width)))
         self.width, self.codes = width, {r.word: MARKS + i for i, r in enumerate(found)}
         parts = [min(width, math.ceil(r.n * width / total)) for r in found if r.n * width > total]
         self.heavy, self.parts = np.arange(MARKS, MARKS + len(parts), dtype=np.uint32), np.array(parts, U)
@@ -175,16 +189,17 @@ class Layout:
         return (v >= MARKS) & (v < MARKS + len(self.heavy))
 
 
-def layout(texts: DataFrame, width: int) -> Layout:
-    """From whole texts: words that have 1 / 50,000 of a run of texts or more, counted over the runs where they do."""
+def layout(docs: DataFrame, bits_b, width: int) -> Layout:
+    """From the whole texts of likely_rows(): words that have 1 / 50,000 of a run of texts or more, counted over the runs where they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in batches_of_words(batches, Words()):
+        for held in batches_of_words(likely_rows(batches, bits_b.value), Words()):
             word, n = np.unique(np.concatenate(held), return_counts=True)
             some = (n * 50_000 >= n.sum()) & (n > 1) & (word >= CODES)
             yield pa.RecordBatch.from_pydict({"word": np.append(word[some].astype(np.int64), -1), "n": np.append(n[some], n.sum()).astype(np.int64)})
+        trim()
 
-    counts = texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = with_text(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return Layout(width, counts.orderBy(F.col("word") >= 0, F.desc("n"), "word").limit(CODES).collect())
 
 
@@ -233,13 +248,15 @@ def trigrams(trusted: DataFrame, plan: Layout) -> DataFrame:
             for s, (a, b) in enumerate(itertools.pairwise(np.searchsorted(shard[order], np.arange(plan.width + 1)))):
                 if a < b:
                     yield pa.RecordBatch.from_pylist([{"shard": s, **as_blobs(u[a:b], v[a:b], w[a:b], n[a:b])}], TRIGRAMS)
+            del parts, u, v, w, n, shard, order
+            trim()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [from_blobs(r) for _, r in pdf.iterrows()]
         u, v, w, n = counted(*(np.concatenate(c) for c in zip(*parts)))
         return pd.DataFrame([{"shard": pdf["shard"].iloc[0], **as_blobs(u, v, w, n)}])
 
-    return trusted.select("text").mapInArrow(run, TRIGRAMS_DDL).groupBy("shard").applyInPandas(add, TRIGRAMS_DDL)
+    return trusted.select("text").mapInArrow(run, TRIGRAMS_DDL).groupBy("shard").applyInPandas(trimmed(add), TRIGRAMS_DDL)
 
 
 def of_runs(new: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -278,12 +295,12 @@ ASKS = pa.schema([("at", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary(
 ASKS_DDL = "at int, shard int, keys binary, n binary"
 
 
-def asks(shard: int, keys: np.ndarray, n: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+def asks(shard: int, keys: np.ndarray, n: np.ndarray, ways: int) -> Iterator[pa.RecordBatch]:
     """What a shard knows of sorted distinct keys, dealt by key."""
-    at = (mixed(keys * M1 + U(3)) % U(width)).astype(np.int64)
+    at = (mixed(keys * M1 + U(3)) % U(ways)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     keys, n = keys[order], n[order]
-    rows = [{"at": i, "shard": shard, "keys": squeeze(keys[a:b]), "n": packed(n[a:b].astype("<u4"))} for i, (a, b) in enumerate(itertools.pairwise(np.searchsorted(at[order], np.arange(width + 1)))) if a < b]
+    rows = [{"at": i, "shard": shard, "keys": squeeze(keys[a:b]), "n": packed(n[a:b].astype("<u4"))} for i, (a, b) in enumerate(itertools.pairwise(np.searchsorted(at[order], np.arange(ways + 1)))) if a < b]
     if rows:
         yield pa.RecordBatch.from_pylist(rows, ASKS)
 
@@ -303,7 +320,7 @@ def answers(asked: DataFrame, kind: int, own_kind: int, home: Callable[[np.ndarr
         rows += [(int(homes[order[a]]), own_kind, squeeze(keys[order[a:b]]), packed(sums[order[a:b]])) for a, b in itertools.pairwise(bounds)]
         return pd.DataFrame([(s, k, x, b"", b"", n) for s, k, x, n in rows], columns=TRIGRAMS.names)
 
-    return asked.groupBy("at").applyInPandas(run, TRIGRAMS_DDL)
+    return asked.groupBy("at").applyInPandas(trimmed(run), TRIGRAMS_DDL)
 
 
 def told(rows: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,7 +349,7 @@ def ask_pairs(model: DataFrame, plan: Layout) -> DataFrame:
             for row in batch.to_pylist():
                 bv, bw, c2 = bigrams(*from_blobs(row)[1:3])
                 some = plan.is_heavy(bv)
-                yield from asks(row["shard"], pair(bv, bw)[some], c2[some], plan.width)
+                yield from asks(row["shard"], pair(bv, bw)[some], c2[some], plan.ways)
 
     def home(keys: np.ndarray) -> np.ndarray:
         v, w = unpair(keys)
@@ -350,10 +367,10 @@ def ask_words(model: DataFrame, pairs: DataFrame, plan: Layout) -> DataFrame:
                 if row["kind"] == COUNTS:
                     bv, bw, _ = bigrams(*from_blobs(row)[1:3])
                     words, at = np.unique(bw, return_inverse=True)
-                    yield from asks(row["shard"], words.astype(U), np.bincount(at, ~plan.is_heavy(bv), len(words)), plan.width)
+                    yield from asks(row["shard"], words.astype(U), np.bincount(at, ~plan.is_heavy(bv), len(words)), plan.ways)
                 else:
                     words, n = np.unique(unpair(expand(row["u"]))[1], return_counts=True)
-                    yield from asks(row["shard"], words.astype(U), n, plan.width)
+                    yield from asks(row["shard"], words.astype(U), n, plan.ways)
 
     return answers(model.unionByName(pairs.filter(F.col("kind") == OWN_PAIRS)).mapInArrow(run, ASKS_DDL), WORDS, OWN_WORDS, plan.base)
 
@@ -541,7 +558,7 @@ def head_and_map(model: DataFrame, fit, head: int, plan: Layout) -> tuple[np.nda
         blocks(keys, held)
         return pd.DataFrame([(-1, squeeze(keys[some]), packed(gain[some])), *((p, x.tobytes(), b"") for p, x in held.items())], columns=["part", "bits", "gain"])
 
-    rows = model.groupBy("shard").applyInPandas(tell, "part long, bits binary, gain binary").collect()
+    rows = model.groupBy("shard").applyInPandas(trimmed(tell), "part long, bits binary, gain binary").collect()
     keys, gain = (np.concatenate(x) for x in zip(*((expand(r.bits), unpacked(r.gain, "<i4")) for r in rows if r.part < 0)))
     order = np.argsort(keys)
     return keys[order], gain[order], whole_map([r for r in rows if r.part >= 0])
@@ -569,49 +586,60 @@ class Chunk:
     def full(self) -> bool:
         return len(self.texts) >= CHUNK_DOCS or self.chars >= CHUNK_CHARS
 
-    def scored(self) -> tuple[np.ndarray, list[tuple]]:
+    def scored(self) -> tuple[np.ndarray, Iterator[tuple]]:
         """Sums of the head's gains by document, and the parts for the shards."""
         head_keys, head_gain, bits = self.head
         size = np.array([len(t) for t in self.texts])
-        tokens = np.concatenate([marked(t) for t in self.texts])
-        doc = np.repeat(np.arange(len(size), dtype=U), size + 3)
-        at = np.flatnonzero(np.concatenate([[False, False], doc[2:] == doc[:-2]]))  # places of words and end marks
-        u, v, w, doc = tokens[at - 2], tokens[at - 1], tokens[at], doc[at]
-        sums, out = np.zeros(len(size)), []
-        # What a word, a bigram, a history and a trigram of each token tell; the start mark is a history once a document.
-        plan, width = self.plan, self.plan.width
-        starts, first = np.arange(len(size), dtype=U), np.full(len(size), START, np.uint32)
-        one, of_uv = np.concatenate([w, first]), plan.shard(u, v)
-        for keys, docs in (
-            (key(plan.base(one), width, WORD, one), np.concatenate([doc, starts])), (key(plan.shard(w, v), width, BIGRAM, v, w), doc),
-            (key(of_uv, width, HISTORY, u, v), doc), (key(of_uv, width, TRIGRAM, u, v, w), doc),
-        ):
-            both = np.sort((keys << U(16)) | docs)
-            k, d = both >> U(16), (both & U(0xFFFF)).astype(np.int64)
-            begin = np.flatnonzero(changes(k))
-            unique, count = k[begin], np.diff(np.append(begin, len(k)))
+        sums, found = np.zeros(len(size)), []
+        for keys, docs in self.families(size):
+            keys <<= U(16)
+            keys |= docs
+            keys.sort()
+            d = keys.astype(np.uint16)
+            keys >>= U(16)
+            begin = np.flatnonzero(changes(keys))
+            unique, count = keys[begin], np.diff(np.append(begin, len(keys))).astype(np.uint32)
+            del keys, docs, begin
             place = np.minimum(np.searchsorted(head_keys, unique), max(len(head_keys) - 1, 0))
             known = head_keys[place] == unique if len(head_keys) else np.zeros(len(unique), bool)
             sums += np.bincount(d, np.repeat(np.where(known, head_gain[place], 0) if len(head_keys) else 0.0 * unique, count), len(size))
             rest = np.flatnonzero(~known)
+            del place, known
             rest = rest[has(bits, unique[rest])]
             if len(rest):
                 pick = np.zeros(len(unique), bool)
                 pick[rest] = True
-                out.append((unique[rest], count[rest], d[np.repeat(pick, count)]))
-        return sums, self.dealt(out)
+                found.append((unique[rest], count[rest], d[np.repeat(pick, count)]))
+        return sums, self.dealt(found)
 
-    def dealt(self, found: list[tuple]) -> list[tuple]:
+    def families(self, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What a word, a bigram, a history and a trigram of each token tell, as keys and documents; the start mark is a history once a document."""
+        tokens = np.concatenate([marked(t) for t in self.texts])
+        doc = np.repeat(np.arange(len(size), dtype=np.uint16), size + 3)
+        at = np.flatnonzero(np.concatenate([[False, False], doc[2:] == doc[:-2]]))  # places of words and end marks
+        u, v, w, doc = tokens[at - 2], tokens[at - 1], tokens[at], doc[at]
+        del tokens, at
+        plan, width = self.plan, self.plan.width
+        one = np.concatenate([w, np.full(len(size), START, np.uint32)])
+        yield key(plan.base(one), width, WORD, one), np.concatenate([doc, np.arange(len(size), dtype=np.uint16)])
+        yield key(plan.shard(w, v), width, BIGRAM, v, w), doc
+        yield key(plan.shard(u, v), width, HISTORY, u, v), doc
+        yield key(plan.shard(u, v), width, TRIGRAM, u, v, w), doc
+
+    def dealt(self, found: list[tuple]) -> Iterator[tuple]:
+        """Each family's keys are sorted, and those of a shard are a range of them."""
         if not found:
-            return []
-        keys, count = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        docs, ends = np.concatenate([x[2] for x in found]), np.cumsum(count)
-        order = np.argsort(keys, kind="stable")
-        at = np.repeat(ends[order] - count[order], count[order]) + np.arange(len(docs)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
-        keys, count, docs = keys[order], count[order], docs[at].astype("<u2")
-        ends = np.concatenate([[0], np.cumsum(count)])
-        bounds = [0, *np.searchsorted(keys, shard_of(self.plan.width)), len(keys)]
-        return [(self.number, len(self.texts), s, QUERY, squeeze(keys[a:b]), packed(count[a:b].astype("<u4")), packed(docs[ends[a] : ends[b]]), b"") for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+            return
+        ends = [np.append(0, np.cumsum(count, dtype=np.int64)) for _, count, _ in found]
+        cuts = [[0, *np.searchsorted(keys, shard_of(self.plan.width)), len(keys)] for keys, _, _ in found]
+        for s in range(self.plan.width):
+            own = [(slice(c[s], c[s + 1]), slice(e[c[s]], e[c[s + 1]])) for c, e in zip(cuts, ends)]
+            keys, count, docs = (np.concatenate(x) for x in zip(*((k[i], n[i], d[j]) for (k, n, d), (i, j) in zip(found, own))))
+            if len(keys):
+                order, end = np.argsort(keys, kind="stable"), np.cumsum(count, dtype=np.int64)
+                n = count[order]
+                at = np.repeat((end - count)[order] - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(len(docs))
+                yield (self.number, len(self.texts), s, QUERY, squeeze(keys[order]), packed(n.astype("<u4")), packed(docs[at].astype("<u2")), b"")
 
 
 def asked(docs: DataFrame, head, plan: Layout) -> DataFrame:
@@ -630,13 +658,15 @@ def asked(docs: DataFrame, head, plan: Layout) -> DataFrame:
                 return
             sums, rows = chunk.scored()
             sizes = np.array([len(t) for t in chunk.texts], "<u4").tobytes()
-            rows.append((chunk.number, len(who), chunk.number % plan.width, META, json.dumps(who).encode(), sizes, sums.astype("<i8").tobytes(), b""))
-            for i in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 16]), PARTS)], schema=PARTS)
+            meta = (chunk.number, len(who), chunk.number % plan.width, META, json.dumps(who).encode(), sizes, sums.astype("<i8").tobytes(), b"")
+            for some in itertools.batched(itertools.chain(rows, [meta]), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), PARTS)], schema=PARTS)
+            del rows, some
+            trim()
 
         for batch in batches:
-            for ids, langs, keys, texts in sliced([c.to_pylist() for c in batch.columns], 3):
-                for doc_id, lang, k, text in zip(ids, langs, keys, texts):
+            for part in pieces(batch):
+                for doc_id, lang, k, text in zip(*(c.to_pylist() for c in part.columns)):
                     chunk.add(words(text), len(text or ""))
                     who.append((doc_id, lang, k))
                     if chunk.full():
@@ -675,7 +705,7 @@ def fitted(trusted: DataFrame, plan: Layout) -> tuple[DataFrame, dict] | None:
 
 
 def scored_by(docs: DataFrame, model: DataFrame, fit: dict, number: int, head: int, plan: Layout) -> DataFrame:
-    """SCORED by one model."""
+    """SCORED by one model, whose tables are deleted then."""
     spark = docs.sparkSession
     fit_b = spark.sparkContext.broadcast(fit)
     head_b = spark.sparkContext.broadcast(head_and_map(model, fit_b, head, plan))
@@ -711,13 +741,20 @@ def scored_by(docs: DataFrame, model: DataFrame, fit: dict, number: int, head: i
             "n_words": sizes, "log_ppl": [-t / UNIT / (s + 1) if s else None for t, s in zip(total.tolist(), sizes.tolist())],
         })
 
-    both = asked(docs, head_b, plan).unionByName(model, allowMissingColumns=True)
-    back = both.groupBy("shard").applyInPandas(lookup, "chunk long, kind int, size int, data binary, more binary, sums binary")
-    scored = materialise(back.groupBy("chunk").applyInPandas(gather, SCORED))
+    def ask(some: DataFrame) -> DataFrame:
+        both = asked(some, head_b, plan).unionByName(model, allowMissingColumns=True)
+        back = both.groupBy("shard").applyInPandas(trimmed(lookup), "chunk long, kind int, size int, data binary, more binary, sums binary")
+        return materialise(back.groupBy("chunk").applyInPandas(gather, SCORED))
+
+    done = []
+    for i in range(TURNS):
+        done.append(ask(docs.filter(turn() == i)))
+        release(spark)
+    head_b.destroy()
+    fit_b.destroy()
     for part in model.parts:
         discard(part)
-    release(spark)
-    return scored
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def score(docs: DataFrame, labels: DataFrame, most_trusted: int | None, head: int) -> DataFrame:
@@ -726,7 +763,7 @@ def score(docs: DataFrame, labels: DataFrame, most_trusted: int | None, head: in
     chosen = materialise(trusted_ids(labels, most_trusted))
     docs = docs.withColumn("fold", fold())
     bits_b = docs.sparkSession.sparkContext.broadcast(map_of_ids(chosen.select("doc_id")))
-    plan = layout(likely(docs, bits_b), shards(docs))
+    plan = layout(docs, bits_b, shards(docs))
 
     def learnt(f: int) -> tuple[DataFrame, dict] | None:
         own = likely(docs.filter(F.col("fold") == f), bits_b).join(chosen, "doc_id", "left_semi")
@@ -740,6 +777,7 @@ def score(docs: DataFrame, labels: DataFrame, most_trusted: int | None, head: in
         done.append(scored_by(docs.filter("fold = 0") if first else docs, *second, 1, head, plan))
     elif first:
         done.append(scored_by(docs.filter("fold = 0"), *learnt(0), 0, head, plan))
+    bits_b.destroy()
     return functools.reduce(DataFrame.unionByName, done) if done else map_slices(docs.select("doc_id", "k_text", "lang", "text"), SCORED, unjudged, 3)
 
 

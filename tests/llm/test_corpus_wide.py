@@ -396,6 +396,46 @@ def test_repeated_trusted_rows_train_once(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, often.collect()))
 
 
+def test_a_chunk_needs_little_memory():
+    """All n-grams are asked for: memory by token, as two tasks and idle workers share an executor."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    chunk = quality_classifier.Chunk(0, quality_classifier.Layout(16, []), (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.full(quality_classifier.MAP_BITS // 8, 255, np.uint8)))
+    for _ in range(200):
+        chunk.add(rng.integers(70_000, 100_000, 1000).astype(np.uint32), 6000)
+    tracemalloc.start()
+    try:
+        rows = list(chunk.scored()[1])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(rows) == 16 and most < 200 * 200_000
+
+
+def test_shards_ask_in_fewer_ways_than_shards():
+    """The rows that shards send each other grow less than with the square of their number."""
+    plan = quality_classifier.Layout(400, [])
+    rows = sum(b.num_rows for b in quality_classifier.asks(5, np.arange(100_000, dtype=np.uint64), np.ones(100_000, np.int64), plan.ways))
+    assert rows == plan.ways == 80
+
+
+def test_release_removes_the_last_shuffle(spark):
+    import time
+
+    from plinth.llm import common
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    common.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() - before
+    common.release(spark)
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+
+
 def test_keys_survive_packing():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**48, 500).astype(np.uint64))
     assert (quality_classifier.expand(quality_classifier.squeeze(keys)) == keys).all()
