@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,24 +60,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Words:
-    """Texts -> 32-bit hashes of their words, or codes of those that have one, with a bounded cache."""
+def powers(p: int) -> np.ndarray:
+    return np.cumprod(np.append(U(1), np.full(SPAN - 1, p, U)), dtype=U)
+
+
+#: Words' hashes are sums of bytes times powers, so those of a run of SPAN bytes are differences of running sums. A longer word is hashed by itself.
+SPAN = 1 << 15
+POWER, INVERSE = powers(int(M1)), powers(pow(int(M1), -1, 1 << 64))
+#: White space as str.split() knows it: what a byte is (1: white space, 2: perhaps the first of a longer character), and the longer ones by length.
+WIDE = {n: np.array([int.from_bytes(x, "big") for c in range(128, 1 << 16) if chr(c).isspace() and len(x := chr(c).encode()) == n], np.uint32) for n in (2, 3)}
+KIND_OF_BYTE = bytes(1 if i < 128 and chr(i).isspace() else 2 * (i in {int(x) >> 8 * (n - 1) for n, some in WIDE.items() for x in some}) for i in range(256))
+
 
-    def __init__(self, codes: dict[int, int] | None = None, most: int = 200_000):
-        self.known: dict[str, int] = {}
-        self.codes, self.most = codes or {}, most
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes of whole UTF-8 texts are white space."""
+    kind = np.frombuffer(data.tobytes().translate(KIND_OF_BYTE), np.uint8)
+    out = kind == 1
+    at = np.flatnonzero(kind == 2)
+    code = data[at].astype(np.uint32)
+    for n, some in WIDE.items():
+        code = (code << 8) | data[np.minimum(at + n - 1, len(data) - 1)]
+        found = at[np.isin(code, some)]
+        for i in range(n):
+            out[found + i] = True
+    return out
 
-    def __call__(self, text: str | None) -> np.ndarray:
+
+class Words:
+    """Texts -> 32-bit hashes of their words, or codes of those that have one."""
+
+    def __init__(self, codes: dict[int, int] | None = None):
+        # A code has its place by its word's hash; of two with one place, the more frequent word has it.
+        h, code = (np.array(list(x), np.uint32)[::-1] for x in ((codes or {}).keys(), (codes or {}).values()))
+        self.hashes, self.codes = np.zeros(1 << 20, np.uint32), np.zeros(1 << 20, np.uint32)
+        self.hashes[h >> 12], self.codes[h >> 12] = h, code
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.fill_null("").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or ends[0] == ends[-1]:
+            return [np.zeros(0, np.uint32)] * len(texts)
+        data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+        gap, edge = white(data), np.zeros(len(data) + 1, bool)
+        edge[ends] = True
+        begin = np.flatnonzero(~gap & (edge[:-1] | np.append(True, gap[:-1])))
+        end = np.flatnonzero(~gap & (edge[1:] | np.append(gap[1:], True))) + 1
+        h = self.coded(self.hashed(data, begin, end))
+        return [h[a:b] for a, b in itertools.pairwise(np.searchsorted(begin, ends).tolist())]
+
+    def hashed(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        words = text.split() if text else []
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            h = CODES + xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % (2**32 - CODES)
-            known[w] = self.codes.get(h, h)
-        return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+        out, i = np.empty(len(begin), U), 0
+        while i < len(begin):
+            first = begin[i]
+            j = int(np.searchsorted(end, first + SPAN, "right"))
+            if j == i:
+                out[i] = xxh3_64_intdigest(data[first : end[i]].tobytes())
+                j += 1
+            else:
+                x = (data[first : end[j - 1]].astype(U) + U(1)) * POWER[: end[j - 1] - first]
+                upto, a = np.cumsum(x), begin[i:j] - first
+                out[i:j] = (upto[end[i:j] - first - 1] - upto[a] + x[a]) * INVERSE[a]
+            i = j
+        return (U(CODES) + ((mixed(out) >> U(32)) * U(2**32 - CODES) >> U(32))).astype(np.uint32)
+
+    def coded(self, h: np.ndarray) -> np.ndarray:
+        place = h >> 12
+        return np.where(self.hashes[place] == h, self.codes[place], h)
 
 
 def marked(words: np.ndarray) -> np.ndarray:
@@ -154,9 +205,10 @@ def batches_of_words(batches: Iterator[pa.RecordBatch], words: Words) -> Iterato
     held, size = [], 0
     for batch in batches:
         for part in pieces(batch):
-            for text in part.column(part.num_columns - 1).to_pylist():
-                held.append(marked(words(text)))
-                size += len(text)
+            texts = part.column(part.num_columns - 1)
+            for found, chars in zip(words(texts), pc.utf8_length(texts).to_pylist()):
+                held.append(marked(found))
+                size += chars
                 if size > CHUNK_CHARS:
                     yield held
                     held, size = [], 0
@@ -416,7 +468,7 @@ def statistics(model: DataFrame, plan: Layout) -> dict:
 def frequencies(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Counts of words, bigrams, pairs as histories and trigrams, for trigrams sorted by (v, w, u)."""
     n = n.astype(np.int64)
-    order = np.argsort(pair(v, u), kind="stable")
+    order = np.argsort(pair(v, u))
     return [np.add.reduceat(x, np.flatnonzero(new)) for x, new in ((n, changes(v)), (n, changes(v, w)), (n[order], changes(v[order], u[order])))] + [n]
 
 
@@ -449,7 +501,7 @@ def gains(rows: pd.DataFrame, shard: int, m: dict, plan: Layout) -> tuple[np.nda
         out.append((key(here(v), width, BIGRAM, v, w), second(v, w, c2, *of_heavy(v))[1], c2))
     for _, row in rows[rows["kind"] == COUNTS].iterrows():
         u, v, w, n = from_blobs(row)
-        of_word, of_bigram, of_history, _ = frequencies(u, v, w, n)
+        of_word, of_bigram = (np.add.reduceat(n.astype(np.int64), np.flatnonzero(new)) for new in (changes(v), changes(v, w)))
         bv, bw, c2 = bigrams(v, w)
         heavy = plan.is_heavy(bv)
         keys, sums = told(rows, PAIRS)
@@ -463,20 +515,20 @@ def gains(rows: pd.DataFrame, shard: int, m: dict, plan: Layout) -> tuple[np.nda
         light = ~heavy[hv]
         out.append((key(here(hv[light]), width, WORD, bv[hv[light]]), np.log(left2[hv[light]]), of_word[light]))
         p2 = p2[np.cumsum(changes(v, w)) - 1]  # each trigram's bigram
-        order = np.argsort(pair(v, u), kind="stable")
+        order = np.argsort(pair(v, u))
         u, v, w, n, p2 = u[order], v[order], w[order], n[order].astype(np.int64), p2[order]
         new_uv = changes(v, u)
         total3, left3 = histories(new_uv, n, m["d3"])
         p3 = (n - m["d3"][np.minimum(n, 3)]) / total3 + left3 * p2
         huv = np.flatnonzero(new_uv)
-        out.append((key(here(huv), width, HISTORY, u[huv], v[huv]), np.log(left3[huv]), of_history))
+        out.append((key(here(huv), width, HISTORY, u[huv], v[huv]), np.log(left3[huv]), np.add.reduceat(n, huv)))
         out.append((key(here(u), width, TRIGRAM, u, v, w), np.log(p3) - np.log(left3) - np.log(p2), n))
     # A word tells of itself and of what it leaves as a history: the two add up under one key.
-    keys, at = np.unique(np.concatenate([x[0] for x in out]), return_inverse=True)
-    gain = np.bincount(at, np.concatenate([x[1] for x in out]), len(keys))
-    times = np.zeros(len(keys), np.int64)
-    np.maximum.at(times, at, np.concatenate([x[2] for x in out]))
-    return keys, np.rint(gain * UNIT).astype("<i4"), times
+    keys, gain, times = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(changes(keys))
+    return keys[at], np.rint(np.add.reduceat(gain[order], at) * UNIT).astype("<i4"), np.maximum.reduceat(times[order], at)
 
 
 def squeeze(keys: np.ndarray) -> bytes:
@@ -526,9 +578,10 @@ def map_of_ids(ids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(held), pa.int64()), "bits": [x.tobytes() for x in held.values()]})
 
     def both(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
+        rows = [(p, np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in some]).tobytes()) for p, some in pdf.groupby("part")["bits"]]
+        return pd.DataFrame(rows, columns=["part", "bits"])
 
-    return whole_map(ids.coalesce(8).mapInArrow(bits, "part long, bits binary").groupBy("part").applyInPandas(both, "part long, bits binary").collect())
+    return whole_map(ids.coalesce(8).mapInArrow(bits, "part long, bits binary").groupBy(F.col("part") % 64).applyInPandas(both, "part long, bits binary").collect())
 
 
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -666,9 +719,10 @@ def asked(docs: DataFrame, head, plan: Layout) -> DataFrame:
 
         for batch in batches:
             for part in pieces(batch):
-                for doc_id, lang, k, text in zip(*(c.to_pylist() for c in part.columns)):
-                    chunk.add(words(text), len(text or ""))
-                    who.append((doc_id, lang, k))
+                *columns, texts = part.columns
+                for found, chars, *row in zip(words(texts), pc.utf8_length(texts).to_pylist(), *(c.to_pylist() for c in columns)):
+                    chunk.add(found, chars or 0)
+                    who.append(row)
                     if chunk.full():
                         yield from send()
                         number += 1
