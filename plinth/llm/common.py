@@ -91,6 +91,7 @@ def release(spark: SparkSession) -> None:
     spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
 
 
 def trim() -> None:

@@ -560,10 +560,13 @@ def blocks(keys: np.ndarray, held: dict[int, np.ndarray]) -> None:
         np.bitwise_or.at(held.setdefault(int(block[order[a]]), np.zeros(MAP_BITS // MAP_BLOCKS // 8, np.uint8)), spot >> 3, (128 >> (spot & 7)).astype(np.uint8))
 
 
-def whole_map(rows: list) -> np.ndarray:
+def whole_map(rows: pa.Table) -> np.ndarray:
+    """The bitmap of blocks in rows (part, bits); other rows have a part below 0."""
     out = np.zeros((MAP_BLOCKS, MAP_BITS // MAP_BLOCKS // 8), np.uint8)
-    for r in rows:
-        out[r.part] |= np.frombuffer(r.bits, np.uint8)
+    for batch in rows.to_batches():
+        for part, bits in zip(batch["part"].to_pylist(), batch["bits"]):
+            if part >= 0:
+                out[part] |= np.frombuffer(bits.as_buffer(), np.uint8)
     return out.ravel()
 
 
@@ -581,7 +584,7 @@ def map_of_ids(ids: DataFrame) -> np.ndarray:
         rows = [(p, np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in some]).tobytes()) for p, some in pdf.groupby("part")["bits"]]
         return pd.DataFrame(rows, columns=["part", "bits"])
 
-    return whole_map(ids.coalesce(8).mapInArrow(bits, "part long, bits binary").groupBy(F.col("part") % 64).applyInPandas(both, "part long, bits binary").collect())
+    return whole_map(ids.coalesce(8).mapInArrow(bits, "part long, bits binary").groupBy(F.col("part") % 64).applyInPandas(both, "part long, bits binary").toArrow())
 
 
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -611,10 +614,11 @@ def head_and_map(model: DataFrame, fit, head: int, plan: Layout) -> tuple[np.nda
         blocks(keys, held)
         return pd.DataFrame([(-1, squeeze(keys[some]), packed(gain[some])), *((p, x.tobytes(), b"") for p, x in held.items())], columns=["part", "bits", "gain"])
 
-    rows = model.groupBy("shard").applyInPandas(trimmed(tell), "part long, bits binary, gain binary").collect()
-    keys, gain = (np.concatenate(x) for x in zip(*((expand(r.bits), unpacked(r.gain, "<i4")) for r in rows if r.part < 0)))
+    rows = model.groupBy("shard").applyInPandas(trimmed(tell), "part long, bits binary, gain binary").toArrow()
+    first = rows.filter(pc.field("part") < 0)
+    keys, gain = (np.concatenate(x) for x in zip(*((expand(k), unpacked(g, "<i4")) for k, g in zip(first["bits"].to_pylist(), first["gain"].to_pylist()))))
     order = np.argsort(keys)
-    return keys[order], gain[order], whole_map([r for r in rows if r.part >= 0])
+    return keys[order], gain[order], whole_map(rows)
 
 
 def places(keys: np.ndarray) -> np.ndarray:

@@ -414,6 +414,15 @@ def test_words_are_split_and_hashed_by_columns():
     assert coded[0].tolist() == [5, seen["a"], 5]
 
 
+def test_bitmaps_come_to_the_driver_as_arrow(spark, monkeypatch):
+    """Rows would be held several times in the driver: as results, rows and pickles."""
+    ids = spark.range(5000)
+    monkeypatch.setattr(type(ids), "collect", None)
+    bits = quality_classifier.map_of_ids(ids)
+    assert quality_classifier.has(bits, quality_classifier.key_of_id(np.arange(5000))).all()
+    assert quality_classifier.has(bits, quality_classifier.key_of_id(np.arange(10_000, 20_000))).mean() < 0.01
+
+
 def test_a_chunk_needs_little_memory():
     """All n-grams are asked for: memory by token, as two tasks and idle workers share an executor."""
     import tracemalloc
