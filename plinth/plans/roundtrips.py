@@ -82,12 +82,12 @@ def panel_files(t: Tables):
 
 @query("q_geojson_files", """SELECT s_name AS name, s_nationkey AS nation, 'Point' AS geometry_type, '[' || s_suppkey % 180 || ',' || s_nationkey || ']' AS coordinates FROM supplier""")
 def geojson_files(t: Tables):
-    """Feature collections of a nation, a thousand numbers each."""
+    """Feature collections of a nation, a thousand numbers each; each a file of its own, as a file is one document."""
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(F.col("s_suppkey") % 180, F.col("s_nationkey").cast("long")).alias("coordinates")).alias("geometry"))
-    layers = t.supplier.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 1000).alias("part")).agg(F.collect_list(feature).alias("features")).select("s_nationkey", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    layers = t.supplier.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 1000).alias("part")).agg(F.collect_list(feature).alias("features")).select("s_nationkey", "part", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
     path = folder(t)
-    layers.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
-    return readers.features(t.spark, f"{path}/*/*.txt", "name: string, nation: int")
+    layers.repartition("s_nationkey", "part").write.partitionBy("s_nationkey", "part").text(path)
+    return readers.features(t.spark, f"{path}/*/*/*.txt", "name: string, nation: int")
 
 
 @query("q_embedded_json", """SELECT page_id, length(url)::BIGINT AS n FROM pages""")
