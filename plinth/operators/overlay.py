@@ -9,7 +9,8 @@ A polygon is an array of rings of [x, y] (the first outside, open or closed, in
 * Dissolve: an edge that two children have in opposite directions cancels in one aggregation; what stays is linked to rings by
   pointer jumping, in a number of joins that is the logarithm of the longest ring.
 
-Work grows with the edges: groups are never sorted or folded whole in one task, but by slab and cut.
+Work grows with the edges: groups are never sorted or folded whole in one task, but by slab and cut. Strips and crossings join by merging: Spark takes
+a frame of edges to be no larger than the file that they were made from, and would broadcast it.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def crossings(edges: DataFrame, group: list[str], cell: float) -> DataFrame:
     e = edges.select(*group, *ENDS).withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
     e = e.withColumn("e", F.struct(*ENDS))
     f = e.select(*group, "cx", "cy", F.col("e").alias("f"))
-    j = e.select(*group, "cx", "cy", "e").join(f, [*group, "cx", "cy"]).filter("e < f")
+    j = e.select(*group, "cx", "cy", "e").join(f.hint("merge"), [*group, "cx", "cy"]).filter("e < f")
     side = lambda p, q, r: (F.col(f"{p}.bx") - F.col(f"{p}.ax")) * (F.col(f"{q}.{r}y") - F.col(f"{p}.ay")) - (F.col(f"{p}.by") - F.col(f"{p}.ay")) * (F.col(f"{q}.{r}x") - F.col(f"{p}.ax"))
     j = j.withColumns({"fa": side("f", "e", "a"), "fb": side("f", "e", "b"), "ea": side("e", "f", "a"), "eb": side("e", "f", "b")}).filter("fa * fb < 0 AND ea * eb < 0")
     t = F.try_divide("fa", F.col("fa") - F.col("fb"))  # the optimizer may move it before the filter
@@ -136,7 +137,7 @@ def strips(edges: DataFrame, group: list[str], layers: list[str], width: float)
     ends = e.select(*group, "slab", F.explode(F.array("x0", "x1")).alias("x"))
     cuts = ends.unionByName(met).groupBy(*group, "slab").agg(F.array_sort(F.collect_set("x")).alias("xs"))
     inside = F.filter("xs", lambda x: (x >= F.col("x0")) & (x <= F.col("x1")))
-    j = e.join(cuts, [*group, "slab"]).withColumn("at", inside)
+    j = e.join(cuts.hint("merge"), [*group, "slab"]).withColumn("at", inside)
     j = j.withColumn("cut", F.explode(F.arrays_zip(F.slice("at", 1, F.size("at") - 1).alias("lo"), F.slice("at", 2, F.size("at") - 1).alias("hi"))))
     middle = line_at((F.col("cut.lo") + F.col("cut.hi")) / 2)
     sums = j.groupBy(*group, F.col("cut.lo").alias("lo"), F.col("cut.hi").alias("hi"), middle.alias("y")).agg(*[F.sum(F.col("s") * F.col(n)).alias(n) for n in layers], *[F.sum(n).alias(f"{n}_edges") for n in layers])
@@ -150,8 +151,9 @@ def union_coverage(parents: DataFrame, children: DataFrame, parent: str, width:
     """Each parent with children: the area of their union, of what of it lies in the parent (covered) and outside (spilt), of what two children claim
     (doubled), of the parent without child (gap), and coverage and spill as shares of the parent and of the union."""
     layer = lambda df, p, c: ring_edges(df, [parent]).withColumns({"own": F.lit(p), "child": F.lit(c)})
-    kept = parents.join(children.select(parent).distinct(), parent, "left_semi")
-    s = strips(layer(kept, 1, 0).unionByName(layer(children.join(kept.select(parent).distinct(), parent, "left_semi"), 0, 1)), [parent], ["own", "child"], width)
+    of = lambda a, b: a.join(b.select(parent).distinct().hint("merge"), parent, "left_semi")
+    edges = written(layer(of(parents, children), 1, 0).unionByName(layer(of(children, parents), 0, 1)))  # read three times
+    s = strips(edges, [parent], ["own", "child"], width)
     total = lambda cond: F.coalesce(F.sum(F.when(F.expr(cond), F.col("area"))), F.lit(0.0))
     m = s.groupBy(parent).agg(total("child > 0").alias("union_area"), total("child > 0 AND own > 0").alias("covered"), total("child > 0 AND own <= 0").alias("spilt"), total("child > 1").alias("doubled"), total("own > 0 AND child <= 0").alias("gap"))
     return m.select("*", F.try_divide("covered", F.col("covered") + F.col("gap")).alias("coverage"), F.try_divide("spilt", F.col("union_area")).alias("spill"))

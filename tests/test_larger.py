@@ -13,7 +13,7 @@ def larger(sf_dir, tmp_path_factory):
     path = tmp_path_factory.mktemp("larger")
     for table, key, name, times in (("customer", "c_custkey", "c_name", 6), ("supplier", "s_suppkey", "s_name", 250)):
         shift = f"i * (SELECT max({key}) + 1 FROM '{sf_dir}/{table}.parquet')"
-        duckdb.sql(f"COPY (SELECT * REPLACE ({key} + {shift} AS {key}, {name} || '-' || i AS {name}) FROM '{sf_dir}/{table}.parquet', range({times}) r(i)) TO '{path}/{table}.parquet' (FORMAT parquet)")
+        duckdb.sql(f"COPY (SELECT * EXCLUDE (i) REPLACE ({key} + {shift} AS {key}, {name} || '-' || i AS {name}) FROM '{sf_dir}/{table}.parquet', range({times}) r(i)) TO '{path}/{table}.parquet' (FORMAT parquet)")
     for table in ("nation", "region"):
         duckdb.sql(f"COPY (FROM '{sf_dir}/{table}.parquet') TO '{path}/{table}.parquet' (FORMAT parquet)")
     return str(path)
@@ -25,3 +25,9 @@ def same(spark, folder, name):
 
 def test_feature_collections_of_a_nation_in_several_files(spark, larger):
     same(spark, larger, "q_geojson_files")
+
+
+def test_union_coverage_broadcasts_no_edges(spark, larger):
+    same(spark, larger, "q_union_coverage")
+    plan = QUERIES["q_union_coverage"](spark, larger)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
