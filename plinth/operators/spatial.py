@@ -8,14 +8,39 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 
-def points_in(points: DataFrame, polygons: DataFrame, cell: float, ring: str = "ring") -> DataFrame:
-    """Each (point, polygon) where the point (x, y) lies in the polygon's ring: points meet the polygons whose bounding box touches
-    their grid cell, then the ray test decides. No pair outside a shared cell is ever made."""
+def met(places: DataFrame, rings: DataFrame, cell: float, ring: str) -> DataFrame:
+    """x, y, ring: each place with the rings that hold it. Places meet the rings whose bounding box touches their grid cell, then the ray test decides.
+    No pair outside a shared cell is ever made. The join merges: Spark takes the cells of the rings to be no larger than the file of the rings."""
     b = geo.bounds(F.col(ring))
     span = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long"))
-    p = polygons.withColumn("b", b).withColumn("cx", F.explode(span(F.col("b.x0"), F.col("b.x1")))).withColumn("cy", F.explode(span(F.col("b.y0"), F.col("b.y1")))).drop("b")
-    q = points.withColumns({"cx": F.floor(F.col("x") / cell).cast("long"), "cy": F.floor(F.col("y") / cell).cast("long")})
-    return q.join(p, ["cx", "cy"]).filter(geo.contains(F.col(ring), F.col("x"), F.col("y"))).drop("cx", "cy", ring)
+    p = rings.withColumn("b", b).withColumn("cx", F.explode(span(F.col("b.x0"), F.col("b.x1")))).withColumn("cy", F.explode(span(F.col("b.y0"), F.col("b.y1")))).drop("b")
+    q = places.withColumns({"cx": F.floor(F.col("x") / cell).cast("long"), "cy": F.floor(F.col("y") / cell).cast("long")})
+    return q.join(p.hint("merge"), ["cx", "cy"]).filter(geo.contains(F.col(ring), F.col("x"), F.col("y"))).drop("cx", "cy")
+
+
+#: Rows of one place or ring that go together as one array.
+TOGETHER = 1000
+
+
+def bundled(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and `rows`: what else the rows of equal keys hold, as arrays of about TOGETHER."""
+    rest = F.struct(*[c for c in df.columns if c not in keys]).alias("r")
+    counts = df.groupBy(*keys).agg(F.ceil(F.count("*") / TOGETHER).alias("ways"))
+    dealt = df.select(*keys, rest).join(counts.hint("merge"), keys).withColumn("way", F.pmod(F.xxhash64("r"), F.col("ways")))
+    return dealt.groupBy(*keys, "way").agg(F.collect_list("r").alias("rows")).drop("way")
+
+
+def points_in(points: DataFrame, polygons: DataFrame, cell: float, ring: str = "ring") -> DataFrame:
+    """Each (point, polygon) where the point (x, y) lies in the polygon's ring. A place that many points share, or a ring of many polygons, is tested once;
+    their rows are carried along as arrays, so that what is joined is far less than the pairs that come of it."""
+    at, of = bundled(points, ["x", "y"]), bundled(polygons, [ring]).withColumnsRenamed({"rows": "p_rows"})
+    hits = met(points.select("x", "y").distinct(), polygons.select(ring).distinct(), cell, ring)
+    j = hits.join(at, ["x", "y"]).join(of, ring)
+    # a row becomes up to the square of TOGETHER, so rows are dealt to all tasks, whatever their bytes
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = j.repartition(n, F.xxhash64("x", "y", F.get("rows", 0), F.get("p_rows", 0)))
+    j = j.select("x", "y", "p_rows", F.explode("rows").alias("r")).select("x", "y", "r", F.explode("p_rows").alias("p"))
+    return j.select(*[F.col(c) if c in ("x", "y") else F.col(f"r.{c}").alias(c) for c in points.columns], *[F.col(f"p.{c}").alias(c) for c in polygons.columns if c != ring])
 
 
 def zonal_sum(pixels: DataFrame, zones: DataFrame, zone: str, value: str, cell: float) -> DataFrame:

@@ -31,3 +31,31 @@ def test_union_coverage_broadcasts_no_edges(spark, larger):
     same(spark, larger, "q_union_coverage")
     plan = QUERIES["q_union_coverage"](spark, larger)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["q_point_in_polygon"])
+def test_places_that_repeat(spark, larger, name):
+    same(spark, larger, name)
+
+
+def test_a_place_or_ring_of_many_rows_is_tested_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from plinth.operators import spatial
+
+    test = spatial.geo.contains
+    monkeypatch.setattr(spatial, "TOGETHER", 7, raising=False)
+    tested = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(held):
+        tested.add(1)
+        return held
+
+    monkeypatch.setattr(spatial.geo, "contains", lambda ring, x, y: counted(test(ring, x, y)))
+    square = F.array(*[F.array(F.floor(F.col("id") / 1000) + float(x), F.lit(float(y))) for x, y in ((0, 0), (8, 0), (8, 8), (0, 8))])
+    zones = spark.range(40).select(F.col("id").alias("zone"), square.alias("ring"))
+    points = spark.range(90).select("id", (F.col("id") % 3 * 5.0 + 0.5).alias("x"), F.lit(1.0).alias("y"), F.lit(2).alias("value"))
+    got = spatial.points_in(points, zones, 4.0).collect()
+    assert sorted((r.id, r.zone) for r in got) == [(i, z) for i in range(90) if i % 3 < 2 for z in range(40)] and {(r.x, r.y, r.value) for r in got} == {(0.5, 1.0, 2), (5.5, 1.0, 2)}
+    assert tested.value <= 4
