@@ -44,9 +44,12 @@ def points_in(points: DataFrame, polygons: DataFrame, cell: float, ring: str = "
 
 
 def zonal_sum(pixels: DataFrame, zones: DataFrame, zone: str, value: str, cell: float) -> DataFrame:
-    """Sum and number of the pixels (x, y, value) whose centre lies in each zone; zones with none are kept with 0."""
-    s = points_in(pixels, zones, cell).groupBy(zone).agg(F.sum(value).alias("total"), F.count("*").alias("pixels"))
-    return zones.select(zone).join(s, zone, "left").fillna(0, ["total", "pixels"])
+    """Sum and number of the pixels (x, y, value) whose centre lies in each zone; zones with none are kept with 0. The pixels of a place are summed first,
+    and zones of one ring share their sums."""
+    places = pixels.groupBy("x", "y").agg(F.sum(value).alias("total"), F.count("*").alias("pixels"))
+    s = met(places, zones.select("ring").distinct(), cell, "ring").groupBy("ring").agg(F.sum("total").alias("total"), F.sum("pixels").alias("pixels"))
+    of = zones.select(zone, "ring").join(s, "ring").groupBy(zone).agg(F.sum("total").alias("total"), F.sum("pixels").alias("pixels"))
+    return zones.select(zone).join(of, zone, "left").fillna(0, ["total", "pixels"])
 
 
 def allocated_sum(pixels: DataFrame, zones: DataFrame, parent: str, zone: str, value: str, totals: DataFrame, total: str, cell: float) -> DataFrame:

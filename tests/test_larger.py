@@ -33,7 +33,7 @@ def test_union_coverage_broadcasts_no_edges(spark, larger):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["q_point_in_polygon"])
+@pytest.mark.parametrize("name", ["q_point_in_polygon", "q_zonal_sum"])
 def test_places_that_repeat(spark, larger, name):
     same(spark, larger, name)
 
@@ -58,4 +58,5 @@ def test_a_place_or_ring_of_many_rows_is_tested_once(spark, monkeypatch):
     points = spark.range(90).select("id", (F.col("id") % 3 * 5.0 + 0.5).alias("x"), F.lit(1.0).alias("y"), F.lit(2).alias("value"))
     got = spatial.points_in(points, zones, 4.0).collect()
     assert sorted((r.id, r.zone) for r in got) == [(i, z) for i in range(90) if i % 3 < 2 for z in range(40)] and {(r.x, r.y, r.value) for r in got} == {(0.5, 1.0, 2), (5.5, 1.0, 2)}
-    assert tested.value <= 4
+    sums = spatial.zonal_sum(points, zones, "zone", "value", 4.0).collect()
+    assert sorted((r.zone, r.total, r.pixels) for r in sums) == [(z, 120, 60) for z in range(40)] and 2 <= tested.value <= 8
