@@ -33,7 +33,7 @@ def test_union_coverage_broadcasts_no_edges(spark, larger):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["q_point_in_polygon", "q_zonal_sum"])
+@pytest.mark.parametrize("name", ["q_point_in_polygon", "q_zonal_sum", "q_spatial_allocation"])
 def test_places_that_repeat(spark, larger, name):
     same(spark, larger, name)
 
