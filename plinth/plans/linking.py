@@ -279,10 +279,7 @@ g AS (SELECT *, overlap / (sa + sb - overlap) AS iou FROM o WHERE overlap / (sa
 
 @query("q_bbox_iou", f"WITH {BOXES} SELECT c_custkey, s_suppkey, overlap::BIGINT AS overlap, iou FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY iou DESC, s_suppkey) AS k FROM g) WHERE k = 1")
 def bbox_iou(t: Tables):
-    from ..operators.temporal import best
-
-    o = joins.box_overlap(boxes(t.customer, "c_custkey", "a_"), boxes(t.supplier, "s_suppkey", "b_"), 20).filter("iou >= 0.25")
-    return best(o.withColumn("m", -F.col("iou")), ["c_custkey"], [F.col("m"), F.col("s_suppkey")], ["s_suppkey", "overlap", "iou"], largest=False)
+    return joins.best_box(boxes(t.customer, "c_custkey", "a_"), boxes(t.supplier, "s_suppkey", "b_"), "c_custkey", "s_suppkey", 20, 0.25)
 
 
 TRIGGERS = [("P1", ["DISC", "REV"]), ("P2", ["ORDERS"]), ("P3", ["QTY", "ORDERS", "REV"])]

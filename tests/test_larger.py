@@ -60,3 +60,24 @@ def test_a_place_or_ring_of_many_rows_is_tested_once(spark, monkeypatch):
     assert sorted((r.id, r.zone) for r in got) == [(i, z) for i in range(90) if i % 3 < 2 for z in range(40)] and {(r.x, r.y, r.value) for r in got} == {(0.5, 1.0, 2), (5.5, 1.0, 2)}
     sums = spatial.zonal_sum(points, zones, "zone", "value", 4.0).collect()
     assert sorted((r.zone, r.total, r.pixels) for r in sums) == [(z, 120, 60) for z in range(40)] and 2 <= tested.value <= 8
+
+
+def test_rectangles_that_are_alike_meet_once(spark):
+    from pyspark.sql import functions as F
+
+    from plinth.operators import joins
+
+    a = spark.range(300).select("id", *[(F.col("id") % 3 * 10 + d).alias(f"a_{c}") for c, d in (("x0", 0), ("y0", 0), ("x1", 8), ("y1", 8))])
+    b = spark.range(5, 400).select(F.col("id").alias("key"), *[(F.col("id") % 5 * 5 + d).alias(f"b_{c}") for c, d in (("x0", 1), ("y0", 0), ("x1", 9), ("y1", 8))])
+    joined, join = [], joins.box_overlap
+    try:
+        joins.box_overlap = lambda x, y, cell: joined.append((x.count(), y.count())) or join(x, y, cell)
+        got = joins.best_box(a, b, "id", "key", 4, 0.25).collect()
+    finally:
+        joins.box_overlap = join
+    assert joined == [(3, 5)]
+    assert sorted((r.id, r.key, r.overlap, round(r.iou, 6)) for r in got) == [(i, (5, 7, 9)[i % 3], 56, round(56 / 72, 6)) for i in range(300)]
+
+
+def test_best_rectangles(spark, larger):
+    same(spark, larger, "q_bbox_iou")
