@@ -81,3 +81,35 @@ def test_rectangles_that_are_alike_meet_once(spark):
 
 def test_best_rectangles(spark, larger):
     same(spark, larger, "q_bbox_iou")
+
+
+@pytest.fixture
+def tiles(monkeypatch):
+    """Small tiles, so that also these tables make several, of which few are rows."""
+    from plinth.operators import similar
+
+    for name, value in (("CHUNK", 12), ("FEW", 60)):
+        monkeypatch.setattr(similar, name, value)
+
+
+def test_alike_equals_brute_force():
+    import random
+
+    from plinth.operators import similar
+    from tests.test_layout_and_names import distance
+
+    rng = random.Random(5)
+    for letters, longest in (("abcd", 30), ("ab", 9), ("abcdé漢x", 15), ("".join(map(chr, range(300, 700))), 9), ("abc", 80)):
+        word = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: B023, E731
+        names = sorted({word(rng.randrange(longest)) for _ in range(40)})
+        others = sorted({x[:2] + x[3:] if i % 2 else x + word(1) for i, x in enumerate(names)} | {word(rng.randrange(longest)) for _ in range(20)} | {""})
+        costs = {(i, j): distance(a, b) / max(len(a), len(b), 1) for i, a in enumerate(names) for j, b in enumerate(others)}
+        for most in (0.13, 0.24, 0.45, 0.8, 0.95):
+            got = [(int(i), int(j), float(c)) for a, b, cost in similar.alike(names, others, most) for i, j, c in zip(a, b, cost)]
+            assert sorted(got) == sorted((i, j, c) for (i, j), c in costs.items() if c <= most)
+
+
+def test_fuzzy_match_broadcasts_no_names(spark, larger, tiles):
+    same(spark, larger, "q_fuzzy_match")
+    plan = QUERIES["q_fuzzy_match"](spark, larger)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
