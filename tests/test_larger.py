@@ -113,3 +113,9 @@ def test_fuzzy_match_broadcasts_no_names(spark, larger, tiles):
     same(spark, larger, "q_fuzzy_match")
     plan = QUERIES["q_fuzzy_match"](spark, larger)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Broadcast" not in plan
+
+
+def test_similar_names_in_tiles(spark, larger, tiles):
+    same(spark, larger, "q_similar_names")
+    plan = QUERIES["q_similar_names"](spark, larger)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
