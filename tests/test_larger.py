@@ -115,7 +115,19 @@ def test_fuzzy_match_broadcasts_no_names(spark, larger, tiles):
     assert "MapInArrow" in plan and "Broadcast" not in plan
 
 
+def no_grams(*_):
+    raise AssertionError("names that are this far apart meet in tiles")
+
+
 def test_similar_names_in_tiles(spark, larger, tiles):
     same(spark, larger, "q_similar_names")
     plan = QUERIES["q_similar_names"](spark, larger)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["q_er_names"])
+def test_resolution_in_tiles(spark, larger, tiles, monkeypatch, name):
+    from plinth.operators import similar
+
+    monkeypatch.setattr(similar, "candidates", no_grams)
+    same(spark, larger, name)
