@@ -125,7 +125,7 @@ def test_similar_names_in_tiles(spark, larger, tiles):
     assert "MapInArrow" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["q_er_names"])
+@pytest.mark.parametrize("name", ["q_er_names", "q_er_spatial"])
 def test_resolution_in_tiles(spark, larger, tiles, monkeypatch, name):
     from plinth.operators import similar
 
