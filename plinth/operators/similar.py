@@ -11,6 +11,9 @@ leave few pairs, and edit distances of these are computed for many pairs at a ti
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -64,6 +67,9 @@ def pairs(source: DataFrame, target: DataFrame, block: str, name: str, other: st
     return candidates(source, target, block, name, other, most, q).withColumn("cost", cost(F.col(name), F.col(other))).filter(F.col("cost") <= most)
 
 
+#: Workers get what they run from here with the plan, also where they can't import it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: The share of a name's grams that edits may touch, from which on names meet in tiles.
 QUARTER = 0.25
 #: Names of one side of a tile, about; pairs of a tile up to which plain rows do; pairs at a time in the comparison.

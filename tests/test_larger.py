@@ -131,3 +131,16 @@ def test_resolution_in_tiles(spark, larger, tiles, monkeypatch, name):
 
     monkeypatch.setattr(similar, "candidates", no_grams)
     same(spark, larger, name)
+
+
+def test_workers_need_not_import_the_comparison(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from plinth.operators import similar
+
+    (tmp_path / "g").write_bytes(cloudpickle.dumps(similar.alike))
+    code = f"import pickle; f = pickle.load(open({str(tmp_path / 'g')!r}, 'rb')); print([len(a) for a, b, c in f(['abcdef', 'x'], ['abcdeg'], 0.3)])"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=tmp_path, env={"PATH": ""}).stdout.strip() == "[1]"
